@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import decontaminate
+from tidebook.llm import decontaminate, mix, quality, urls
 from tidebook.llm.common import table
 
 
@@ -12,5 +12,17 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row", "text_hash")
 
 
-QUERIES = {"op1_decontamination": op1_decontamination}
-ORACLES = {"op1_decontamination": decontaminate.ORACLE}
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix(table(spark, sf_dir, "documents")).drop("row")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), urls.rules(spark))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op4_mix": op4_mix, "op6_url_filter": op6_url_filter, "op8_quality_rules": op8_quality_rules}
+ORACLES = {"op1_decontamination": decontaminate.ORACLE, "op6_url_filter": urls.oracle(), "op8_quality_rules": quality.oracle()}
