@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import decontaminate, mix, quality, urls
+from tidebook.llm import decontaminate, mix, pii, quality, urls
 from tidebook.llm.common import table
 
 
@@ -24,5 +24,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op4_mix": op4_mix, "op6_url_filter": op6_url_filter, "op8_quality_rules": op8_quality_rules}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents")).drop("row")
+
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op4_mix": op4_mix, "op6_url_filter": op6_url_filter, "op8_quality_rules": op8_quality_rules, "op9_pii": op9_pii}
 ORACLES = {"op1_decontamination": decontaminate.ORACLE, "op6_url_filter": urls.oracle(), "op8_quality_rules": quality.oracle()}
