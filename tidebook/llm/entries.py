@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import decontaminate, mix, pii, quality, urls
+from tidebook.llm import decontaminate, mix, neardup, pii, quality, urls
 from tidebook.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"), urls.rules(spark))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.grouped(table(spark, sf_dir, "documents")).drop("component")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
@@ -28,5 +32,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(table(spark, sf_dir, "documents")).drop("row")
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op4_mix": op4_mix, "op6_url_filter": op6_url_filter, "op8_quality_rules": op8_quality_rules, "op9_pii": op9_pii}
+QUERIES = {"op1_decontamination": op1_decontamination, "op4_mix": op4_mix, "op6_url_filter": op6_url_filter, "op7_near_dedup": op7_near_dedup, "op8_quality_rules": op8_quality_rules, "op9_pii": op9_pii}
 ORACLES = {"op1_decontamination": decontaminate.ORACLE, "op6_url_filter": urls.oracle(), "op8_quality_rules": quality.oracle()}
