@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import decontaminate, mix, neardup, pii, quality, substrings, urls
+from tidebook.llm import decontaminate, langid, licenses, mix, neardup, pii, quality, substrings, tokenstore, urls
 from tidebook.llm.common import table
 
 
@@ -16,10 +16,19 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identified(docs, langid.train(docs))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"), urls.rules(spark))
 
@@ -36,5 +45,15 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(table(spark, sf_dir, "documents")).drop("row")
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_suffix_dedup": op2_suffix_dedup, "op4_mix": op4_mix, "op6_url_filter": op6_url_filter, "op7_near_dedup": op7_near_dedup, "op8_quality_rules": op8_quality_rules, "op9_pii": op9_pii}
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenstore.encoded(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_suffix_dedup": op2_suffix_dedup, "op3_language_id": op3_language_id, "op4_mix": op4_mix, "op5_license_scan": op5_license_scan, "op6_url_filter": op6_url_filter, "op7_near_dedup": op7_near_dedup, "op8_quality_rules": op8_quality_rules, "op9_pii": op9_pii, "op10_token_store": op10_token_store}
 ORACLES = {"op1_decontamination": decontaminate.ORACLE, "op6_url_filter": urls.oracle(), "op8_quality_rules": quality.oracle()}

@@ -41,11 +41,11 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit hash and the start of each word of some bytes; words are split by ASCII white space, A-Z count as a-z."""
+def word_hashes(data: np.ndarray, separates: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hash and the start of each word of some bytes; `separates` are the bytes between words, A-Z count as a-z."""
     if not len(data):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    white = WHITE[data]
+    white = separates[data]
     first = ~white
     first[1:] &= white[:-1]
     starts = np.flatnonzero(first)
@@ -55,26 +55,27 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     since = at - np.maximum.accumulate(np.where(first, at, 0))
     since[white] = 0
     values = CODES[data] * powers(int(since.max()) + 1)[since]
+    values[white] = 0
     return mix(np.add.reduceat(values, starts)), starts
 
 
-def words_of(text: bytes) -> np.ndarray:
-    """Word hashes of one text of any length, in pieces that end at white space."""
+def words_of(text: bytes, separates: np.ndarray = WHITE) -> np.ndarray:
+    """Word hashes of one text of any length, in pieces that end between words."""
     data, found, at = np.frombuffer(text, np.uint8), [], 0
     while at < len(data):
         end = min(len(data), at + PIECE)
         while end < len(data):
-            gaps = np.flatnonzero(WHITE[data[at:end]])
+            gaps = np.flatnonzero(separates[data[at:end]])
             if len(gaps):
                 end = at + int(gaps[-1]) + 1
                 break
             end = min(len(data), end + PIECE)
-        found.append(word_hashes(data[at:end])[0])
+        found.append(word_hashes(data[at:end], separates)[0])
         at = end
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
-def words_of_each(batch: list[bytes]) -> Iterator[tuple[int, list[np.ndarray]]]:
+def words_of_each(batch: list[bytes], separates: np.ndarray = WHITE) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Word hashes of the texts, as (index of the first, one array per text), for runs of texts of about a piece."""
     i = 0
     while i < len(batch):
@@ -83,10 +84,10 @@ def words_of_each(batch: list[bytes]) -> Iterator[tuple[int, list[np.ndarray]]]:
             n += len(batch[j]) + 1
             j += 1
         if j == i + 1:
-            yield i, [words_of(batch[i])]
+            yield i, [words_of(batch[i], separates)]
         else:
             bounds = np.cumsum([0] + [len(x) + 1 for x in batch[i:j]])
-            hashes, starts = word_hashes(np.frombuffer(b" ".join(batch[i:j]), np.uint8))
+            hashes, starts = word_hashes(np.frombuffer(b" ".join(batch[i:j]), np.uint8), separates)
             yield i, np.split(hashes, np.searchsorted(starts, bounds[1:-1]))
         i = j
 
