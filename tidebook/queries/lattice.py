@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -96,16 +97,17 @@ def ema_ensemble(spark: SparkSession, d: str) -> DataFrame:
     return shown(df.withColumn("ensemble", F.tanh(total / sum(weights))).drop("mid_price"))
 
 
-@query(f"WITH {S.LATTICE}, e AS (SELECT bin_seq, {S.ema('abs(mid_price)', '5e-2')} AS magnitude, list_reduce(list(mid_price) OVER (ORDER BY bin_seq), lambda m, y: greatest(995e-3 * m, y)) AS decayed, mid_price FROM bins), n AS (SELECT bin_seq, mid_price / greatest(magnitude, 1e-6) AS normalised, decayed FROM e) SELECT bin_seq, round(normalised, 4) + 0e0 AS normalised, round(decayed, 4) + 0e0 AS decayed FROM n")
+@query(f"WITH {S.LATTICE}, e AS (SELECT bin_seq, {S.ema('abs(mid_price)', '5e-2')} AS magnitude, list_reduce(list(mid_price) OVER (ORDER BY bin_seq), lambda m, y: greatest(995e-3 * m, y)) AS decayed, mid_price FROM bins), n AS (SELECT bin_seq, mid_price / greatest(magnitude, 1e-6) AS normalised, mid_price / greatest(decayed, 1e-6) AS share FROM e) SELECT bin_seq, {S.rnd('normalised', 'share')} FROM n")
 def running_magnitudes(spark: SparkSession, d: str) -> DataFrame:
-    """A value by its running mean magnitude, and its decayed running maximum."""
+    """A value over its running mean magnitude, and over its decayed running maximum."""
     def kernel(p: pd.DataFrame) -> pd.DataFrame:
         x = p["mid_price"].to_numpy()
-        return pd.DataFrame({"normalised": x / pd.Series(kernels.ema(abs(x), 0.05)).clip(lower=1e-6).to_numpy(), "decayed": kernels.decayed_max(x, 0.995)})
+        over = lambda scale: x / np.maximum(scale, 1e-6)
+        return pd.DataFrame({"normalised": over(kernels.ema(abs(x), 0.05)), "share": over(kernels.decayed_max(x, 0.995))})
 
     # 0.995 ** 8300 is below what a double can tell, so the maximum needs no more of the past
-    df = apply_chunks(market.bins(spark, d).select("bin_seq", "mid_price"), [], "bin_seq", 8300, kernel, "normalised double, decayed double", chunk=16384)
-    return shown(df.drop("mid_price"), digits=4)
+    df = apply_chunks(market.bins(spark, d).select("bin_seq", "mid_price"), [], "bin_seq", 8300, kernel, "normalised double, share double", chunk=16384)
+    return shown(df.drop("mid_price"))
 
 
 @query(f"WITH {S.LATTICE}, w AS (SELECT bin_seq, k, avg(v_add) OVER a AS mean2, stddev_samp(v_add) OVER a AS std2, sum(v_add) OVER a AS sum2, max(v_add) OVER a AS max2, CASE WHEN k = -5 THEN lead(v_add) OVER b - v_add WHEN k = 5 THEN v_add - lag(v_add) OVER b ELSE (lead(v_add) OVER b - lag(v_add) OVER b) / 2 END AS gradient, lead(v_add) OVER b + lag(v_add) OVER b - 2 * v_add AS curvature FROM cells WINDOW a AS (PARTITION BY bin_seq ORDER BY k ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), b AS (PARTITION BY bin_seq ORDER BY k)) SELECT bin_seq, k, {S.rnd('mean2', 'std2', 'sum2', 'max2', 'gradient', 'curvature')} FROM w")
