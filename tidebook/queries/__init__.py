@@ -1,6 +1,6 @@
 """The registered queries and their oracle SQL."""
 
-from tidebook.queries import control, lattice, orders, trading  # noqa: F401
+from tidebook.queries import control, lattice, models, orders, trading  # noqa: F401
 from tidebook.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

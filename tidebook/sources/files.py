@@ -6,6 +6,7 @@ Paths go through Hadoop's file systems, so they may be local, HDFS or object sto
 from __future__ import annotations
 
 import json
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,3 +105,12 @@ def entity_frame(bins: DataFrame, radius: int, dataset_id: str) -> DataFrame:
     """``bin_seq, k, entity_key`` for every bin and every level."""
     rows = bins.select("bin_seq", F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("k"))
     return rows.withColumn("entity_key", F.concat_ws("__", F.lit(dataset_id), F.col("bin_seq").cast("string"), F.col("k").cast("string")))
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where none is set (local runs)."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path:
+        path = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
