@@ -82,8 +82,11 @@ def read_manifest(spark: SparkSession, path: str) -> dict | None:
     fs, p = _fs(spark, f"{path}/_manifest.json")
     if not fs.exists(p):
         return None
-    text = spark.read.text(f"{path}/_manifest.json", wholetext=True).first()
-    return json.loads(text[0])
+    stream = fs.open(p)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def materialised(spark: SparkSession, path: str, config: dict, build) -> DataFrame:
