@@ -88,7 +88,8 @@ def judged(docs: DataFrame, thresholds: list[tuple[str, str, float | None, float
     df = df.select(
         "*", ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
         share("word_chars", "n_words").alias("mean_word_chars"), share("n_symbols", "n_words").alias("symbols_per_word"),
-        share("n_stop", "n_words").alias("stop_word_share"), share("n_dup_lines", "n_lines").alias("dup_line_share"),
+        # one more of both, so that a few words without a stop word aren't judged by it
+        F.when(F.col("n_words") > 0, (F.col("n_stop") + 1) / (F.col("n_words") + 1)).otherwise(F.lit(0.0)).alias("stop_word_share"), share("n_dup_lines", "n_lines").alias("dup_line_share"),
     )
     rules = compiled(thresholds)
     verdict = ~F.col("base_failed")
@@ -113,7 +114,7 @@ c AS (SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum
       FROM t LEFT JOIN n USING (doc_id)),
 m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
       CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END AS mean_word_chars, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0.0 END AS symbols_per_word,
-      CASE WHEN n_words > 0 THEN n_stop / n_words ELSE 0.0 END AS stop_word_share, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0.0 END AS dup_line_share FROM c)
+      CASE WHEN n_words > 0 THEN (n_stop + 1) / (n_words + 1) ELSE 0.0 END AS stop_word_share, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0.0 END AS dup_line_share FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, mean_word_chars, symbols_per_word, stop_word_share, dup_line_share,
        {", ".join(f"{x} AS pass_{name}" for name, x in tests.items())},
        NOT base_failed AND {" AND ".join(f"({x})" for x in tests.values())} AS kept
