@@ -14,8 +14,21 @@ from tidebook.functions.totals import running_totals
 from tidebook.schemas import FLAG_LAST, FLAG_SNAPSHOT
 
 
-def with_epochs(events: DataFrame) -> DataFrame:
-    """``epoch``: how often the book was cleared up to the event (action R)."""
+#: Clears up to which their numbers go into the plan; a session has one or two.
+FEW_CLEARS = 1000
+
+
+def clears(events: DataFrame) -> list[int] | None:
+    """The numbers of the events that clear the book, if they are few."""
+    found = [r["seq"] for r in events.filter("action = 'R'").select("seq").limit(FEW_CLEARS + 1).collect()]
+    return found if len(found) <= FEW_CLEARS else None
+
+
+def with_epochs(events: DataFrame, few: list[int] | None = None) -> DataFrame:
+    """``epoch``: how often the book was cleared up to the event (action R). `few` is what `clears` found."""
+    if few is not None:
+        at = F.array(*[F.lit(x).cast("long") for x in sorted(few)]) if few else F.array().cast("array<bigint>")
+        return events.withColumn("epoch", F.size(F.filter(at, lambda x: x <= F.col("seq"))).cast("long"))
     cleared = events.withColumn("_r", (F.col("action") == "R").cast("long"))
     return running_totals(cleared, [], "seq", {"epoch": "_r"}, chunk=1 << 20).drop("_r")
 
@@ -41,7 +54,7 @@ def order_states(events: DataFrame) -> DataFrame:
     Add and modify set the order, cancel removes all of it whatever size it names, fill takes at most what is
     left, trades and other actions change nothing.
     """
-    df = with_epochs(events) if "epoch" not in events.columns else events
+    df = events if "epoch" in events.columns else with_epochs(events, clears(events))
     by_order = Window.partitionBy("order_id", "epoch").orderBy("seq")
     running = by_order.rowsBetween(Window.unboundedPreceding, 0)
     sets = F.col("action").isin("A", "M")
@@ -61,6 +74,8 @@ def changes(events: DataFrame) -> DataFrame:
     modified order that isn't known enters the book without counting as an addition. `touched` rows count
     for the mechanics of their tick. Clears leave one row per order that was there.
     """
+    few = clears(events)
+    events = with_epochs(events, few)
     s = order_states(events)
     known = F.coalesce(F.col("was_qty") > 0, F.lit(False))
     zero = F.lit(0).cast("long")
@@ -82,7 +97,9 @@ def changes(events: DataFrame) -> DataFrame:
         .when(F.col("action") == "M", F.array(row(side, tick, size, touched=False)))
     )
     found = s.select("seq", "ts_ns", F.explode(rows).alias("r")).select("seq", "ts_ns", "r.*")
-    ends = with_epochs(events).filter("action = 'R'").select((F.col("epoch") - 1).alias("epoch"), F.col("seq").alias("at"), F.col("ts_ns").alias("at_ns"))
+    if few == []:
+        return found
+    ends = events.filter("action = 'R'").select((F.col("epoch") - 1).alias("epoch"), F.col("seq").alias("at"), F.col("ts_ns").alias("at_ns"))
     last = s.groupBy("order_id", "epoch").agg(F.max_by(F.struct("qty", "at_side", "at_tick"), "seq").alias("z")).filter("z.qty > 0")
     gone = last.join(ends, "epoch").select(F.col("at").alias("seq"), F.col("at_ns").alias("ts_ns"), F.col("z.at_side").alias("side"), F.col("z.at_tick").cast("int").alias("tick"), (-F.col("z.qty")).cast("long").alias("d_depth"), *[zero.alias(x) for x in ("add", "pull", "fill")], F.lit(False).alias("touched"))
     return found.unionByName(gone)
@@ -90,8 +107,9 @@ def changes(events: DataFrame) -> DataFrame:
 
 def resting(events: DataFrame) -> DataFrame:
     """Orders still in the book at the end: ``order_id, side, tick, qty``; the checkpoint of a replay."""
+    events = with_epochs(events, clears(events))
     s = order_states(events)
-    newest = with_epochs(events).agg(F.max("epoch").alias("epoch"))
+    newest = events.agg(F.max("epoch").alias("epoch"))
     last = s.groupBy("order_id", "epoch").agg(F.max_by(F.struct("qty", "at_side", "at_tick"), "seq").alias("z"))
     return last.join(F.broadcast(newest), "epoch").filter("z.qty > 0").select("order_id", F.col("z.at_side").alias("side"), F.col("z.at_tick").alias("tick"), F.col("z.qty").alias("qty"))
 

@@ -9,7 +9,7 @@ from tidebook.functions.scalar import tick
 from tidebook.operators import book, fold, joins, quality
 from tidebook.queries import sql as S
 from tidebook.queries.registry import query, shown
-from tidebook.sources import market, mbo
+from tidebook.sources import files, market, mbo
 
 DAY_US = 86_400_000_000
 MONTH = 30 * DAY_US
@@ -32,9 +32,10 @@ def numbered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def changed(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
-    events = numbered(spark, d).withColumn("epoch", F.lit(0))
+    """Changes of the book with their bin, stored since depth and best prices read them several times, and the first time."""
+    events = files.stored(numbered(spark, d), "order-events")
     t0 = events.agg(F.min("ts_ns")).first()[0] or 0
-    return book.changes(events.drop("epoch")).withColumn("bin_seq", F.expr(f"(ts_ns - {t0}) div {MONTH * 1000}")), t0
+    return files.stored(book.changes(events).withColumn("bin_seq", F.expr(f"(ts_ns - {t0}) div {MONTH * 1000}")), "book-changes"), t0
 
 
 @query(f"WITH {S.ORDERS}, {_DEPTH} SELECT bin_seq, side, tick, depth FROM dp")
@@ -52,13 +53,13 @@ def book_best_prices(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {S.ORDERS}, {_DEPTH}, gr AS (SELECT bin_seq, spot, unnest(range(-5, 6)) AS k FROM bs WHERE spot IS NOT NULL) SELECT g.bin_seq, CAST(g.k AS INTEGER) AS k, CAST(coalesce(sum(depth) FILTER (side = 'B'), 0) AS BIGINT) AS bid_depth, CAST(coalesce(sum(depth) FILTER (side = 'A'), 0) AS BIGINT) AS ask_depth FROM gr g LEFT JOIN dp ON dp.bin_seq = g.bin_seq AND dp.tick = g.spot + g.k GROUP BY g.bin_seq, g.k")
 def depth_around_spot(spark: SparkSession, d: str) -> DataFrame:
     c, _ = changed(spark, d)
-    depths = book.depth(c, c.select("bin_seq"))
+    depths = files.stored(book.depth(c, c.select("bin_seq")), "book-depth")
     return book.around_spot(depths, book.best_prices(depths), 5)
 
 
 @query(f"WITH {S.ORDERS}, r AS (SELECT order_id, side, tick, sum(CASE WHEN step = 0 THEN size WHEN action = 'F' THEN -size ELSE -1000000000 END) AS q FROM oe GROUP BY 1, 2, 3) SELECT side, tick, count(*) AS n_orders, CAST(sum(q) AS BIGINT) AS qty FROM r WHERE q > 0 GROUP BY side, tick")
 def resting_orders(spark: SparkSession, d: str) -> DataFrame:
-    return book.resting(numbered(spark, d)).groupBy("side", "tick").agg(F.count("*").alias("n_orders"), F.sum("qty").alias("qty"))
+    return book.resting(files.stored(numbered(spark, d), "order-events")).groupBy("side", "tick").agg(F.count("*").alias("n_orders"), F.sum("qty").alias("qty"))
 
 
 @query(f"WITH {S.ORDERS}, {_BIN}, e AS (SELECT (us - t0) // {MONTH} AS bin_seq, action, size, order_id FROM oe, first) SELECT bin_seq, action, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM e GROUP BY bin_seq, action")
