@@ -57,27 +57,32 @@ FOLD[123:128] = 32
 FOLD[65:91] = np.arange(97, 123)
 
 
-def features(text: bytes) -> np.ndarray:
+def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that a text has, and the share of its trigrams in each."""
     data = np.frombuffer(b" " + text + b" ", np.uint8)
     counts = np.bincount(_trigrams(data), minlength=1 << BITS) if len(data) > 2 else np.zeros(1 << BITS)
-    return (counts / max(1, counts.sum())).astype(np.float32)
+    filled = np.flatnonzero(counts)
+    return filled.astype(np.uint16), (counts[filled] / max(1, counts.sum())).astype(np.float32)
 
 
-def svm(x: np.ndarray, y: np.ndarray, seed: int, cost: float = 10.0) -> tuple[np.ndarray, float]:
-    """A linear SVM with hinge loss by dual coordinate descent; y is 1 or -1. Returns weights and bias."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w, alpha, norms, order = np.zeros(x.shape[1], np.float32), np.zeros(len(x)), (x * x).sum(axis=1), np.random.default_rng(seed)
+def svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int, cost: float = 10.0) -> tuple[np.ndarray, float]:
+    """A linear SVM with hinge loss by dual coordinate descent over sparse rows; y is 1 or -1. Returns weights and bias."""
+    w, bias, alpha = np.zeros(1 << BITS, np.float32), 0.0, np.zeros(len(rows))
+    norms, order = [float(v @ v) + 1 for _, v in rows], np.random.default_rng(seed)
     for _ in range(EPOCHS):
         most = 0.0
-        for i in order.permutation(len(x)):
-            step = np.clip(alpha[i] - (y[i] * (w @ x[i]) - 1) / norms[i], 0, cost) - alpha[i]
+        for i in order.permutation(len(rows)):
+            at, values = rows[i]
+            margin = y[i] * (float(w[at] @ values) + bias)
+            step = min(max(alpha[i] - (margin - 1) / norms[i], 0.0), cost) - alpha[i]
             if step:
                 alpha[i] += step
-                w += np.float32(step * y[i]) * x[i]
+                w[at] += np.float32(step * y[i]) * values
+                bias += step * y[i]
                 most = max(most, abs(step))
         if most < 1e-3 * cost:
             break
-    return w[:-1], float(w[-1])
+    return w, bias
 
 
 class Model:
@@ -90,19 +95,20 @@ class Model:
         self.bias: list[float] = []
         self.spread: list[float] = []
 
-    def fit(self, x: np.ndarray, labels: np.ndarray) -> Model:
-        x = (x * self.scale).astype(np.float32)
+    def fit(self, x: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
+        x = [(at, values * np.float32(self.scale)) for at, values in x]
         groups = np.array([family(lang) for lang in labels])
         jobs = [(a, b, groups) for a, b in combinations(sorted(set(groups)), 2)]
         for f in sorted(set(groups)):
             jobs += [(a, b, labels) for a, b in combinations(sorted(set(labels[groups == f])), 2)]
         for i, (a, b, of) in enumerate(jobs):
-            rows = (of == a) | (of == b)
-            w, bias = svm(x[rows], np.where(of[rows] == a, 1.0, -1.0), i)
+            at = np.flatnonzero((of == a) | (of == b))
+            rows = [x[j] for j in at]
+            w, bias = svm(rows, np.where(of[at] == a, 1.0, -1.0), i)
             self.pairs.append((a, b))
             self.weights.append((w * self.scale).astype(np.float32))
             self.bias.append(bias)
-            self.spread.append(float(np.median(np.abs(x[rows] @ w + bias))) or 1.0)
+            self.spread.append(float(np.median([abs(float(w[c] @ v) + bias) for c, v in rows])) or 1.0)
         return self
 
     def choose(self, margins: np.ndarray, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -171,32 +177,36 @@ def held_out(doc_id: Column) -> Column:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [features(x) for x in texts(batch.column(1))]
-        filled = [np.flatnonzero(x) for x in found]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(filled, pa.list_(pa.int64())), pa.array([x[i] for x, i in zip(found, filled, strict=True)], pa.list_(pa.float32()))], ["lang", "bucket", "share"]
-        )
+        found = [features(x) for x in texts(batch.column(2))]
+        columns = [pa.array([x.tobytes() for x in c], pa.binary()) for c in (zip(*found, strict=True) if found else ((), ()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["lang", "h", "buckets", "shares"])
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fit on the bounded sample described above; None without any labelled row."""
+    """Fit on the bounded sample described above; None without any labelled row.
+
+    The labelled rows of each language are counted, and a hash cutoff lets some more than `sample` of them
+    through. Only those are turned into features, and the smallest hashes of them stay.
+    """
     rows = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    langs = sorted(r["lang"] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(langs) > MOST_LANGUAGES:
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not langs:
+    if not counts:
         return None
-    ids: set = set()
-    by_hash = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    for lang in langs:
-        ids |= {r["doc_id"] for r in by_hash.filter(F.col("lang") == lang).orderBy("h", "doc_id").limit(sample).collect()}
-    chosen = rows.filter(F.col("doc_id").isin(sorted(ids))).select("lang", F.lower("text").alias("text"))
-    counted = chosen.mapInArrow(_counted, "lang string, bucket array<bigint>, share array<float>").limit(2 * sample * len(langs)).collect()
-    counted.sort(key=lambda r: (r["lang"], r["bucket"][:50], r["share"][:50]))
-    x = np.zeros((len(counted), 1 << BITS), np.float32)
-    for i, r in enumerate(counted):
-        x[i, r["bucket"]] = r["share"]
-    return Model(langs, 30.0).fit(x, np.array([r["lang"] for r in counted]))
+    h = F.shiftrightunsigned(F.xxhash64("doc_id"), 32)
+    cutoffs = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1 << 32, int((sample + 5 * sample**0.5) / n * (1 << 32))))])
+    chosen = rows.select("lang", h.alias("h"), F.lower("text").alias("text")).filter(F.col("h") < cutoffs[F.col("lang")])
+    counted = chosen.mapInArrow(_counted, "lang string, h bigint, buckets binary, shares binary").limit(2 * sample * len(counts)).collect()
+    counted.sort(key=lambda r: (r["lang"], r["h"], r["buckets"], r["shares"]))
+    taken: dict[str, list] = {}
+    for r in counted:
+        own = taken.setdefault(r["lang"], [])
+        if len(own) < sample:
+            own.append((np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["shares"], np.float32)))
+    del counted
+    langs = sorted(counts)
+    return Model(langs, 30.0).fit([x for lang in langs for x in taken.get(lang, ())], np.array([lang for lang in langs for _ in taken.get(lang, ())]))
 
 
 def _predicted(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
