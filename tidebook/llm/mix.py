@@ -21,6 +21,8 @@ documents of a block, never over all documents of a source in one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ BLOCK_DOCS = 256
 TOP_UPS = 4
 SEED = 20240611
 BROADCAST_SOURCES = 100_000
+#: Drawn blocks per output shard, at most; the tree has as many levels as that takes.
+SHARD_BLOCKS = 16
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -113,14 +117,18 @@ def split(units: DataFrame, levels: int) -> DataFrame:
     return units
 
 
-def shards(draws: DataFrame, levels: int) -> DataFrame:
+def depth(n_units: int) -> int:
+    return max(0, math.ceil(math.log2(max(1, n_units) / SHARD_BLOCKS)))
+
+
+def shards(draws: DataFrame, levels: int | None = None) -> DataFrame:
     """``sid, block, copy, shard``: the shard of each drawn block. `draws` is what `drawn` returns."""
     most = draws.groupBy("sid", "block").agg(F.max("copies").alias("copies")).filter("copies > 0")
     units = stored(most.select("sid", "block", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")), "mix-units")
-    return split(units, levels)
+    return split(units, depth(units.count()) if levels is None else levels)
 
 
-def mix(docs: DataFrame, levels: int = 4) -> DataFrame:
+def mix(docs: DataFrame, levels: int | None = None) -> DataFrame:
     """One row per row of `docs`: ``doc_id, size, source_size, target, taken, source, copies, shards``.
 
     ``taken`` is copies times size, ``shards`` the output shards of the copies. A null text has size 0; a
@@ -135,18 +143,22 @@ def mix(docs: DataFrame, levels: int = 4) -> DataFrame:
     return df.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies", F.coalesce(at, F.array().cast("array<bigint>")).alias("shards"), "row")
 
 
-def mixed_documents(docs: DataFrame, levels: int = 4) -> DataFrame:
+def mixed_documents(docs: DataFrame, levels: int | None = None) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it, shard by shard and shuffled inside a shard.
 
-    Columns are those of `docs`. Copies are counted by (doc_id, source, text), of which equal rows share.
+    Columns are those of `docs`. Copies are counted by (doc_id, source, size): rows equal in these (repeated
+    rows among them) deal the copies out among themselves.
     """
-    keyed = docs.withColumn("_size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(NON_WHITE)).cast("long"))
-    taken = mix(docs, levels).filter("copies > 0").groupBy("doc_id", "source", "size").agg(F.flatten(F.collect_list("shards")).alias("_shards"), F.count("*").alias("_n"))
-    plan = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), "_shards")
-    same = keyed["doc_id"].eqNullSafe(plan["_id"]) & keyed["source"].eqNullSafe(plan["_source"]) & (keyed["_size"] == plan["_words"])
-    # rows that share doc_id, source and size (repeated rows) deal the copies out among themselves
-    number = Window.partitionBy("doc_id", "source", "_size").orderBy("text")
-    dealt = keyed.join(plan, same).withColumn("_i", F.row_number().over(number)).withColumn("_of", F.count("*").over(Window.partitionBy("doc_id", "source", "_size")))
-    mine = F.filter("_shards", lambda x, i: i % F.col("_of") == F.col("_i") - 1)
-    spread = dealt.withColumn("_shard", F.explode(mine)).withColumn("_order", F.xxhash64(F.lit(SEED + 99), "doc_id", "_shard"))
-    return spread.repartition(2**levels, "_shard").sortWithinPartitions("_shard", "_order").select(*docs.columns)
+    names = docs.columns
+    own = [f"c{i}" for i in range(len(names))]
+    doc_id, source, text = (f"c{names.index(c)}" for c in ("doc_id", "source", "text"))
+    mixed = stored(mix(docs, levels).filter("copies > 0"), "mix-taken")
+    n_shards = 1 + (mixed.agg(F.max(F.array_max("shards"))).first()[0] or 0)
+    taken = mixed.groupBy("doc_id", "source", "size").agg(F.flatten(F.collect_list("shards")).alias("shards"))
+    rows = docs.toDF(*own).withColumn("words", F.regexp_count(F.coalesce(text, F.lit("")), F.lit(NON_WHITE)).cast("long"))
+    same = F.col(doc_id).eqNullSafe(taken["doc_id"]) & F.col(source).eqNullSafe(taken["source"]) & (F.col("words") == taken["size"])
+    equal = Window.partitionBy(doc_id, source, "words")
+    dealt = rows.join(taken, same).withColumn("i", F.row_number().over(equal.orderBy(text))).withColumn("of", F.count("*").over(equal))
+    mine = F.filter("shards", lambda x, i: i % F.col("of") == F.col("i") - 1)
+    spread = dealt.withColumn("shard", F.explode(mine)).withColumn("place", F.xxhash64(F.lit(SEED + 99), doc_id, "shard"))
+    return spread.repartition(n_shards, "shard").sortWithinPartitions("shard", "place").select(*own).toDF(*names)
