@@ -34,6 +34,8 @@ BLOCK_DOCS = 256
 TOP_UPS = 4
 SEED = 20240611
 BROADCAST_SOURCES = 100_000
+#: Rows up to which the plan of copies (some 50 bytes a row) is broadcast to the documents.
+BROADCAST_PLAN = 300_000
 #: Drawn blocks per output shard, at most; the tree has as many levels as that takes.
 SHARD_BLOCKS = 16
 
@@ -152,13 +154,16 @@ def mixed_documents(docs: DataFrame, levels: int | None = None) -> DataFrame:
     names = docs.columns
     own = [f"c{i}" for i in range(len(names))]
     doc_id, source, text = (f"c{names.index(c)}" for c in ("doc_id", "source", "text"))
-    mixed = stored(mix(docs, levels).filter("copies > 0"), "mix-taken")
+    mixed = stored(mix(docs, levels).select("doc_id", "source", "size", "shards"), "mix-taken")
     n_shards = 1 + (mixed.agg(F.max(F.array_max("shards"))).first()[0] or 0)
-    taken = mixed.groupBy("doc_id", "source", "size").agg(F.flatten(F.collect_list("shards")).alias("shards"))
+    taken = mixed.groupBy("doc_id", "source", "size").agg(F.flatten(F.collect_list("shards")).alias("shards"), F.count("*").alias("of"))
+    taken = small(stored(taken.filter(F.size("shards") > 0), "mix-plan"), BROADCAST_PLAN)
     rows = docs.toDF(*own).withColumn("words", F.regexp_count(F.coalesce(text, F.lit("")), F.lit(NON_WHITE)).cast("long"))
     same = F.col(doc_id).eqNullSafe(taken["doc_id"]) & F.col(source).eqNullSafe(taken["source"]) & (F.col("words") == taken["size"])
-    equal = Window.partitionBy(doc_id, source, "words")
-    dealt = rows.join(taken, same).withColumn("i", F.row_number().over(equal.orderBy(text))).withColumn("of", F.count("*").over(equal))
-    mine = F.filter("shards", lambda x, i: i % F.col("of") == F.col("i") - 1)
-    spread = dealt.withColumn("shard", F.explode(mine)).withColumn("place", F.xxhash64(F.lit(SEED + 99), doc_id, "shard"))
+    dealt = rows.join(taken, same).select(*own, "words", "shards", "of")
+    # only rows with equals have to be numbered, which takes a shuffle
+    number = F.row_number().over(Window.partitionBy(doc_id, source, "words").orderBy(text)) - 1
+    equals = dealt.filter("of > 1").withColumn("i", number)
+    equals = equals.withColumn("shards", F.filter("shards", lambda x, i: i % F.col("of") == F.col("i"))).drop("i")
+    spread = dealt.filter("of = 1").unionByName(equals).withColumn("shard", F.explode("shards")).withColumn("place", F.xxhash64(F.lit(SEED + 99), doc_id, "shard"))
     return spread.repartition(n_shards, "shard").sortWithinPartitions("shard", "place").select(*own).toDF(*names)
