@@ -148,15 +148,8 @@ def across(members: DataFrame, leaders: DataFrame, compared: DataFrame, labels:
     return stored(rows.join(other, "key").filter(fits).select(F.col("cid").alias("a"), F.col("cid2").alias("b")).distinct(), "minhash-across")
 
 
-def grouped(docs: DataFrame, size: int = 2) -> DataFrame:
-    """One row per row of `docs`: ``doc_id, n_shingles, component_id, kept, component``.
-
-    Documents are linked if the Jaccard similarity of their sets of `size`-word shingles is at least 0.8.
-    ``component_id`` is the smallest doc_id of the component, ``kept`` says that it is the row's own;
-    ``component`` numbers the components. A text without words, or null, has an empty set, is linked with
-    nothing and kept. A null doc_id has component_id null only if its whole component has; it is then kept
-    by none of its rows. Repeated rows are copies of each other. Further columns are ignored.
-    """
+def labelled(docs: DataFrame, size: int) -> DataFrame:
+    """Stored: ``doc_id, text_hash, n_shingles, component`` of every row; the component is null for an empty set."""
     signed = signatures(docs, size)
     nodes = classes(signed)
     buckets = nodes.select("cid", F.explode("bands").alias("key"))
@@ -175,7 +168,20 @@ def grouped(docs: DataFrame, size: int = 2) -> DataFrame:
     if not more.isEmpty():
         labels = components(links.unionByName(linked(confirmed(docs, more, nodes, size))))
     named = nodes.select("node", "cid").join(labels, "cid", "left").select("node", F.coalesce("component", "cid").alias("component"))
-    rows = stored(signed.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("doc_id", "n_shingles", "component"), "minhash-rows")
+    rows = signed.select("doc_id", "text_hash", "n_shingles", "node").join(named, "node", "left")
+    return stored(rows.select("doc_id", "text_hash", "n_shingles", "component"), "minhash-rows")
+
+
+def grouped(docs: DataFrame, size: int = 2) -> DataFrame:
+    """One row per row of `docs`: ``doc_id, n_shingles, component_id, kept, component``.
+
+    Documents are linked if the Jaccard similarity of their sets of `size`-word shingles is at least 0.8.
+    ``component_id`` is the smallest doc_id of the component, ``kept`` says that it is the row's own;
+    ``component`` numbers the components. A text without words, or null, has an empty set, is linked with
+    nothing and kept. A null doc_id has component_id null only if its whole component has; it is then kept
+    by none of its rows. Repeated rows are copies of each other. Further columns are ignored.
+    """
+    rows = labelled(docs, size)
     firsts = stored(rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("first")), "minhash-firsts")
     found = rows.join(firsts, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("first")))
     kept = F.col("component").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
@@ -183,16 +189,23 @@ def grouped(docs: DataFrame, size: int = 2) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, size: int = 5) -> DataFrame:
-    """The documents without near copies: of every component the row of smallest doc_id stays, with its own columns.
+    """The documents without near copies, with their own columns: of every component one row stays.
 
-    Of rows that repeat doc_id and text one stays. Texts without words are all kept.
+    It is the row of smallest doc_id, null last, and of these the one whose text hashes lowest; of rows equal in
+    doc_id and text one stays. Texts without words are all kept.
     """
-    judged = stored(grouped(docs, size), "minhash-judged")
-    dropped = stored(judged.filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "minhash-dropped")
-    repeats = stored(judged.filter("component is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id")), "minhash-repeats")
-    same = lambda ids: docs["doc_id"].eqNullSafe(ids["_id"])
-    rest = docs.join(small(dropped, BROADCAST_ROWS), same(dropped), "left_anti")
+    rows = labelled(docs, size).filter("component is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")
+    groups = stored(rows.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1"), "minhash-groups")
+    members = rows.join(groups.select("component", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")), "component")
+    stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+    members = stored(members.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), stays.alias("stays")).agg(F.count("*").alias("n")), "minhash-members-kept")
+    dropped, repeats = members.filter("not stays"), members.filter("stays and n > 1")
+    same = lambda d, m: d["doc_id"].eqNullSafe(m["_id"]) & (F.xxhash64(d["text"]) == m["_hash"])
+    dropped = small(dropped, BROADCAST_ROWS)
+    rest = docs.join(dropped, same(docs, dropped), "left_anti")
     if repeats.isEmpty():
         return rest
-    twice = rest.join(small(repeats, BROADCAST_ROWS), rest["doc_id"].eqNullSafe(repeats["_id"]), "left_semi")
-    return rest.join(small(repeats, BROADCAST_ROWS), rest["doc_id"].eqNullSafe(repeats["_id"]), "left_anti").unionByName(twice.dropDuplicates(["doc_id", "text"]))
+    repeats = small(repeats, BROADCAST_ROWS)
+    twice = rest.join(repeats, same(rest, repeats), "left_semi")
+    return rest.join(repeats, same(rest, repeats), "left_anti").unionByName(twice.dropDuplicates(["doc_id", "text"]))
