@@ -111,11 +111,17 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in tree], pa.int64()), pa.array([r for _, r in tree], pa.int64())], ["a", "b"])
 
 
+def stars(links: DataFrame) -> bool:
+    """Whether the links ``a, b`` are stars: no node is a leaf twice, and no leaf is a centre. Then each star is a component."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")), F.struct(F.col("b").alias("id"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))).alias("x")).select("x.*")
+    roles = ends.groupBy("id").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
+    return roles.filter((F.col("leaf") > 1) | ((F.col("leaf") > 0) & (F.col("centre") > 0))).isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """Stored: ``cid, component`` of all nodes with links; the component is its smallest node."""
     links = stored(links.mapInArrow(_forest, "a bigint, b bigint"), "links")
-    total = None
-    while True:
+    while not stars(links):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "links-least")
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
@@ -123,12 +129,8 @@ def components(links: DataFrame) -> DataFrame:
         least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "links-least")
         small_star = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x"))
         links = stored(small_star.select("x.*").filter("a != b").distinct(), "links-small")
-        # a star per component: as many links as nodes that aren't centres, and no centre is a leaf
-        now = tuple(links.agg(F.count("*"), F.countDistinct("a"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
-        if now == total:
-            roots = links.select(F.col("b").alias("cid"), F.col("b").alias("component")).distinct()
-            return stored(links.select(F.col("a").alias("cid"), F.col("b").alias("component")).unionByName(roots), "components")
-        total = now
+    roots = links.select(F.col("b").alias("cid"), F.col("b").alias("component")).distinct()
+    return stored(links.select(F.col("a").alias("cid"), F.col("b").alias("component")).unionByName(roots), "components")
 
 
 def across(members: DataFrame, leaders: DataFrame, compared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
