@@ -3,9 +3,10 @@
 1. One pass of Python hashes each text into its shingle set, the set's 128-bit digest, and band keys.
    Documents with equal sets form a class; from here on a class is one node, however many copies it has.
 2. Every bucket (band key) of two or more classes gets a leader, its smallest class, and each class is
-   paired with the leaders of its buckets: at most one pair per class and band, never all pairs.
+   paired with the smallest of the leaders of its buckets: one pair a class.
 3. Pairs are confirmed on full sets, and components are formed: union-find inside each partition, then
-   large-star and small-star joins until nothing changes.
+   large-star and small-star joins until only stars are left. In buckets that still hold several components,
+   every class is paired with the leader of the bucket, and components are formed again.
 4. Two classes that share a bucket but not a component may still be linked. Just these pairs of a bucket
    are compared too. A pair with the same leader is left out if the leader's exact distances rule the
    link out (the Jaccard distance is a metric). After that, every pair with a common bucket has been
@@ -133,15 +134,25 @@ def components(links: DataFrame) -> DataFrame:
     return stored(links.select(F.col("a").alias("cid"), F.col("b").alias("component")).unionByName(roots), "components")
 
 
-def across(members: DataFrame, leaders: DataFrame, compared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+def fitting(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``a, b`` of the pairs ``leader, cid`` of two classes whose sizes allow a link."""
+    size = lambda x, n: nodes.select(F.col("cid").alias(x), F.col("n_shingles").alias(n))
+    both = pairs.filter("cid != leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).join(size("a", "n1"), "a").join(size("b", "n2"), "b")
+    return stored(both.filter(100 * F.least("n1", "n2") >= SIMILAR * F.greatest("n1", "n2")).select("a", "b"), "minhash-pairs")
+
+
+def mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Stored: ``key, cid, leader, component`` of the buckets that hold several components."""
+    labelled = stored(members.join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "minhash-labelled")
+    several = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    return stored(labelled.join(stored(several, "minhash-mixed"), "key"), "minhash-mixed-rows")
+
+
+def across(rows: DataFrame, compared: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs ``a, b`` that share a bucket, are in different components, and may yet be linked."""
-    labelled = members.join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    labelled = stored(labelled, "minhash-labelled")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    rows = labelled.join(stored(mixed, "minhash-mixed"), "key").join(leaders, "key")
     seen = compared.select(F.col("a").alias("leader"), F.col("b").alias("cid"), (1 - F.col("common") / F.col("total")).alias("far"))
     rows = rows.join(seen, ["leader", "cid"], "left").join(nodes.select("cid", "n_shingles"), "cid")
-    rows = stored(rows.filter("cid != leader").select("key", "cid", "component", "n_shingles", "far"), "minhash-mixed-rows")
+    rows = stored(rows.filter("cid != leader").select("key", "cid", "component", "n_shingles", "far"), "minhash-across-rows")
     other = rows.select("key", *[F.col(c).alias(f"{c}2") for c in ("cid", "component", "n_shingles", "far")])
     least, slack = SIMILAR / 100, 1e-9
     fits = (F.col("cid") < F.col("cid2")) & (F.col("component") != F.col("component2"))
@@ -156,16 +167,20 @@ def labelled(docs: DataFrame, size: int) -> DataFrame:
     nodes = classes(signed)
     buckets = nodes.select("cid", F.explode("bands").alias("key"))
     leaders = stored(buckets.groupBy("key").agg(F.min("cid").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader"), "minhash-leaders")
-    members = stored(buckets.join(leaders.select("key"), "key"), "minhash-members")
-    sizes = nodes.select("cid", "n_shingles")
-    fits = 100 * F.least("n1", "n2") >= SIMILAR * F.greatest("n1", "n2")
-    pairs = members.join(leaders, "key").filter("cid != leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
-    pairs = pairs.join(sizes.select(F.col("cid").alias("a"), F.col("n_shingles").alias("n1")), "a").join(sizes.select(F.col("cid").alias("b"), F.col("n_shingles").alias("n2")), "b")
-    pairs = stored(pairs.filter(fits).select("a", "b"), "minhash-pairs")
-    compared = confirmed(docs, pairs, nodes, size)
+    members = stored(buckets.join(leaders, "key"), "minhash-members")
+    first = members.groupBy("cid").agg(F.min("leader").alias("leader"))
+    compared = confirmed(docs, fitting(first, nodes), nodes, size)
     links = linked(compared)
     labels = components(links)
-    more = across(members, leaders, compared, labels, nodes).join(compared, ["a", "b"], "left_anti")
+    # what is connected needs no more comparing; where a bucket has several components, all of it meets its leader
+    rest = mixed(members, labels).select("cid", "leader").distinct()
+    rest = rest.join(compared.select(F.col("a").alias("leader"), F.col("b").alias("cid")), ["leader", "cid"], "left_anti")
+    rest = stored(fitting(rest, nodes), "minhash-rest")
+    if not rest.isEmpty():
+        compared = stored(compared.unionByName(confirmed(docs, rest, nodes, size)), "minhash-compared-2")
+        links = linked(compared)
+        labels = components(links)
+    more = across(mixed(members, labels), compared, nodes).join(compared, ["a", "b"], "left_anti")
     more = stored(more, "minhash-more")
     if not more.isEmpty():
         labels = components(links.unionByName(linked(confirmed(docs, more, nodes, size))))
