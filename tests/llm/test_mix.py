@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -68,3 +69,23 @@ def test_stage(odd, docs, none):
         whole = {tuple(r) for r in df.collect()}
         assert all(tuple(r) in whole for r in out.collect())
     assert M.mixed_documents(none).count() == 0 and M.mix(none).count() == 0
+
+
+def test_long_documents_do_not_stop_the_filling(spark):
+    """However long a document at the cut is, the others fill the target until none improves it."""
+    rng = random.Random(3)
+    sources = {f"s{i}": [100] * 600 + [60_000] for i in range(8)} | {f"t{i}": [rng.randint(1, 900) for _ in range(700)] + [90_000, 200_000] for i in range(4)} | {"u": [7, 7, 7], "v": [5000, 40]}
+    share = {"s": 0.35, "t": 0.5, "u": 1.5, "v": 0.9}
+    rows = [(n, n, s, size, rng.getrandbits(62)) for n, (s, size) in enumerate((s, x) for s, sizes in sources.items() for x in sizes)]
+    sizes = spark.createDataFrame(rows, "row bigint, doc_id bigint, source string, size bigint, key bigint")
+    of = [(i, s, sum(x), len(x), 1, float(round(sum(x) * share[s[0]]))) for i, (s, x) in enumerate(sources.items())]
+    draws = M.drawn(sizes, spark.createDataFrame(of, "sid int, source string, source_size bigint, n_docs bigint, weight int, target double")).collect()
+    assert len(draws) == len(rows)
+    for sid, s, size, _, _, target in of:
+        mine = [r for r in draws if r.sid == sid]
+        gap = target - sum(r.copies * r.size for r in mine)
+        whole = int(target // size)
+        assert s[0] in "uv" or abs(gap) <= 50, (s, gap)
+        # no document that may still come, or go, would bring the source nearer
+        assert all(abs(gap - r.size) >= abs(gap) for r in mine if r.copies == whole), (s, gap)
+        assert all(abs(gap + r.size) >= abs(gap) for r in mine if r.copies > whole), (s, gap)

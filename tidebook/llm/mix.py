@@ -7,8 +7,10 @@
    a block is a random, disjoint part of its source however large that is. A block is drawn once for each
    whole time that the target holds the source, and once more if it is among the first blocks, in block
    order, whose words fill the rest of the target. The block that the target ends in is drawn in part:
-   whole documents, in permuted order, as long as they fit; then, in `TOP_UPS` rounds, the one document
-   whose coming or going brings the source nearest to its target does so. Documents are never cut.
+   whole documents, in permuted order, as long as they fit; documents longer than the rest are passed over.
+   Rounds go on from there until no document's coming or going brings a source nearer to its target: what
+   is left is filled by those that fit twice, in the same order; if there is none, the nearest one comes.
+   Above the target documents go by the same rule. Documents are never cut.
 3. Splitting tree. The root holds all drawn blocks and all output shards. A node gives a random half of its
    blocks, of exact size, to its left child: given the block counts of the sources in the node, the counts
    that go left follow the multivariate hypergeometric law. The leaves are the shards; block quotas add up
@@ -21,6 +23,7 @@ documents of a block, never over all documents of a source in one task.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -31,7 +34,6 @@ from tidebook.llm.common import NON_WHITE, small, stored
 MOST = 3
 CYCLE = 3
 BLOCK_DOCS = 256
-TOP_UPS = 4
 SEED = 20240611
 BROADCAST_SOURCES = 100_000
 #: Rows up to which the plan of copies (some 50 bytes a row) is broadcast to the documents.
@@ -70,6 +72,41 @@ def targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
     return stored(df.select("sid", "source", "source_size", "n_docs", "weight", "target"), "mix-targets")
 
 
+def flipped(near: DataFrame, gaps: DataFrame, share: int) -> DataFrame:
+    """One round: `near` with ``gap, flip``, where ``flip`` says that the document comes (or, above the target, goes).
+
+    In the order of blocks and keys these are the first documents, none longer than the gap by `share`, that
+    the gap holds; where no document is that short, the one that leaves the least of the gap (after the first
+    round also where one leaves nothing). `near` has all
+    documents in the first round (`share` 1); in later ones those that can't bring their source nearer are left out.
+    From the second round on, two rounds at least halve a gap, or leave nothing that fits into it.
+    """
+    rest = F.abs("gap")
+    if share == 1:
+        df = near.join(gaps, "sid", "left")
+    else:
+        df = near.join(gaps, "sid").filter(F.col("size") < 2 * rest)
+    side = F.coalesce(F.col("extra") == (F.col("gap") < 0), F.lit(False))
+    df = df.withColumn("may", side & (F.col("size") > 0) & (F.col("size") < 2 * rest))
+    # documents without words are drawn along with their block
+    df = df.withColumn("fits", side & (F.col("size") * share <= rest) & ((F.col("size") > 0) | F.lit(share == 1)))
+    sums = df.filter("fits").groupBy("sid", "block").agg(F.sum("size").alias("words"))
+    upto = Window.partitionBy("sid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("sid", "block", F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("before"))
+    sums = small(stored(sums, "mix-block-sums"), BROADCAST_SOURCES)
+    nearest = F.min(F.when(F.col("may"), F.struct(F.abs(rest - F.col("size")).alias("off"), "size", "key", "doc_id", "row")))
+    one = df.groupBy("sid").agg(F.max(F.col("fits") & F.col("may")).alias("any"), nearest.alias("nearest"))
+    # a document that fills the gap to the word ends the rounds sooner
+    one = one.filter(~F.col("any") | F.lit(share > 1) & (F.col("nearest.off") == 0)).select("sid", F.col("nearest.row").alias("nearest")).filter("nearest is not null")
+    one = small(stored(one, "mix-nearest"), BROADCAST_SOURCES)
+    in_block = Window.partitionBy("sid", "block").orderBy("key", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("before") + F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).over(in_block)
+    df = df.join(sums, ["sid", "block"], "left").withColumn("upto", upto).join(one, "sid", "left")
+    prefix = F.col("fits") & F.coalesce(F.col("upto") <= rest, F.lit(False))
+    flip = F.when(F.col("nearest").isNull() | (F.col("size") == 0), prefix).otherwise(F.col("row") == F.col("nearest"))
+    return df.withColumn("flip", flip).drop("may", "fits", "before", "upto", "nearest")
+
+
 def drawn(sizes: DataFrame, by_source: DataFrame) -> DataFrame:
     """``row, doc_id, source, sid, block, size, key, source_size, target, copies``: how often the mix takes each row."""
     sources = small(by_source, BROADCAST_SOURCES)
@@ -78,23 +115,27 @@ def drawn(sizes: DataFrame, by_source: DataFrame) -> DataFrame:
     df = df.withColumn("block", F.pmod(F.xxhash64(F.lit(SEED + 1), "key"), n_blocks))
     df = df.withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     df = stored(df.withColumn("quota", F.round(F.col("target") - F.col("times") * F.col("source_size")).cast("long")).drop("name", "n_docs", "weight"), "mix-blocks")
-    blocks = df.groupBy("sid", "block", "quota").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("sid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("sid", "block", F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("before"))
-    blocks = small(stored(blocks, "mix-block-sums"), BROADCAST_SOURCES)
-    in_block = Window.partitionBy("sid", "block").orderBy("key", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.join(blocks, ["sid", "block"]).withColumn("upto", F.col("before") + F.sum("size").over(in_block))
-    # a source's words end before its quota does only if target is a multiple of the size; then the quota is 0
-    df = stored(df.withColumn("extra", (F.col("upto") <= F.col("quota")) & (F.col("quota") > 0)), "mix-drawn")
-    for _ in range(TOP_UPS):
-        gaps = df.groupBy("sid", "quota").agg(F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))), F.lit(0)).alias("got"))
-        gaps = small(stored(gaps.select("sid", (F.col("quota") - F.col("got")).alias("gap")).filter("gap != 0"), "mix-gaps"), BROADCAST_SOURCES)
-        # below the quota a document comes in, above it one goes, if that brings the source nearer
-        nearer = df.filter("size > 0").join(gaps, "sid").filter((F.col("extra") == (F.col("gap") < 0)) & (F.col("size") < 2 * F.abs("gap")))
-        off = F.abs(F.abs("gap") - F.col("size")).alias("off")
-        picked = nearer.groupBy("sid").agg(F.min(F.struct(off, "size", "key", "doc_id", "row"))["row"].alias("row"))
-        picked = small(stored(picked.select("row", F.lit(True).alias("picked")), "mix-picked"), BROADCAST_SOURCES)
-        df = df.join(picked, "row", "left").withColumn("extra", F.col("extra") != F.coalesce("picked", F.lit(False))).drop("picked")
+    gaps = df.filter("quota > 0").groupBy("sid").agg(F.first("quota").alias("gap"))
+    near, first, flips, share = df.withColumn("extra", F.lit(False)), None, [], 1
+    while True:
+        gaps = small(stored(gaps, "mix-gaps"), BROADCAST_SOURCES)
+        if first is not None and gaps.isEmpty():
+            break
+        moved = stored(flipped(near, gaps, share), "mix-moved")
+        got = F.sum(F.when(F.col("flip"), F.col("size")).otherwise(0))
+        gaps = moved.groupBy("sid", "gap").agg(got.alias("got")).filter("got > 0")
+        gaps = gaps.select("sid", (F.col("gap") - F.signum("gap").cast("long") * F.col("got")).alias("gap")).filter("gap != 0")
+        if first is None:
+            first = moved.withColumn("extra", F.col("flip"))
+        else:
+            flips.append(moved.filter("flip").select("row"))
+        # gaps only shrink, so a document of twice the gap or more is settled
+        near = moved.withColumn("extra", F.col("extra") != F.col("flip")).drop("gap", "flip")
+        share = 2
+    df = first
+    if flips:
+        odd = stored(functools.reduce(DataFrame.unionByName, flips).groupBy("row").count().filter("count % 2 = 1").select("row", F.lit(True).alias("odd")), "mix-flips")
+        df = df.join(small(odd, BROADCAST_PLAN), "row", "left").withColumn("extra", F.col("extra") != F.coalesce("odd", F.lit(False)))
     return df.select("row", "doc_id", "source", "sid", "block", "size", "key", "source_size", "target", (F.col("times") + F.col("extra").cast("int")).alias("copies"))
 
 
