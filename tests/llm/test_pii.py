@@ -62,3 +62,12 @@ def test_documents_and_odd_rows(docs, odd, none):
 def test_masking(spark):
     df = spark.createDataFrame([(1, "write to a@b.de or 1.2.3.4 now"), (2, None), (3, "clean")], "doc_id bigint, text string")
     assert {r.doc_id: r.text for r in P.masked(df).collect()} == {1: "write to <email> or <ip> now", 2: None, 3: "clean"}
+
+
+def test_bare_numbers_do_not_outvote_introduced_ones(spark):
+    """What is introduced stays, however many numbers of its shape are not."""
+    number = lambda i: f"{100 + i % 800}-{10 + i % 90}-{1000 + i}"
+    rows = [(i, f"my ssn: {number(i)} ok") for i in range(100)] + [(1000 + i, f"part {number(i)} of the list") for i in range(300)]
+    got = {r.doc_id: r.spans for r in P.found(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[i].startswith("national_id:8:") for i in range(100))
+    assert not any(got[1000 + i] for i in range(300))

@@ -6,7 +6,8 @@ labeler on what stands around it. Votes of equal pattern are counted, so expecta
 the latent class (personal data or not) runs on a table of at most ``3 ** labelers`` rows per kind,
 whatever the corpus holds. The posteriors of the patterns are soft labels, from which one more
 aggregation trains the span classifier: a naive Bayes model over features of the candidate's text alone.
-A candidate is a span if both its posterior and the classifier say so.
+A candidate is a span if its posterior says so and still does when the classifier's evidence is added:
+the votes' log-odds, which hold the prior, plus the weights of the features, which don't.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ CANDIDATES = [
 GAZETTEER = {"secret": ["token", "secret", "key", "apikey", "api_key", "password", "passwd", "pwd", "bearer", "authorization", "credential"], "national_id": ["ssn", "social", "security", "id", "tax", "insurance", "passport"]}
 CONTEXT = 24
 ROUNDS = 20
+#: Posteriors are taken as at least this far from 0 and 1.
+SURE = 1e-9
 
 
 def find(text: Column, kind: str, test, pattern: str) -> Column:
@@ -172,11 +175,12 @@ def classified(cands: DataFrame) -> DataFrame:
     soft = cands.join(F.broadcast(p), ["kind", *LABELERS])  # at most 27 rows a kind
     long = soft.select("kind", "p", F.explode(F.array(*[F.concat_ws("=", F.lit(f), F.col(f).cast("string")) for f in features])).alias("feature"))
     counts = long.groupBy("kind", "feature").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no"))
-    totals = cands.join(F.broadcast(p), ["kind", *LABELERS]).groupBy("kind").agg(F.sum("p").alias("all_yes"), F.sum(1 - F.col("p")).alias("all_no"))
-    model = counts.join(totals, "kind").select("kind", "feature", F.log(((F.col("yes") + 1) / (F.col("all_yes") + 2)) / ((F.col("no") + 1) / (F.col("all_no") + 2))).alias("w"), F.log((F.col("all_yes") + 1) / (F.col("all_no") + 1)).alias("bias"))
+    totals = soft.groupBy("kind").agg(F.sum("p").alias("all_yes"), F.sum(1 - F.col("p")).alias("all_no"))
+    model = counts.join(totals, "kind").select("kind", "feature", F.log(((F.col("yes") + 1) / (F.col("all_yes") + 2)) / ((F.col("no") + 1) / (F.col("all_no") + 2))).alias("w"))
     # at most 9 + 5 + 2 + 2 feature values a kind
-    model = F.broadcast(stored(model.groupBy("kind").agg(F.map_from_entries(F.collect_list(F.struct("feature", "w"))).alias("w"), F.first("bias").alias("bias")).coalesce(1), "pii-model"))
-    score = F.col("bias") + sum(F.coalesce(F.col("w")[F.concat_ws("=", F.lit(f), F.col(f).cast("string"))], F.lit(0.0)) for f in features)
+    model = F.broadcast(stored(model.groupBy("kind").agg(F.map_from_entries(F.collect_list(F.struct("feature", "w"))).alias("w")).coalesce(1), "pii-model"))
+    sure = F.least(F.greatest("p", F.lit(SURE)), F.lit(1 - SURE))
+    score = F.log(sure / (1 - sure)) + sum(F.coalesce(F.col("w")[F.concat_ws("=", F.lit(f), F.col(f).cast("string"))], F.lit(0.0)) for f in features)
     return soft.join(model, "kind").filter((F.col("p") > 0.5) & (score > 0)).select("row", "kind", "start", "end")
 
 
