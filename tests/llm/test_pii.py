@@ -71,3 +71,11 @@ def test_bare_numbers_do_not_outvote_introduced_ones(spark):
     got = {r.doc_id: r.spans for r in P.found(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert all(got[i].startswith("national_id:8:") for i in range(100))
     assert not any(got[1000 + i] for i in range(300))
+
+
+def test_long_secrets_are_judged_whole(spark):
+    """Digits behind the first 256 characters count."""
+    rows = [(1, "token: " + "aB" * 200 + "1234567890"), (2, "token: " + "aB" * 20 + "123"), (3, "word " * 9)]
+    c = {r.row: r for r in P.candidates(P.scanned(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1))).collect()}
+    assert [(r.shape, r.f_digits) for _, r in sorted(c.items())] == [(1, 0), (1, 0)]
+    assert all(not r.f_hex and not r.f_wordlike and r.end - r.start in (410, 43) for r in c.values())

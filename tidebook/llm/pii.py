@@ -28,8 +28,7 @@ BASE = [
 ]
 KINDS = [kind for kind, _, _ in BASE]
 
-#: Candidates of further kinds: (kind, cheap test, pattern). Secrets are long runs of letters and digits,
-#: names are capitalised word pairs after an introducing word.
+#: Candidates of further kinds: (kind, cheap test, pattern). Secrets are long runs of letters and digits.
 CANDIDATES = [
     ("secret", lambda t: t.rlike(r"[A-Za-z0-9_+/=-]{20}"), r"(?:\G|(?<![A-Za-z0-9_+/=-]))[A-Za-z0-9_+/=-]{20,}+"),
     ("national_id", lambda t: t.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), r"(?:\G|(?<![0-9-]))[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
@@ -101,9 +100,7 @@ def candidates(spans: DataFrame) -> DataFrame:
     c = spans.select("row", F.explode("candidates").alias("c"), "base").select("row", "c.*", "base")
     overlaps = F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
     c = c.filter(~overlaps)
-    v = F.col("value")
-    n = F.length("value")
-    digits, letters = n - F.length(F.regexp_replace(v, "[0-9]", "")), n - F.length(F.regexp_replace(v, "[A-Za-z]", ""))
+    n, digits, letters = F.col("end") - F.col("start"), F.col("digits"), F.col("letters")
     known = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(w) for w in x]) for pair in GAZETTEER.items() for x in pair])
     shape = F.when(F.col("kind") == "national_id", 1).when((digits >= 3) & (letters >= 3), 1).otherwise(0)
     lead = F.regexp_extract_all(F.lower("before"), F.lit("[a-z_]+"), F.lit(0))
@@ -111,7 +108,7 @@ def candidates(spans: DataFrame) -> DataFrame:
     context = F.when(F.col("before").rlike(r"[=:]\s*[\"'`]?$"), 1).when(F.col("before").rlike(r"[\"'`(]$"), -1).otherwise(0)
     return c.select(
         "row", "kind", "start", "end", shape.alias("shape"), gazetteer.alias("gazetteer"), context.alias("context"),
-        F.least(F.floor(n / 8), F.lit(8)).alias("f_length"), F.floor(4 * digits / n).alias("f_digits"), (F.regexp_replace(v, "[0-9a-f]", "") == "").alias("f_hex"), v.rlike("[a-z]{6}").alias("f_wordlike"),
+        F.least(F.floor(n / 8), F.lit(8)).alias("f_length"), F.floor(4 * digits / n).alias("f_digits"), F.col("hex").alias("f_hex"), F.col("wordlike").alias("f_wordlike"),
     )
 
 
@@ -189,7 +186,10 @@ def scanned(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     more = F.concat(*[find(text, *c) for c in CANDIDATES])
     before = lambda x: F.substring(text, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT)))
-    shown = F.transform(more, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.substring(x["value"], F.lit(1), F.lit(256)).alias("value"), before(x).alias("before")))
+    others = lambda v, chars: F.length(F.regexp_replace(v, chars, ""))
+    # values are counted whole here, so that none has to be stored
+    counts = lambda v: [(F.length(v) - others(v, "[0-9]")).alias("digits"), (F.length(v) - others(v, "[A-Za-z]")).alias("letters"), (others(v, "[0-9a-f]") == 0).alias("hex"), v.rlike("[a-z]{6}").alias("wordlike")]
+    shown = F.transform(more, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), *counts(x["value"]), before(x).alias("before")))
     return stored(docs.select("doc_id", base_spans(text).alias("base"), shown.alias("candidates")).withColumn("row", F.monotonically_increasing_id()), "pii-spans")
 
 
