@@ -118,4 +118,4 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.greatest("o", "s").alias("us"), F.lit(1).alias("step"), end.alias("action"), filled.cast("long").alias("size")),
     )
     df = df.select("order_id", "side", "tick", F.explode(both).alias("e")).select("order_id", "side", "tick", "e.*")
-    return df.select((F.col("us") * 1000).alias("ts_ns"), "step", "action", "side", "tick", (F.col("tick") * 1_000_000_000).cast("long").alias("price_int"), "size", "order_id", F.lit(128).alias("flags"))
+    return df.select((F.col("us") * 1000).alias("ts_ns"), "step", "action", "side", "tick", (F.col("tick").cast("long") * 1_000_000_000).alias("price_int"), "size", "order_id", F.lit(128).alias("flags"))
