@@ -98,3 +98,53 @@ def test_signatures_estimate_similarity():
     b = np.concatenate([a[:300], rng.integers(0, 1 << 62, 100).astype(np.uint64)])
     s = vector.super_minhash([np.unique(a), np.unique(b)], N.REGISTERS)
     assert abs((s[0] == s[1]).mean() - 300 / 500) < 0.1
+
+
+def altered(seed, n, edits):
+    """One long base, many copies with `edits` altered words each, and texts that share a passage with it."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randint(0, 300)}" for _ in range(120)]
+    texts = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(rng.randint(*edits)):
+            words[rng.randrange(len(words))] = f"w{rng.randint(0, 300)}"
+        texts.append(" ".join(words))
+        texts.append(" ".join(base[:30] + [f"w{rng.randint(0, 300)}" for _ in range(rng.randint(1, 60))]))
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("many", [0, 64])
+def test_one_bucket_of_many_components(spark, monkeypatch, many):
+    """Copies on either side of the threshold share buckets; with 0, rounds of leaders come before all pairs."""
+    monkeypatch.setattr(N, "MANY_PAIRS", many)
+    rows = altered(7, 120, (1, 16))
+    assert got(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), 2) == brute(rows, 2)[0]
+
+
+def test_altered_copies_make_few_pairs(spark, monkeypatch):
+    """Copies that can't be linked don't meet: pairs grow with the texts, not with their square."""
+    pairs, real = [], N.confirmed
+    monkeypatch.setattr(N, "confirmed", lambda p, s: pairs.append(p.count()) or real(p, s))
+    rows = altered(3, 300, (10, 24))
+    N.grouped(spark.createDataFrame(rows, "doc_id bigint, text string"), 2).count()
+    assert sum(pairs) < 5 * len(rows)
+
+
+@pytest.mark.parametrize("bound, value", [("BROADCAST_ROWS", 0), ("FOREST_NODES", 2)])
+def test_bounds_change_nothing(spark, monkeypatch, bound, value):
+    monkeypatch.setattr(N, bound, value)
+    rows = near_copies(9, 15)
+    assert got(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), 2) == brute(rows, 2)[0]
+
+
+def test_no_link_is_lost(spark):
+    """Recall of links against brute force, over copies of just the similarity that makes a link."""
+    rng, texts = random.Random(2), []
+    for _ in range(250):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(101)]
+        texts += [" ".join(words), " ".join(words[:90] + [f"w{rng.randint(0, 10**6)}" for _ in range(11)])]
+    rows = list(enumerate(texts))
+    found = got(spark.createDataFrame(rows, "doc_id bigint, text string"), 2)
+    assert found == brute(rows, 2)[0] and sum(not r[3] for r in found) == 250

@@ -2,15 +2,19 @@
 
 1. One pass of Python hashes each text into its shingle set, the set's 128-bit digest, and band keys.
    Documents with equal sets form a class; from here on a class is one node, however many copies it has.
-2. Every bucket (band key) of two or more classes gets a leader, its smallest class, and each class is
-   paired with the smallest of the leaders of its buckets: one pair a class.
+2. Every bucket (band key) of two or more classes gets a leader: the class that meets most others in all of
+   its buckets, which in a group of altered copies is the least altered one. Each class is paired with the
+   foremost of the leaders of its buckets: one pair a class.
 3. Pairs are confirmed on full sets, and components are formed: union-find inside each partition, then
-   large-star and small-star joins until only stars are left. In buckets that still hold several components,
-   every class is paired with the leader of the bucket, and components are formed again.
-4. Two classes that share a bucket but not a component may still be linked. Just these pairs of a bucket
-   are compared too. A pair with the same leader is left out if the leader's exact distances rule the
-   link out (the Jaccard distance is a metric). After that, every pair with a common bucket has been
-   compared, or is connected, or can't be linked.
+   large-star and small-star joins until only stars are left.
+4. Two classes that share a bucket but not a component may still be linked. Classes that are joined by buckets
+   of several components are a group, and in each group a prefix filter finds the pairs: of a class, the
+   shingles that only one component has come first, then the rarest. A link needs so many common shingles
+   that the first of them stands among the first fifth of either class, and leaves enough behind it; so classes
+   meet only by shingles of these prefixes that several components have. Alterations that nobody shares make
+   no pairs, and no link between classes of a common bucket is lost.
+5. While a group promises many more pairs than classes, a round pairs each of its classes with one leader of
+   its prefix shingles instead, and components grow; the pairs that are left after that are all compared.
 
 With 64 bands of 7 registers, a pair of similarity 0.8 has no common bucket with a probability below 1e-6.
 """
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.llm import vector
@@ -32,6 +36,10 @@ BANDS, ROWS, REGISTERS = 64, 7, 449
 BROADCAST_ROWS = 300_000
 #: Least similarity of a link, in hundredths.
 SIMILAR = 80
+#: Pairs a class, before sizes and places are looked at, from which on a round of leaders comes first.
+MANY_PAIRS = 64
+#: Nodes that a task's union-find holds at once.
+FOREST_NODES = 1_000_000
 
 
 def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -76,15 +84,13 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     keys = small(stored(wanted.select("cid", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "minhash-wanted"), BROADCAST_ROWS)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
     rows = rows.join(keys, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("cid", "text")
-    return stored(rows.mapInArrow(lambda b: _sets(b, size), "cid bigint, shingles array<bigint>"), "minhash-sets")
+    sets = rows.mapInArrow(lambda b: _sets(b, size), "cid bigint, shingles array<bigint>")
+    return stored(sets.dropDuplicates(["cid"]), "minhash-sets")  # repeated rows give a class its set twice
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Stored: ``a, b, common, total`` of the pairs: sizes of intersection and union of their full sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    sets = full_sets(docs, nodes.join(wanted, "cid", "left_semi"), size)
-    # repeated rows may have given a class its set twice
-    side = lambda x: sets.dropDuplicates(["cid"]).select(F.col("cid").alias(x), F.col("shingles").alias(f"s{x}"))
+    side = lambda x: sets.select(F.col("cid").alias(x), F.col("shingles").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
     return stored(both.select("a", "b", "common", (F.size("sa") + F.size("sb") - F.col("common")).alias("total")), "minhash-compared")
 
@@ -94,22 +100,28 @@ def linked(compared: DataFrame) -> DataFrame:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over the links of a batch: each node with the smallest node of its tree."""
-    for batch in batches:
-        parent: dict[int, int] = {}
+    """Union-find over the links of a task: each node with the smallest node of its tree. Large tasks yield several forests."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
 
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+    def trees() -> pa.RecordBatch:
+        found = [(x, root(x)) for x in list(parent) if root(x) != x]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())], ["a", "b"])
 
+    for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        tree = [(x, root(x)) for x in list(parent) if root(x) != x]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in tree], pa.int64()), pa.array([r for _, r in tree], pa.int64())], ["a", "b"])
+        if len(parent) > FOREST_NODES:
+            yield trees()
+            parent.clear()
+    yield trees()
 
 
 def stars(links: DataFrame) -> bool:
@@ -134,56 +146,120 @@ def components(links: DataFrame) -> DataFrame:
     return stored(links.select(F.col("a").alias("cid"), F.col("b").alias("component")).unionByName(roots), "components")
 
 
+def led(buckets: DataFrame) -> DataFrame:
+    """Stored: ``key, cid, top`` of the buckets of several classes; ``top`` is the leader's ``(score, cid)``."""
+    several = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = stored(buckets.join(several, "key"), "minhash-members")
+    members = stored(members.join(members.groupBy("cid").agg(F.sum("n").alias("score")), "cid").select("key", "cid", "score"), "minhash-scored")
+    leaders = members.groupBy("key").agg(F.max(F.struct("score", "cid")).alias("top"))
+    return stored(members.join(leaders, "key"), "minhash-led")
+
+
 def fitting(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``a, b`` of the pairs ``leader, cid`` of two classes whose sizes allow a link."""
+    """Stored: ``a, b`` of the pairs ``leader, cid`` of two classes whose sizes allow a link."""
     size = lambda x, n: nodes.select(F.col("cid").alias(x), F.col("n_shingles").alias(n))
     both = pairs.filter("cid != leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).join(size("a", "n1"), "a").join(size("b", "n2"), "b")
     return stored(both.filter(100 * F.least("n1", "n2") >= SIMILAR * F.greatest("n1", "n2")).select("a", "b"), "minhash-pairs")
 
 
-def mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Stored: ``key, cid, leader, component`` of the buckets that hold several components."""
-    labelled = stored(members.join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "minhash-labelled")
-    several = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    return stored(labelled.join(stored(several, "minhash-mixed"), "key"), "minhash-mixed-rows")
+def with_component(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+
 
+def mixed(rows: DataFrame, *key: str) -> DataFrame:
+    """The rows, which have a component, whose key several components have."""
+    several = rows.groupBy(*key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select(*key)
+    return rows.join(several, list(key), "left_semi")
 
-def across(rows: DataFrame, compared: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` that share a bucket, are in different components, and may yet be linked."""
-    seen = compared.select(F.col("a").alias("leader"), F.col("b").alias("cid"), (1 - F.col("common") / F.col("total")).alias("far"))
-    rows = rows.join(seen, ["leader", "cid"], "left").join(nodes.select("cid", "n_shingles"), "cid")
-    rows = stored(rows.filter("cid != leader").select("key", "cid", "component", "n_shingles", "far"), "minhash-across-rows")
-    other = rows.select("key", *[F.col(c).alias(f"{c}2") for c in ("cid", "component", "n_shingles", "far")])
-    least, slack = SIMILAR / 100, 1e-9
-    fits = (F.col("cid") < F.col("cid2")) & (F.col("component") != F.col("component2"))
-    fits &= (100 * F.least("n_shingles", "n_shingles2") >= SIMILAR * F.greatest("n_shingles", "n_shingles2"))
-    fits &= F.coalesce(F.abs(F.col("far") - F.col("far2")) <= 1 - least + slack, F.lit(True))
-    return stored(rows.join(other, "key").filter(fits).select(F.col("cid").alias("a"), F.col("cid2").alias("b")).distinct(), "minhash-across")
+
+def prefixes(sets: DataFrame, info: DataFrame) -> DataFrame:
+    """Stored: ``grp, token, cid, n, place``: the shingles by which classes of different components of a group can meet.
+
+    `info` is ``cid, grp, component, score``. A class's order of shingles is: those that no other component of the group
+    has, then the others by the number of classes that have them; ``place`` counts from 0. A pair of `n` and `m`
+    shingles needs ``SIMILAR / (100 + SIMILAR) * (n + m)`` common ones, and the partner has at least
+    ``SIMILAR / 100 * n``, so the first common one stands within the first fifth.
+    """
+    tokens = sets.join(info, "cid").select("grp", "component", "cid", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    shared = tokens.groupBy("grp", "token").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("grp", "token", "f")
+    own = tokens.drop("component").join(stored(shared, "minhash-shared"), ["grp", "token"])
+    own = own.groupBy("grp", "cid", "n").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("tokens"))
+    first = F.col("n") - F.size("tokens")
+    own = own.withColumn("skip", first).filter(100 * F.col("skip") <= (100 - SIMILAR) * F.col("n"))
+    own = own.select("grp", "cid", "n", "skip", F.posexplode("tokens").alias("i", "x")).select("grp", F.col("x.token").alias("token"), "cid", "n", (F.col("skip") + F.col("i")).alias("place"))
+    own = own.filter(100 * F.col("place") <= (100 - SIMILAR) * F.col("n"))
+    return stored(own.join(info.select("cid", "score"), "cid"), "minhash-prefixes")
+
+
+def may_link(other: str = "2") -> Column:
+    """Whether two prefix rows of a token, of different components, leave enough shingles behind it for a link."""
+    need = SIMILAR * (F.col("n") + F.col(f"n{other}"))
+    enough = ((100 + SIMILAR) * (F.col("n") - F.col("place")) >= need) & ((100 + SIMILAR) * (F.col(f"n{other}") - F.col(f"place{other}")) >= need)
+    return enough & (F.col("component") != F.col(f"component{other}"))
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """``a, b`` of all pairs of classes that meet by a prefix token and may be linked; a < b."""
+    other = rows.select("grp", "token", *[F.col(c).alias(f"{c}2") for c in ("cid", "n", "place", "component")])
+    return rows.join(other, ["grp", "token"]).filter(may_link() & (F.col("cid") < F.col("cid2"))).select(F.col("cid").alias("a"), F.col("cid2").alias("b")).distinct()
+
+
+def led_pairs(rows: DataFrame) -> DataFrame:
+    """``a, b``: each class with the foremost leader of its prefix tokens, if it may be linked with one."""
+    top = F.max(F.struct("score", "cid", "n", "place", "component")).alias("top")
+    leaders = rows.groupBy("grp", "token").agg(top).select("grp", "token", F.col("top.score").alias("score2"), *[F.col(f"top.{c}").alias(f"{c}2") for c in ("cid", "n", "place", "component")])
+    pairs = rows.join(leaders, ["grp", "token"]).filter(may_link())
+    return pairs.groupBy("cid").agg(F.max(F.struct("score2", "cid2")).alias("top")).select(F.least("cid", "top.cid2").alias("a"), F.greatest("cid", "top.cid2").alias("b")).distinct()
+
+
+def crowded(rows: DataFrame) -> bool:
+    """Whether the pairs of different components that share a token are more than `MANY_PAIRS` a class."""
+    per = rows.groupBy("grp", "token", "component").agg(F.count("*").cast("double").alias("c"))
+    keys = per.groupBy("grp", "token").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
+    found = keys.agg(F.sum("pairs")).first()[0] or 0
+    return found > MANY_PAIRS * rows.select("cid").distinct().count()
+
+
+def rest_linked(docs: DataFrame, members: DataFrame, nodes: DataFrame, links: DataFrame, labels: DataFrame, size: int) -> DataFrame:
+    """The components, with the links between classes of a bucket that have not met yet."""
+    open_ = stored(mixed(with_component(members, labels), "key").select("cid", F.col("top.cid").alias("leader"), "component", "score").distinct(), "minhash-mixed")
+    if open_.isEmpty():
+        return labels
+    groups = components(open_.filter("cid != leader").select(F.greatest("cid", "leader").alias("a"), F.least("cid", "leader").alias("b")).distinct())
+    info = open_.select("cid", "component", "score").distinct().join(groups.withColumnRenamed("component", "grp"), "cid")
+    info = stored(info, "minhash-groups-of")
+    sets = full_sets(docs, nodes.join(info, "cid", "left_semi"), size)
+    found, seen = prefixes(sets, info), None
+    while True:
+        rows = stored(mixed(with_component(found, labels), "grp", "token"), "minhash-rows-open")
+        if rows.isEmpty():
+            return labels
+        last = not crowded(rows)
+        pairs = met(rows) if last else led_pairs(rows)
+        if seen is not None:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        compared = confirmed(stored(pairs, "minhash-met"), sets)
+        fresh = linked(compared)
+        if fresh.isEmpty() and not last:
+            pairs = met(rows)
+            seen = compared.select("a", "b") if seen is None else seen.unionByName(compared.select("a", "b"))
+            fresh, last = linked(confirmed(stored(pairs.join(seen, ["a", "b"], "left_anti"), "minhash-met"), sets)), True
+        links = links.unionByName(fresh)
+        labels = components(links)
+        if last:
+            return labels
+        seen = compared.select("a", "b") if seen is None else seen.unionByName(compared.select("a", "b"))
 
 
 def labelled(docs: DataFrame, size: int) -> DataFrame:
     """Stored: ``doc_id, text_hash, n_shingles, component`` of every row; the component is null for an empty set."""
     signed = signatures(docs, size)
     nodes = classes(signed)
-    buckets = nodes.select("cid", F.explode("bands").alias("key"))
-    leaders = stored(buckets.groupBy("key").agg(F.min("cid").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader"), "minhash-leaders")
-    members = stored(buckets.join(leaders, "key"), "minhash-members")
-    first = members.groupBy("cid").agg(F.min("leader").alias("leader"))
-    compared = confirmed(docs, fitting(first, nodes), nodes, size)
-    links = linked(compared)
-    labels = components(links)
-    # what is connected needs no more comparing; where a bucket has several components, all of it meets its leader
-    rest = mixed(members, labels).select("cid", "leader").distinct()
-    rest = rest.join(compared.select(F.col("a").alias("leader"), F.col("b").alias("cid")), ["leader", "cid"], "left_anti")
-    rest = stored(fitting(rest, nodes), "minhash-rest")
-    if not rest.isEmpty():
-        compared = stored(compared.unionByName(confirmed(docs, rest, nodes, size)), "minhash-compared-2")
-        links = linked(compared)
-        labels = components(links)
-    more = across(mixed(members, labels), compared, nodes).join(compared, ["a", "b"], "left_anti")
-    more = stored(more, "minhash-more")
-    if not more.isEmpty():
-        labels = components(links.unionByName(linked(confirmed(docs, more, nodes, size))))
+    members = led(nodes.select("cid", F.explode("bands").alias("key")))
+    first = fitting(members.groupBy("cid").agg(F.max("top").alias("top")).select("cid", F.col("top.cid").alias("leader")), nodes)
+    ends = first.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    links = linked(confirmed(first, full_sets(docs, nodes.join(ends, "cid", "left_semi"), size)))
+    labels = rest_linked(docs, members, nodes, links, components(links), size)
     named = nodes.select("node", "cid").join(labels, "cid", "left").select("node", F.coalesce("component", "cid").alias("component"))
     rows = signed.select("doc_id", "text_hash", "n_shingles", "node").join(named, "node", "left")
     return stored(rows.select("doc_id", "text_hash", "n_shingles", "component"), "minhash-rows")
