@@ -1,8 +1,11 @@
+import json
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tidebook.llm import entries
@@ -41,25 +44,67 @@ def test_round_trip(spark, request, tokenizer, which):
 
 def test_damage_is_found(spark, docs):
     path = S.write(docs, entries.tokenizer_path(), S.new_path(spark))
-    digests = spark.read.parquet(f"{path}/chunks").select("digest")
-    assert digests.count() == digests.distinct().count()
-    broken = S.new_path(spark)
-    for part in ("recipes", "manifest"):
-        spark.read.parquet(f"{path}/{part}").write.parquet(f"{broken}/{part}")
-    spark.read.parquet(f"{path}/chunks").limit(10).write.parquet(f"{broken}/chunks")
-    assert not S.verified(spark, broken)
-    spark.read.parquet(f"{path}/chunks").selectExpr("digest", "concat(ids, x'0000') as ids").write.parquet(f"{S.new_path(spark)}/chunks")
-    bad = S.new_path(spark)
-    spark.read.parquet(f"{path}/recipes").write.parquet(f"{bad}/recipes")
-    spark.read.parquet(f"{path}/chunks").selectExpr("digest", "concat(ids, x'0000') as ids").write.parquet(f"{bad}/chunks")
+    good = {part: spark.read.parquet(f"{path}/{part}") for part in ("chunks", "recipes", "manifest")}
+    assert good["chunks"].select("digest").distinct().count() == good["chunks"].count()
+
+    def with_(**changed):
+        broken = S.new_path(spark)
+        for part, df in (good | changed).items():
+            df.write.parquet(f"{broken}/{part}")
+        return broken
+
+    lost = with_(chunks=good["chunks"].limit(10))
+    assert not S.verified(spark, lost)
+    with pytest.raises(Exception, match="lacks chunks"):
+        S.digest_of(spark, lost).collect()
     with pytest.raises(Exception, match="damaged"):
-        S.digest_of(spark, bad).collect()
+        S.digest_of(spark, with_(chunks=good["chunks"].selectExpr("digest", "concat(ids, x'0000') as ids"))).collect()
+    for changed in ("n_tokens + 1 as n_tokens, digests", "n_tokens, slice(digests, 1, 1) as digests"):
+        with pytest.raises(Exception, match="manifest"):
+            S.digest_of(spark, with_(recipes=good["recipes"].selectExpr("part", "seq", "doc_id", "start", "leaf", *changed.split(", ", 1)))).collect()
+
+
+def test_bounds_change_nothing(spark, odd, tokenizer, monkeypatch):
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
+    rows = S.encoded(odd, entries.tokenizer_path()).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == brute([(r.doc_id, r.text) for r in odd.collect()], tokenizer)
+
+
+ODD = ["", " ", "a  b", "a \n b\n\n", "it's don't 'll x's", "tab\there", "non\xa0breaking", "a\r\nb", "<|endoftext|> x", "１２３ 漢字 🙂🙂", "x" * 3000, "  lead", "trail  ", "\n\n\n", "3.14 - (a)  [b]", "a\u200bb", "A B  C   D", "\n x", " \n  x \n", "x\n \ny", "“q” — e…", "\x1c", "<", "|", "a\u3000b"]
+
 
+def same_ids(e, texts, tokenizer):
+    assert [x.tolist() for x in e.encode([t.encode() for t in texts])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
-def test_pieces_give_the_ids_of_whole_texts(tokenizer):
+
+@pytest.mark.parametrize("kept, slots", [(0, 8), (3, 8), (400_000, 4), (2_000_000, 1 << 22)])
+def test_pieces_give_the_ids_of_whole_texts(tokenizer, monkeypatch, kept, slots):
+    monkeypatch.setattr(S, "KEPT_PIECES", kept)
+    monkeypatch.setattr(S, "SLOTS", slots)
     e = S.Encoder(entries.tokenizer_path())
-    texts = ["", " ", "a  b", "a \n b\n\n", "it's don't 'll x's", "tab\there", "non\xa0breaking", "a\r\nb", "<|endoftext|> x", "１２３ 漢字 🙂🙂", "x" * 3000, "  lead", "trail  ", "\n\n\n", "3.14 - (a)  [b]", "a​b", "A B  C   D"]
-    assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for at in range(0, len(ODD), 4):
+        same_ids(e, ODD[at : at + 4], tokenizer)
+    same_ids(e, ODD, tokenizer)
+
+
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n  ab'.1<|\t\u00a0\u2003é漢"), st.characters(codec="utf-8")), max_size=30), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_random_texts(texts):
+    same_ids(S.encoder(entries.tokenizer_path()), texts, S.encoder(entries.tokenizer_path()).tokenizer)
+
+
+def test_long_texts_go_in_parts(tokenizer, monkeypatch):
+    monkeypatch.setattr(S, "SPAN", 50)
+    same_ids(S.Encoder(entries.tokenizer_path()), ["ab cd\n\n e" * 40, "x" * 200 + " y", " " * 120 + "z", "a b"], tokenizer)
+
+
+def test_another_pre_tokenizer_goes_whole(tmp_path, tokenizer):
+    spec = json.loads(tokenizer.to_str())
+    spec["pre_tokenizer"]["use_regex"] = False
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    e = S.Encoder(str(tmp_path / "other.json"))
+    assert not e.piecewise and S.Encoder(entries.tokenizer_path()).piecewise
+    same_ids(e, ODD, Tokenizer.from_file(str(tmp_path / "other.json")))
 
 
 def test_chunks_depend_on_content_alone():

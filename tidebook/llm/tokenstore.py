@@ -16,6 +16,7 @@ document's list of digests, a root the leaves and their order.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 import zlib
@@ -27,68 +28,163 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebook.llm.common import shared_dir, small, stored
-from tidebook.llm.vector import G, mix
+from tidebook.llm.vector import G, mix, powers, texts
 
 END = 2
 TAPS = 8
 MASK = np.uint64((1 << 9) - 1)
 LONGEST = 4096
 BROADCAST_ROWS = 300_000
-#: Word pieces whose ids a Python worker keeps.
-KEPT_PIECES = 150_000
-
-#: A run of spaces and newlines with the word behind it. Byte-level BPE never merges across the start of
-#: such a run if no other white space is near, so ids of pieces put together are the ids of the text.
-PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-WHOLE = re.compile("[^\\S \n]|[᠎​﻿]|<\\|")
-
-
-class Pieces(dict):
-    """Ids of pieces; those of pieces that aren't kept are in `rest` for the while."""
-
-    rest: dict[str, bytes]
-
-    def __missing__(self, key: str) -> bytes:
-        return self.rest[key]
+#: Pieces of text whose ids a Python worker keeps, some 40 bytes each; beyond them it starts anew.
+KEPT_PIECES = 2_000_000
+SLOTS = 1 << 22
+#: Bytes of text that are looked up at once; temporaries take some 40 bytes a byte.
+SPAN = 1 << 20
+
+#: The pre-tokenizer of byte-level BPE with its usual pattern. Only with it, and without a normalizer, ids of
+#: pieces put together are the ids of the text: its tokens never go across the start of a run of spaces and
+#: newlines, nor from a newline to what follows it, if no other white space is near.
+PIECEWISE = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+#: Texts with other white space, or with what may begin a special token, are encoded whole.
+WHOLE = re.compile("[^\\S \n]|[\u180e\u200b\ufeff]|<\\|")
+#: Bytes that a match of WHOLE begins with, "<|" apart: most texts have none of them.
+RARE = np.zeros(256, dtype=bool)
+RARE[:32] = RARE[[0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+RARE[10] = False
+
+CODES = mix((np.arange(256, dtype=np.uint64) + np.uint64(3)) * G) | np.uint64(1)
 
 
 class Encoder:
-    """The ids of texts by a tokenizers file, with those of frequent pieces kept."""
+    """The ids of texts by a tokenizers file, with those of frequent pieces kept.
+
+    A piece is a run of spaces and newlines that ends in a newline, or a word with the spaces before it. Pieces
+    are looked up by a 64-bit hash of their bytes, for a whole batch of texts at once: a slot of the hash names
+    the entry that took it last. What isn't there is encoded, new words together as lines of one text.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known = Pieces()
-
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, x in enumerate(texts) if WHOLE.search(x)]
-        for i, ids in zip(whole, self.encoded([texts[i] for i in whole]), strict=True):
+        spec = json.loads(self.tokenizer.to_str())
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.piecewise = spec["normalizer"] is None and PIECEWISE.items() <= (spec["pre_tokenizer"] or {}).items() and len(line) == 1
+        self.line = line[0] if line else None
+        self.clear()
+
+    def clear(self) -> None:
+        """No entries but one that no piece has."""
+        self.n, self.slots = 1, np.zeros(SLOTS, np.int32)
+        self.keys, self.starts, self.sizes = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.n_ids, self.ids = 0, np.empty(1 << 16, self.dtype)
+
+    def encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def add(self, keys: np.ndarray, pieces: list[bytes]) -> int:
+        """Encode pieces and enter their ids; returns the number of the first entry."""
+        plain = np.array([b"\n" not in x and not x.startswith(b"  ") and not x.endswith(b" ") for x in pieces], bool)
+        words, rest = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
+        sizes = np.zeros(len(pieces), np.int64)
+        ids = []
+        if words:
+            found = self.encoded([b"\n".join([*(pieces[i] for i in words), b""]).decode()])[0]
+            sizes[words] = np.diff(np.flatnonzero(found == self.line), prepend=-1) - 1
+            ids.append(found[found != self.line])
+        others = self.encoded([pieces[i].decode() for i in rest])
+        sizes[rest] = [len(x) for x in others]
+        order = np.array(words + rest)
+        starts = np.empty(len(pieces), np.int64)
+        starts[order] = self.n_ids + np.cumsum(sizes[order]) - sizes[order]
+        ids = np.concatenate([*ids, *others])
+        first, end, end_ids = self.n, self.n + len(pieces), self.n_ids + len(ids)
+        self.keys, self.starts, self.sizes, self.ids = (grown(x, n) for x, n in ((self.keys, end), (self.starts, end), (self.sizes, end), (self.ids, end_ids)))
+        self.keys[first:end], self.starts[first:end], self.sizes[first:end], self.ids[self.n_ids : end_ids] = keys, starts, sizes, ids
+        self.slots[(keys % np.uint64(SLOTS)).astype(np.int64)] = np.arange(first, end)
+        self.n, self.n_ids = end, end_ids
+        return first
+
+    def looked_up(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of some non-empty texts that need not be encoded whole."""
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        bounds = np.cumsum([0] + [len(x) for x in texts])
+        white = (data == 32) | (data == 10)
+        first = np.ones(len(data), bool)
+        # a run begins after a word, and a word after a newline
+        first[1:] = (white[1:] & ~white[:-1]) | (~white[1:] & (data[:-1] == 10))
+        first[bounds[:-1]] = True
+        at = np.flatnonzero(first)
+        since = np.arange(len(data), dtype=np.int32)
+        since -= np.maximum.accumulate(np.where(first, since, 0))
+        keys = mix(np.add.reduceat(CODES[data] * powers(int(since.max()) + 1)[since], at))
+        if self.n > KEPT_PIECES:
+            self.clear()
+        place = self.slots[(keys % np.uint64(SLOTS)).astype(np.int64)]
+        lost = np.flatnonzero((self.keys[place] != keys) | (place == 0))
+        if len(lost):
+            new, where, which = np.unique(keys[lost], return_index=True, return_inverse=True)
+            ends = np.append(at[1:], len(data))
+            place[lost] = which + self.add(new, [data[at[i] : ends[i]].tobytes() for i in lost[where].tolist()])
+        sizes = self.sizes[place].astype(np.int64)
+        ids = self.ids[spread(self.starts[place], sizes)]
+        ends = np.cumsum(sizes)[np.append(np.searchsorted(at, bounds[1:-1]), len(at)) - 1]
+        return np.split(ids, ends[:-1])
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        out = [np.empty(0, self.dtype)] * len(texts)
+        whole = [i for i, x in enumerate(texts) if not self.piecewise or needs_whole(x)]
+        for i, ids in zip(whole, self.encoded([texts[i].decode() for i in whole]), strict=True):
             out[i] = ids
-        rest = [i for i in range(len(texts)) if not WHOLE.search(texts[i])] if whole else range(len(texts))
-        for at in range(0, len(rest), 200):
-            some = rest[at : at + 200]
-            pieces = [PIECE.findall(texts[i]) for i in some]
-            new = list(set().union(*pieces) - self.known.keys())
-            self.known.rest = {}
-            if new:
-                fresh = dict(zip(new, self.encoded(new), strict=True))
-                if len(self.known) < KEPT_PIECES:
-                    self.known |= fresh
-                else:
-                    self.known.rest = fresh
-            get = self.known.__getitem__
-            for i, p in zip(some, pieces, strict=True):
-                out[i] = b"".join(map(get, p))
+        alone = set(whole)
+        parts = [(i, part) for i, x in enumerate(texts) if i not in alone for part in spans(x)]
+        found: dict[int, list[np.ndarray]] = {}
+        while parts:
+            n, size = 0, 0
+            while n < len(parts) and (not n or size + len(parts[n][1]) <= SPAN):
+                size += len(parts[n][1])
+                n += 1
+            for (i, _), ids in zip(parts[:n], self.looked_up([x for _, x in parts[:n]]), strict=True):
+                found.setdefault(i, []).append(ids)
+            parts = parts[n:]
+        for i, ids in found.items():
+            out[i] = np.concatenate(ids)
         return out
 
 
+def grown(x: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for n items."""
+    return x if n <= len(x) else np.concatenate([x, np.empty(max(n - len(x), len(x)), x.dtype)])
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all items of runs, one run after another."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
+def needs_whole(text: bytes) -> bool:
+    return b"<|" in text or bool(RARE[np.frombuffer(text, np.uint8)].any() and WHOLE.search(text.decode()))
+
+
+def spans(text: bytes) -> Iterator[bytes]:
+    """A text in parts of some `SPAN` bytes that end where pieces do; nothing for an empty text."""
+    at = 0
+    while at < len(text):
+        end = at + SPAN
+        while end < len(text):
+            data = np.frombuffer(text[at:end], np.uint8)
+            white = (data == 32) | (data == 10)
+            gaps = np.flatnonzero(white[1:] & ~white[:-1])
+            if len(gaps):
+                end = at + int(gaps[-1]) + 1
+                break
+            end += SPAN
+        yield text[at:end]
+        at = end
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -122,16 +218,16 @@ def digest(ids: bytes) -> bytes:
 def _staged(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Recipes, and chunks that this task hasn't met before."""
     tokens, met = encoder(path), set()
-    end = np.array([END], tokens.dtype).tobytes()
+    end = np.array([END], tokens.dtype)
     width = tokens.dtype.itemsize
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             recipes, sizes, chunks = [], [], {}
-            for ids in tokens.encode([x or "" for x in part.column(1).to_pylist()]):
-                ids += end
-                start, own = 0, []
-                for stop in cuts(np.frombuffer(ids, tokens.dtype)):
+            for found in tokens.encode(texts(part.column(1))):
+                found = np.append(found, end)
+                ids, start, own = found.tobytes(), 0, []
+                for stop in cuts(found):
                     chunk = ids[start * width : stop * width]
                     key, start = digest(chunk), stop
                     own.append(key)
@@ -187,11 +283,24 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([counts[part][0]], pa.int64()), pa.array([counts[part][1]], pa.int64()), pa.array([root])], ["part", "n_docs", "n_tokens", "root"])
 
 
+def leaves(recipes: DataFrame) -> DataFrame:
+    """The recipes with ``leaf``, a hash of doc_id, number of tokens and chunks."""
+    hexes = F.array_join(F.transform("digests", F.hex), ",")
+    return recipes.withColumn("leaf", F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("n_tokens").cast("string"), hexes).cast("binary"), 256))
+
+
 def manifest(recipes: DataFrame) -> DataFrame:
     rows = recipes.select("part", "seq", "n_tokens", "leaf").repartition("part")
     return rows.mapInArrow(_roots, "part bigint, n_docs bigint, n_tokens bigint, root string")
 
 
+def roots_hold(spark: SparkSession, path: str) -> bool:
+    """Whether the recipes still have the roots of the manifest."""
+    now, then = manifest(leaves(spark.read.parquet(f"{path}/recipes"))), spark.read.parquet(f"{path}/manifest")
+    counted = now.withColumn("d", F.lit(1)).unionByName(then.withColumn("d", F.lit(-1)))
+    return counted.groupBy("part", "n_docs", "n_tokens", "root").agg(F.sum("d").alias("d")).filter("d != 0").isEmpty()
+
+
 def write(docs: DataFrame, tokenizer_path: str, path: str) -> str:
     """Encode all documents and write a store to a new folder; returns the path.
 
@@ -204,15 +313,16 @@ def write(docs: DataFrame, tokenizer_path: str, path: str) -> str:
     chunks = staged.filter("digest is not null").select("digest", "ids").repartition("digest").mapInArrow(_unique, "digest binary, ids binary")
     chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = staged.filter("digests is not null").select("doc_id", "n_tokens", "digests")
-    recipes = recipes.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "digests")
+    # rows of one doc_id, or none, may take several ranges
+    recipes = recipes.withColumn("_h", F.xxhash64("digests")).withColumn("_i", F.monotonically_increasing_id())
+    recipes = recipes.repartitionByRange("doc_id", "_h", "_i").sortWithinPartitions("doc_id", "_h", "_i").drop("_h", "_i")
     recipes = stored(recipes.select(F.spark_partition_id().cast("long").alias("part"), F.monotonically_increasing_id().alias("seq"), "*"), "token-recipes")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
     offsets = stored(recipes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), "token-offsets")
     ahead = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("offset") + F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0))
-    hexes = F.array_join(F.transform("digests", F.hex), ",")
-    leaf = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("n_tokens").cast("string"), hexes).cast("binary"), 256)
-    recipes.join(small(offsets, BROADCAST_ROWS), "part").select("part", "seq", "doc_id", "n_tokens", start.alias("start"), "digests", leaf.alias("leaf")).write.parquet(f"{path}/recipes")
+    recipes = leaves(recipes.join(small(offsets, BROADCAST_ROWS), "part").select("part", "seq", "doc_id", "n_tokens", start.alias("start"), "digests"))
+    recipes.write.parquet(f"{path}/recipes")
     spark = docs.sparkSession
     manifest(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
     return path
@@ -270,36 +380,35 @@ def _checked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        crcs, counts = [], []
-        for parts in batch.column(3).to_pylist():
+        crcs = []
+        for seq, n, parts in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4)), strict=True):
+            if any(p["n"] is None for p in parts) or sum(p["n"] for p in parts) != n:
+                raise ValueError(f"recipe {seq} lacks chunks")
             crcs.append(crc_join([(p["crc"], 4 * p["n"]) for p in parts]))
-            counts.append(sum(p["n"] for p in parts))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())], ["seq", "doc_id", "start", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(crcs, pa.int64())], ["seq", "doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def digest_of(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """Read a store back: ``doc_id, start, n_tokens, ids_crc32`` of every document.
 
-    Each stored chunk is read and verified once, wherever it is used; the CRC-32 of a document is put
-    together from those of its chunks, so no ids are shuffled.
+    The recipes are held against the roots of the manifest first, each stored chunk is read and verified
+    once, wherever it is used, and a recipe's number of tokens against its chunks; what doesn't agree is an
+    error. The CRC-32 of a document is put together from those of its chunks, so no ids are shuffled.
     """
+    if not roots_hold(spark, path):
+        raise ValueError("the recipes are not those of the manifest")
     chunks, recipes = spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/recipes")
     sums = small(stored(chunks.mapInArrow(lambda b: _checked(b, width), "digest binary, crc bigint, n bigint"), "token-sums"), BROADCAST_ROWS)
-    used = recipes.select("seq", "doc_id", "start", F.posexplode("digests").alias("at", "digest")).join(sums, "digest")
-    parts = used.groupBy("seq", "doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("at", "crc", "n"))).alias("parts"))
+    used = recipes.select("seq", "doc_id", "start", "n_tokens", F.posexplode("digests").alias("at", "digest")).join(sums, "digest", "left")
+    parts = used.groupBy("seq", "doc_id", "start", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("at", "crc", "n"))).alias("parts"))
     id_type = recipes.schema["doc_id"].dataType.simpleString()
     return parts.mapInArrow(_joined, f"seq bigint, doc_id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint").drop("seq")
 
 
 def verified(spark: SparkSession, path: str) -> bool:
     """Whether the recipes still have the roots of the manifest, and every chunk they name is there."""
-    recipes = spark.read.parquet(f"{path}/recipes")
-    hexes = F.array_join(F.transform("digests", F.hex), ",")
-    leaf = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("n_tokens").cast("string"), hexes).cast("binary"), 256)
-    now, then = manifest(recipes.withColumn("leaf", leaf)), spark.read.parquet(f"{path}/manifest")
-    named = recipes.select(F.explode("digests").alias("digest"))
-    lost = named.join(spark.read.parquet(f"{path}/chunks"), "digest", "left_anti")
-    return now.exceptAll(then).isEmpty() and then.exceptAll(now).isEmpty() and lost.isEmpty()
+    named = spark.read.parquet(f"{path}/recipes").select(F.explode("digests").alias("digest"))
+    return roots_hold(spark, path) and named.join(spark.read.parquet(f"{path}/chunks"), "digest", "left_anti").isEmpty()
 
 
 def _ids(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
