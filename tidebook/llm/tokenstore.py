@@ -242,14 +242,16 @@ def _staged(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([*[pa.nulls(m, c.type) for c in columns], pa.array(list(chunks), pa.binary()), pa.array(list(chunks.values()), pa.binary())], ["doc_id", "n_tokens", "digests", "digest", "ids"])
 
 
-def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    met: set[bytes] = set()
-    for batch in batches:
-        keep = []
-        for key in batch.column(0).to_pylist():
-            keep.append(key not in met)
-            met.add(key)
-        yield batch.filter(pa.array(keep))
+def stored_once(staged: DataFrame) -> DataFrame:
+    """``digest, ids`` of every distinct chunk: a chunk that several tasks met stays with the first of them.
+
+    Only digests are shuffled; ids are, too, where the repeats are too many to be broadcast.
+    """
+    held = staged.filter("digest is not null")
+    several = held.groupBy("digest").agg(F.count("*").alias("n"), F.min("task").alias("first")).filter("n > 1").select("digest", "first")
+    several = small(stored(several, "token-several"), BROADCAST_ROWS)
+    others = stored(held.select("digest", "task").join(several, "digest").filter("task != first").select("digest", "task"), "token-repeats")
+    return held.join(small(others, BROADCAST_ROWS), ["digest", "task"], "left_anti").select("digest", "ids")
 
 
 def merkle(leaves: Iterator[bytes]) -> bytes:
@@ -309,9 +311,8 @@ def write(docs: DataFrame, tokenizer_path: str, path: str) -> str:
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     staged = docs.select("doc_id", F.col("text")).mapInArrow(lambda b: _staged(b, tokenizer_path), f"doc_id {id_type}, n_tokens bigint, digests array<binary>, digest binary, ids binary")
-    staged = stored(staged, "token-staging")
-    chunks = staged.filter("digest is not null").select("digest", "ids").repartition("digest").mapInArrow(_unique, "digest binary, ids binary")
-    chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
+    staged = stored(staged.withColumn("task", F.spark_partition_id()), "token-staging")
+    stored_once(staged).write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = staged.filter("digests is not null").select("doc_id", "n_tokens", "digests")
     # rows of one doc_id, or none, may take several ranges
     recipes = recipes.withColumn("_h", F.xxhash64("digests")).withColumn("_i", F.monotonically_increasing_id())
