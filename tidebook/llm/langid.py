@@ -1,31 +1,36 @@
 """Language ID by hierarchical discrimination: the family first, then one-versus-one linear SVMs inside it.
 
-Training uses a bounded sample: of each language the `SAMPLE` labelled rows whose hashed doc_id is
-smallest, at most `MOST_LANGUAGES` languages. Features are hashed byte trigrams of the lower-cased whole
-text, as shares of all its trigrams, so a prediction doesn't depend on length. A linear score of shares is
-the mean of the weights of the trigrams, so scoring a batch is one lookup per byte and model.
+Training uses a bounded sample: of each language the `SAMPLE` labelled (doc_id, text) pairs of smallest hash,
+each once. Features are hashed byte trigrams of the lower-cased whole text, as shares of all its trigrams, so
+a prediction doesn't depend on length. Every machine is fitted in a task of its own. A linear score of shares
+is the mean of the weights of the trigrams, so scoring a batch is one lookup per byte and model.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebook.llm.common import small, stored
 from tidebook.llm.vector import texts
 
 BITS = 13
+#: Training rows a language; a family has twice as many at most, shared by its languages.
 SAMPLE = 600
-MOST_LANGUAGES = 200
 EPOCHS = 40
+BROADCAST_ROWS = 300_000
 UNKNOWN = "und"
 PIECE = 1 << 19
 
-# Language families by ISO 639-1 code. A language not listed is a family of its own.
+# Language families by ISO 639-1 code.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
     "romance": "fr es it pt ro ca gl oc",
@@ -40,8 +45,14 @@ FAMILIES = {
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
 
-def family(lang: str) -> str:
-    return FAMILY_OF.get(lang, lang)
+def families(langs: list[str]) -> dict[str, str]:
+    """The family of each language. Of n languages not listed, some sqrt(n) neighbours by name are a family.
+
+    A few of them are families of their own, but many don't make a machine for every two.
+    """
+    others = sorted(x for x in langs if x not in FAMILY_OF)
+    size = 1 if len(others) <= 9 else math.isqrt(len(others))
+    return {x: FAMILY_OF[x] for x in langs if x in FAMILY_OF} | {x: f"other {others[i - i % size]}" for i, x in enumerate(others)}
 
 
 def _trigrams(data: np.ndarray) -> np.ndarray:
@@ -88,28 +99,21 @@ def svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int, cos
 class Model:
     """Pairs of classes with a weight vector each: families against each other, then languages of one family."""
 
-    def __init__(self, langs: list[str], scale: float):
-        self.langs, self.scale = langs, scale
-        self.pairs: list[tuple[str, str]] = []
-        self.weights: list[np.ndarray] = []
-        self.bias: list[float] = []
-        self.spread: list[float] = []
-
-    def fit(self, x: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
+    def __init__(self, langs: list[str], scale: float = 30.0):
+        self.langs, self.scale, self.family = langs, scale, families(langs)
+        groups = sorted(set(self.family.values()))
+        self.jobs = [(f"family {a}", f"family {b}") for a, b in combinations(groups, 2)]
+        for f in groups:
+            self.jobs += [(f"lang {a}", f"lang {b}") for a, b in combinations(sorted(x for x in langs if self.family[x] == f), 2)]
+        self.pairs = [(a.split(" ", 1)[1], b.split(" ", 1)[1]) for a, b in self.jobs]
+        self.weights = [np.zeros(1 << BITS, np.float32) for _ in self.jobs]
+        self.bias, self.spread = [0.0] * len(self.jobs), [1.0] * len(self.jobs)
+
+    def fit_pair(self, job: int, x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> tuple[np.ndarray, float, float]:
+        """Weights, bias and typical margin of one machine."""
         x = [(at, values * np.float32(self.scale)) for at, values in x]
-        groups = np.array([family(lang) for lang in labels])
-        jobs = [(a, b, groups) for a, b in combinations(sorted(set(groups)), 2)]
-        for f in sorted(set(groups)):
-            jobs += [(a, b, labels) for a, b in combinations(sorted(set(labels[groups == f])), 2)]
-        for i, (a, b, of) in enumerate(jobs):
-            at = np.flatnonzero((of == a) | (of == b))
-            rows = [x[j] for j in at]
-            w, bias = svm(rows, np.where(of[at] == a, 1.0, -1.0), i)
-            self.pairs.append((a, b))
-            self.weights.append((w * self.scale).astype(np.float32))
-            self.bias.append(bias)
-            self.spread.append(float(np.median([abs(float(w[c] @ v) + bias) for c, v in rows])) or 1.0)
-        return self
+        w, bias = svm(x, y, job)
+        return (w * self.scale).astype(np.float32), bias, float(np.median([abs(float(w[c] @ v) + bias) for c, v in x])) or 1.0
 
     def choose(self, margins: np.ndarray, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Winner of the one-versus-one votes among `names`, and the mean probability of its duels."""
@@ -158,12 +162,14 @@ class Model:
                     margins[i:j, k] = np.where(lengths > 2, np.add.reduceat(values, ok), 0) / np.maximum(1, lengths - 2)
             i = j
         margins += np.array(self.bias)
-        families = sorted({family(x) for x in self.langs})
-        chosen, score = self.choose(margins, families)
+        groups = sorted(set(self.family.values()))
+        chosen, score = self.choose(margins, groups)
         names, scores = np.empty(len(batch), object), np.zeros(len(batch))
-        for f, name in enumerate(families):
+        for f, name in enumerate(groups):
             rows = np.flatnonzero(chosen == f)
-            inside = sorted(x for x in self.langs if family(x) == name)
+            if not len(rows):
+                continue
+            inside = sorted(x for x in self.langs if self.family[x] == name)
             best, p = self.choose(margins[rows], inside)
             names[rows] = [inside[b] for b in best]
             scores[rows] = score[rows] * p
@@ -182,31 +188,49 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["lang", "h", "buckets", "shares"])
 
 
+def sampled(docs: DataFrame, sample: int) -> DataFrame:
+    """Stored: ``lang, h, place`` of the labelled pairs of doc_id and text that train, by hash order in their language.
+
+    Tasks keep the first `sample` of each language before anything is shuffled.
+    """
+    rows = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    keys = rows.select("lang", F.xxhash64("doc_id", "text").alias("h")).distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return stored(keys.withColumn("place", place).filter(F.col("place") <= sample), "langid-sample")
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fit on the bounded sample described above; None without any labelled row.
 
-    The labelled rows of each language are counted, and a hash cutoff lets some more than `sample` of them
-    through. Only those are turned into features, and the smallest hashes of them stay.
+    Rows equal in doc_id and text count once, so copies don't fill the sample. The driver has the names of
+    the languages and the fitted machines, never features.
     """
-    rows = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not counts:
+    spark, top = docs.sparkSession, sampled(docs, sample)
+    langs = sorted(r["lang"] for r in top.select("lang").distinct().collect())
+    if not langs:
         return None
-    h = F.shiftrightunsigned(F.xxhash64("doc_id"), 32)
-    cutoffs = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1 << 32, int((sample + 5 * sample**0.5) / n * (1 << 32))))])
-    chosen = rows.select("lang", h.alias("h"), F.lower("text").alias("text")).filter(F.col("h") < cutoffs[F.col("lang")])
-    counted = chosen.mapInArrow(_counted, "lang string, h bigint, buckets binary, shares binary").limit(2 * sample * len(counts)).collect()
-    counted.sort(key=lambda r: (r["lang"], r["h"], r["buckets"], r["shares"]))
-    taken: dict[str, list] = {}
-    for r in counted:
-        own = taken.setdefault(r["lang"], [])
-        if len(own) < sample:
-            own.append((np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["shares"], np.float32)))
-    del counted
-    langs = sorted(counts)
-    return Model(langs, 30.0).fit([x for lang in langs for x in taken.get(lang, ())], np.array([lang for lang in langs for _ in taken.get(lang, ())]))
+    model = Model(langs)
+    rows = docs.filter(~held_out(F.col("doc_id"))).select("lang", F.xxhash64("doc_id", "text").alias("h"), F.lower("text").alias("text"))
+    rows = rows.join(small(top.select("lang", "h"), BROADCAST_ROWS), ["lang", "h"], "left_semi")
+    counted = rows.mapInArrow(_counted, "lang string, h bigint, buckets binary, shares binary").dropDuplicates(["lang", "h"]).join(small(top, BROADCAST_ROWS), ["lang", "h"])
+    size = Counter(model.family.values())
+    classes = [(x, c, most) for x in langs for c, most in ((f"lang {x}", sample), (f"family {model.family[x]}", -(-2 * sample // size[model.family[x]])))]
+    sides = [(c, i, y) for i, (a, b) in enumerate(model.jobs) for c, y in ((a, 1.0), (b, -1.0))]
+    if not sides:
+        return model
+    named = small(spark.createDataFrame(classes, "lang string, cls string, most int"), BROADCAST_ROWS)
+    jobs = small(spark.createDataFrame(sides, "cls string, job int, y double"), BROADCAST_ROWS)
+    of = counted.join(named, "lang").filter("place <= most").join(jobs, "cls").select("job", "lang", "h", "y", "buckets", "shares")
+
+    def fitted(df):
+        df = df.sort_values(["lang", "h"])
+        x = [(np.frombuffer(b, np.uint16), np.frombuffer(v, np.float32)) for b, v in zip(df["buckets"], df["shares"], strict=True)]
+        w, bias, spread = model.fit_pair(int(df["job"].iloc[0]), x, df["y"].to_numpy())
+        return pd.DataFrame({"job": df["job"].iloc[:1], "weights": [w.tobytes()], "bias": [bias], "spread": [spread]})
+
+    for r in of.groupBy("job").applyInPandas(fitted, "job int, weights binary, bias double, spread double").collect():
+        model.weights[r["job"]], model.bias[r["job"]], model.spread[r["job"]] = np.frombuffer(r["weights"], np.float32), r["bias"], r["spread"]
+    return model
 
 
 def _predicted(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
