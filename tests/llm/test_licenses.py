@@ -1,7 +1,10 @@
 import random
 import re
 
+import pytest
+
 from tidebook.llm import licenses as L
+from tidebook.llm import templates as T
 
 
 def words(t):
@@ -22,7 +25,7 @@ def contained(text, template):
 def test_documents(docs):
     got = {r.doc_id: set(filter(None, r.licenses.split(","))) for r in L.scanned(docs).collect()}
     for r in docs.collect():
-        assert got[r.doc_id] == {n for n, t in L.NOTICES.items() if contained(r.text, t)}, r.doc_id
+        assert got[r.doc_id] == {n for n, t in T.TEMPLATES.items() if contained(r.text, t)}, r.doc_id
     assert any(got.values())
 
 
@@ -47,3 +50,28 @@ def test_odd_rows(odd, none):
     assert len(rows) == odd.count() and all(r.n_licenses == 0 for r in rows)
     assert L.scanned(none).count() == 0
     assert L.scanned(odd, {}).count() == odd.count()
+
+
+@pytest.mark.parametrize("edits", [0, 2, 6, 40])
+def test_whole_licenses(spark, edits):
+    """Licenses inside other text, with some words altered: found while 0.8 of their shingles are left."""
+    rng, rows = random.Random(edits), []
+    noise = lambda n: " ".join(f"n{rng.randint(0, 10**6)}" for _ in range(n))
+    for name, text in T.TEXTS.items():
+        w = text.split()
+        for at in rng.sample(range(len(w)), min(edits, len(w))):
+            w[at] = "changed"
+        rows.append((name, f"{noise(rng.randint(0, 90))} {' '.join(w)} {noise(rng.randint(0, 90))}", contained(" ".join(w), text)))
+    got = {r.doc_id: r.licenses.split(",") for r in L.scanned(spark.createDataFrame(rows, "doc_id string, text string, want boolean")).collect()}
+    for name, _, want in rows:
+        assert (name in got[name]) == want
+    assert edits == 2 or {want for _, _, want in rows} == {edits == 0} or edits == 6
+
+
+def test_blocks_of_templates(spark, docs, odd, monkeypatch):
+    """A table beyond one block gives the same rows."""
+    some = {n: T.TEMPLATES[n] for n in ("MIT", "Apache-2.0", "GPL-3.0", "CC-BY-NC-4.0", "MIT-text")}
+    both = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    want = sorted(map(str, L.scanned(both, some).collect()))
+    monkeypatch.setattr(L, "BLOCK_TEMPLATES", 2)
+    assert sorted(map(str, L.scanned(both, some).collect())) == want

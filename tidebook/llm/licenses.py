@@ -8,12 +8,13 @@ and template follows the least Jaccard similarity of the two, and from it the nu
 the chance of retrieving nothing less than `MISS`. Retrieved templates are verified by counting their
 distinct shingles in the window.
 
-Templates are a bounded table (`MOST_TEMPLATES`) that goes to the tasks with the code; documents are never
-shuffled.
+Templates go to the tasks with the code, in blocks of `BLOCK_TEMPLATES`; documents are never shuffled unless
+there are several blocks, whose matches are then put together.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import defaultdict
 from collections.abc import Iterator
@@ -21,29 +22,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidebook.llm import vector
+from tidebook.llm.common import stored
+from tidebook.llm.templates import TEMPLATES
 from tidebook.llm.vector import G, mix
 
 SHINGLE = 5
 CONTAINED = 0.8
 MISS = 1e-6
-MOST_TEMPLATES = 20_000
+BLOCK_TEMPLATES = 20_000
 MOST_BANDS = 40
 
-# Notices by which texts state their license.
-NOTICES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "MIT": "Released under the MIT License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-}
-
 SEPARATES = np.ones(256, dtype=bool)
 SEPARATES[48:58] = SEPARATES[65:91] = SEPARATES[97:123] = SEPARATES[128:] = False
 
@@ -122,8 +113,6 @@ class Class:
 
 class Scanner:
     def __init__(self, templates: dict[str, str]):
-        if len(templates) > MOST_TEMPLATES:
-            raise ValueError(f"more than {MOST_TEMPLATES} templates")
         self.sets: dict[str, np.ndarray] = {}
         self.classes: dict[int, Class] = {}
         for name, text in sorted(templates.items()):
@@ -180,19 +169,35 @@ def _scanned(batches: Iterator[pa.RecordBatch], templates: dict[str, str]) -> It
             names = [sorted({m[2] for m in x}) for x in found]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).slice(first, len(texts)), pa.array([len(x) for x in names], pa.int64()), pa.array([",".join(x) for x in names]),
-                    pa.array([",".join(f"{name}:{a}:{z}" for a, z, name in x) for x in found]),
+                    batch.column(0).slice(first, len(texts)), pa.array([len(x) for x in names], pa.int64()), pa.array([",".join(x) for x in names], pa.string()),
+                    pa.array([",".join(f"{name}:{a}:{z}" for a, z, name in x) for x in found], pa.string()),
                 ],
                 ["doc_id", "n_licenses", "licenses", "spans"],
             )
 
 
-def scanned(docs: DataFrame, templates: dict[str, str] = NOTICES) -> DataFrame:
+def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """One row per row of `docs`: ``doc_id, n_licenses, licenses, spans``.
 
     ``licenses`` are the names of the templates that occur, sorted; ``spans`` are ``name:first:last`` with
     word numbers from 0, both inclusive, by place, then name. A null or wordless text has none, and a
     template without words never occurs. Repeated rows get equal results; further columns are ignored.
+    Names of templates hold no comma or colon.
     """
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(lambda b: _scanned(b, templates), f"doc_id {id_type}, n_licenses bigint, licenses string, spans string")
+    names = sorted(templates)
+    blocks = [{n: templates[n] for n in names[at : at + BLOCK_TEMPLATES]} for at in range(0, max(1, len(names)), BLOCK_TEMPLATES)]
+    columns = "n_licenses bigint, licenses string, spans string"
+    if len(blocks) == 1:
+        id_type = docs.schema["doc_id"].dataType.simpleString()
+        return docs.select("doc_id", "text").mapInArrow(lambda b: _scanned(b, blocks[0]), f"doc_id {id_type}, {columns}")
+    keyed = stored(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "license-docs")
+    parts = [keyed.select("row", "text").mapInArrow(lambda b, block=block: _scanned(b, block), f"row bigint, {columns}").filter("n_licenses > 0") for block in blocks]
+    every = functools.reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.sum("n_licenses").alias("n"), F.collect_list("licenses").alias("l"), F.collect_list("spans").alias("s"))
+    joined = lambda lists: F.split(F.array_join(lists, ","), ",")
+    part = lambda s: F.split(s, ":")
+    by_place = F.array_sort(F.transform(joined(F.col("s")), lambda s: F.struct(part(s)[1].cast("long").alias("a"), part(s)[0].alias("name"), part(s)[2].cast("long").alias("z"), s.alias("s"))))
+    found = keyed.select("row", "doc_id").join(every, "row", "left")
+    return found.select(
+        "doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_licenses"), F.coalesce(F.array_join(F.array_sort(joined(F.col("l"))), ","), F.lit("")).alias("licenses"),
+        F.coalesce(F.array_join(F.transform(by_place, lambda x: x["s"]), ","), F.lit("")).alias("spans"),
+    )
