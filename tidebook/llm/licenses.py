@@ -69,7 +69,8 @@ class Class:
 
     def __init__(self, most: int):
         self.stride = max(1, most // 4)
-        self.most, self.window = most, most + self.stride - 1
+        self.blocks = -(-(most + self.stride - 1) // self.stride)
+        self.most, self.window = most, self.blocks * self.stride
         least = most // 2 + 1
         need = math.ceil(CONTAINED * least - 1e-9)
         # a window holds at least `need` of the template's shingles; the union has the rest of both
@@ -78,19 +79,24 @@ class Class:
         self.maybe = [np.zeros(1 << 16, dtype=bool) for _ in range(self.bands)]
 
     def keys(self, shingles: np.ndarray, windowed: bool) -> Iterator[np.ndarray]:
-        """The band keys of all windows at the stride, or of the shingles as one set."""
+        """The band keys of all windows at the stride, or of the shingles as one set.
+
+        Shingles are hashes already, so an odd factor permutes them well enough. A window is some blocks of one
+        stride each, and its minimum that of theirs.
+        """
+        if windowed:
+            shingles = np.concatenate([shingles, np.full(-len(shingles) % self.stride, shingles[-1])])
         for band in range(self.bands):
             key = np.full(1, band, dtype=np.uint64)
             for row in range(self.rows):
-                seed = mix(np.array([band * 8 + row + self.most * 4096], dtype=np.uint64))
-                values = mix(shingles ^ seed)
+                factor = mix(np.array([band * 8 + row + self.most * 4096], dtype=np.uint64)) | np.uint64(1)
+                values = shingles * factor
                 if windowed:
-                    span = 1
-                    while span < self.window:
-                        step = min(span, self.window - span)
-                        values = np.minimum(values[: len(values) - step], values[step:])
-                        span += step
-                    values = values[:: self.stride]
+                    least = values.reshape(-1, self.stride).min(axis=1)
+                    n = len(least) - self.blocks + 1
+                    values = least[:n].copy()
+                    for k in range(1, self.blocks):
+                        np.minimum(values, least[k : k + n], out=values)
                 else:
                     values = values.min(keepdims=True)
                 key = mix(key * G + values)
