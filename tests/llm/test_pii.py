@@ -79,3 +79,51 @@ def test_long_secrets_are_judged_whole(spark):
     c = {r.row: r for r in P.candidates(P.scanned(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1))).collect()}
     assert [(r.shape, r.f_digits) for _, r in sorted(c.items())] == [(1, 0), (1, 0)]
     assert all(not r.f_hex and not r.f_wordlike and r.end - r.start in (410, 43) for r in c.values())
+
+
+def test_planted_data(spark):
+    """Of tokens that are introduced and of numbers as long as a card's, at least 0.9 have a span; texts without digits none."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r for r in P.found(docs).collect()}
+    planted, hit = 0, 0
+    for r in docs.collect():
+        spans = [tuple(map(int, s.split(":")[1:])) for s in got[r.doc_id].spans.split(",") if s]
+        for m in re.finditer(r'(?<=token = ")[0-9a-f]{40}|(?<![0-9])[0-9]{16}(?![0-9])', r.text or ""):
+            planted += 1
+            hit += any(a <= m.start() and m.end() <= z for a, z in spans)
+        assert spans == [] or re.search("[0-9]", r.text)
+        assert len(spans) == got[r.doc_id].n_spans
+    assert planted > 20 and hit >= 0.9 * planted
+
+
+def test_kinds(spark):
+    """What is introduced, or holds by itself, is found; what says that it is something else isn't."""
+    rows = [(kind, f"{i} {text}") for i in range(12) for kind, text in [
+        ("iban", "IBAN DE89 3704 0044 0532 0130 00 please"), ("iban", "Konto: GB82WEST12345698765432."), ("mac", "device mac: 00:1B:44:11:3A:B7 up"), ("birth_date", "geboren 12.03.1980 in Rom"),
+        ("account", "card 4000123412341235 expired"), ("national_id", "my ssn: 123-45-6789."), ("secret", "api_key=a8Kd93jfLs02mZx81QpW55tY"),
+        ("no", "IBAN DE88 3704 0044 0532 0130 00 please"), ("no", "sha256 a8bd93cf0e02f1a8810755ff23a8bd93cf"), ("no", "released 12.03.1980 in Rom"), ("no", "geboren 45.03.1980 in Rom"), ("no", "ssn: 000-45-6789."),
+        ("no", "isbn 9780306406157000 here"), ("no", "see /usr/share/some_long_directory_name/file"),
+    ]]
+    df = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(rows)], "doc_id bigint, want string, text string")
+    got = {r.doc_id: {s.split(":")[0] for s in r.spans.split(",") if s} for r in P.found(df).collect()}
+    wrong = [(k, t, got[i]) for i, (k, t) in enumerate(rows) if got[i] != ({k} if k != "no" else set())]
+    assert not wrong, wrong[:14]
+
+
+def test_many_matches_and_labelers_that_abstain(spark):
+    rows = [(1, "1.2.3.4 " * 20_000), (2, "a@b.c " * 5_000 + "x")]
+    got = {r.doc_id: r for r in P.found(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, t in rows:
+        counts, digest, _ = brute(t)
+        assert [got[i][f"n_{k}"] for k in P.KINDS] == counts and got[i].base_sha256 == digest
+    c = P.candidates(P.scanned(spark.createDataFrame([(1, "bare 1234567890123 here")], "doc_id bigint, text string"))).collect()
+    assert [(r.kind, r.shape, r.gazetteer, r.context) for r in c] == [("account", -1, -1, -1)]
+
+
+def test_each_labeler_counts(spark, monkeypatch):
+    """Spans change if the expectation-maximisation's posteriors do: they decide, not the patterns alone."""
+    df = spark.createDataFrame([(i, f"token: a8Kd93jfLs02mZx81QpW55t{i}") for i in range(20)], "doc_id bigint, text string")
+    assert all(r.n_added == 1 for r in P.found(df).collect())
+    real = P.posteriors
+    monkeypatch.setattr(P, "posteriors", lambda votes: real(votes).withColumn("p", 1 - P.F.col("p")))
+    assert all(r.n_added == 0 for r in P.found(df).collect())
