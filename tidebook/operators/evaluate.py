@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.functions.chunks import CHUNK, over_chunks
+from tidebook.functions.chunks import CHUNK, over_chunks, spread
 
 TICK, TP, SL, HOLD = 0.25, 8, 4, 1200
 
@@ -95,22 +95,51 @@ def with_cooldown(found: DataFrame, cooldown: int, chunk: int = CHUNK) -> DataFr
     return df.join(entry, ["threshold", "_c"]).groupBy("threshold", "_c").applyInPandas(fire, "threshold double, bin_seq bigint, direction string")
 
 
+def passages(price: np.ndarray, at: np.ndarray, entry: np.ndarray, up: np.ndarray, down: np.ndarray, hold: int) -> np.ndarray:
+    """The place of the first price behind each place `at`, fewer than `hold` places away, that moved by `up` or `-down`; -1 if none.
+
+    Binary lifting over the extremes of spans of 1, 2, 4, ... places: a span without a hit is passed over as a
+    whole, so an entry costs the logarithm of the hold. Prices of 0 or less are passed over.
+    """
+    spans = [(np.where(price > 0, price, -np.inf), np.where(price > 0, price, np.inf))]
+    while 2 << (len(spans) - 1) < hold:
+        (high, low), step = spans[-1], 1 << (len(spans) - 1)
+        spans.append((np.maximum(high, np.append(high[step:], np.full(min(step, len(high)), -np.inf))), np.minimum(low, np.append(low[step:], np.full(min(step, len(low)), np.inf)))))
+    pos, last = at + 1, np.minimum(at + hold, len(price))
+    for level in range(len(spans) - 1, -1, -1):
+        high, low = spans[level]
+        fits = pos + (1 << level) <= last
+        place = np.minimum(pos, len(price) - 1)
+        pos = np.where(fits & ~((high[place] - entry >= up) | (low[place] - entry <= -down)), pos + (1 << level), pos)
+    place = np.minimum(pos, len(price) - 1)
+    hit = (pos < last) & ((spans[0][0][place] - entry >= up) | (spans[0][1][place] - entry <= -down))
+    return np.where(hit, pos, -1)
+
+
 def first_hits(entries: DataFrame, bins: DataFrame, up: Column, down: Column, hold: int, chunk: int = CHUNK) -> DataFrame:
-    """For each row of `entries` (with ``bin_seq, entry``): ``hit_bin, hit_price`` of the first later bin, fewer than
-    `hold` bins away, whose price moves by at least `up` or at most `-down`; null if there is none.
+    """The rows of `entries` (with ``bin_seq, entry``) that have a ``hit_bin, hit_price``: the first later bin, fewer than
+    `hold` bins away, whose price moves by at least `up` or at most `-down`.
 
-    A range join in blocks: an entry goes to the blocks of bins that it can reach and meets their prices there.
-    Prices of 0 or less are passed over.
+    Chunks of bins, with the `hold` bins behind them, meet the entries of the chunk, and each entry goes through the
+    extremes of spans. Bins are dense; prices of 0 or less are passed over.
     """
-    b = F.col("bin_seq")
-    blocks = F.sequence(F.floor((b + 1) / chunk), F.floor((b + hold - 1) / chunk))
-    reach = entries.withColumn("_block", F.explode(blocks))
-    prices = bins.filter("mid_price > 0").select(F.col("bin_seq").alias("hit_bin"), F.col("mid_price").alias("hit_price"), F.floor(b / chunk).alias("_block"))
-    move = F.col("hit_price") - F.col("entry")
-    near = F.col("hit_bin").between(b + 1, b + hold - 1) & ((move >= up) | (move <= -down))
-    met = reach.join(prices, "_block").filter(near)
-    firsts = met.groupBy(*entries.columns).agg(F.min(F.struct("hit_bin", "hit_price")).alias("hit"))
-    return firsts.select(*entries.columns, "hit.*")
+    columns = entries.columns
+    reach = entries.withColumns({"_up": up.cast("double"), "_down": down.cast("double"), "_chunk": F.floor(F.col("bin_seq") / chunk)})
+    prices = spread(bins.select("bin_seq", "mid_price"), "bin_seq", 0, hold, chunk)
+    prices = prices.select(F.col("_chunk").alias("_block"), F.col("bin_seq").alias("hit_bin"), F.col("mid_price").alias("hit_price"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema) + ", hit_bin bigint, hit_price double"
+
+    def met(own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if own.empty or near.empty:
+            return pd.DataFrame(columns=[*columns, "hit_bin", "hit_price"]).astype({"hit_bin": "int64", "hit_price": "float64"})
+        first, last = int(near["hit_bin"].min()), int(near["hit_bin"].max())
+        price = np.zeros(last - first + 1)
+        price[near["hit_bin"].to_numpy() - first] = near["hit_price"].to_numpy()
+        hit = passages(price, own["bin_seq"].to_numpy() - first, *(own[c].to_numpy() for c in ("entry", "_up", "_down")), hold)
+        found = own.loc[hit >= 0, columns].reset_index(drop=True)
+        return found.assign(hit_bin=hit[hit >= 0] + first, hit_price=price[hit[hit >= 0]])
+
+    return reach.groupBy("_chunk").cogroup(prices.groupBy("_block")).applyInPandas(met, schema)
 
 
 def outcomes(shots: DataFrame, bins: DataFrame, tp: float = TP, sl: float = SL, hold: int = HOLD, tick: float = TICK, chunk: int = CHUNK) -> DataFrame:

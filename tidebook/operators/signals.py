@@ -321,3 +321,25 @@ def directional_edge(lattice: DataFrame, radius: int, bands=(4, 8, 16), windows=
         return df.withColumn("signal", W.rollup(axis, "edge", list(windows), [w / sum(time) for w in time]))
 
     return over_chunks(cells.groupBy("bin_seq").agg(edge.alias("edge")), [], "bin_seq", max(windows), build, chunk=chunk).select("bin_seq", "signal")
+
+
+#: Edges from which a position holds or tightens, and how far a vacuum must exceed its pressure.
+HOLD_EDGE, TIGHTEN_EDGE, THIN_RATIO = 5, 2, 1.15
+
+
+def force_labels(forces: DataFrame) -> DataFrame:
+    """``bin_seq, long_action, short_action, risk`` from the pressure and vacuum totals above and below the spot.
+
+    Pressure below and vacuum above push up. A side holds if the edge is its way by `HOLD_EDGE` and both of its
+    forces lead, tightens until the edge is against it by `TIGHTEN_EDGE`, and leaves then.
+    """
+    k, total = F.col("k"), lambda x, side: F.sum(F.when(side, F.col(x)).otherwise(0.0))
+    above = {n: total(f"{n}_variant", k > 0).alias(f"{n}_above") for n in ("pressure", "vacuum")}
+    below = {n: total(f"{n}_variant", k < 0).alias(f"{n}_below") for n in ("pressure", "vacuum")}
+    df = forces.groupBy("bin_seq").agg(*above.values(), *below.values())
+    pa, va, pb, vb = (F.col(c) for c in ("pressure_above", "vacuum_above", "pressure_below", "vacuum_below"))
+    edge = (pb + va) - (pa + vb)
+    action = lambda e, leads: F.when((e > HOLD_EDGE) & leads, "HOLD").when(e > -TIGHTEN_EDGE, "TIGHTEN").otherwise("EXIT")
+    thin = lambda v, p: v > F.greatest(p * THIN_RATIO, F.lit(2.0))
+    risk = F.when(thin(vb, pb), "SUPPORT FAILING").when(thin(va, pa), "RESISTANCE THINNING").when(edge >= TIGHTEN_EDGE, "UP ADVANTAGE").when(edge <= -TIGHTEN_EDGE, "DOWN ADVANTAGE").otherwise("BALANCED")
+    return df.select("bin_seq", action(edge, (va > pa) & (pb > vb)).alias("long_action"), action(-edge, (pa > va) & (vb > pb)).alias("short_action"), risk.alias("risk"))

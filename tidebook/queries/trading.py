@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -222,6 +224,12 @@ def regime_totals(spark: SparkSession, d: str) -> DataFrame:
     return shown(df.withColumns({"action": action, "regime": regime}))
 
 
+@query(f"WITH {S.FORCES}, s AS (SELECT bin_seq, sum(CASE WHEN k > 0 THEN pressure_variant ELSE 0 END) AS pa, sum(CASE WHEN k < 0 THEN pressure_variant ELSE 0 END) AS pb, sum(CASE WHEN k > 0 THEN vacuum_variant ELSE 0 END) AS va, sum(CASE WHEN k < 0 THEN vacuum_variant ELSE 0 END) AS vb FROM forces GROUP BY bin_seq), n AS (SELECT *, (pb + va) - (pa + vb) AS e FROM s) SELECT bin_seq, CASE WHEN e > 5 AND va > pa AND pb > vb THEN 'HOLD' WHEN e > -2 THEN 'TIGHTEN' ELSE 'EXIT' END AS long_action, CASE WHEN e < -5 AND pa > va AND vb > pb THEN 'HOLD' WHEN e < 2 THEN 'TIGHTEN' ELSE 'EXIT' END AS short_action, CASE WHEN vb > greatest(pb * 115e-2, 2) THEN 'SUPPORT FAILING' WHEN va > greatest(pa * 115e-2, 2) THEN 'RESISTANCE THINNING' WHEN e >= 2 THEN 'UP ADVANTAGE' WHEN e <= -2 THEN 'DOWN ADVANTAGE' ELSE 'BALANCED' END AS risk FROM n")
+def force_labels(spark: SparkSession, d: str) -> DataFrame:
+    """What the force totals advise for longs and shorts, and the risk they show."""
+    return X.force_labels(forces(spark, d))
+
+
 _HIT = "h1 AS (SELECT m.bin_seq, m.signal, lead(mid_price, 1) OVER w - mid_price AS r1, lead(mid_price, 4) OVER w - mid_price AS r4 FROM msd m JOIN bins USING (bin_seq) WINDOW w AS (ORDER BY m.bin_seq))"
 
 
@@ -353,7 +361,19 @@ def rate_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.rate_checks(_one_run(spark, d))
 
 
-@query()
+def _two_runs() -> str:
+    """The rows of both runs: the chain of detection and evaluation once for each signal, under names of its own."""
+    def of(name: str) -> str:
+        chain = f"{_CROSS}, {_OUT}, {_SUM}".replace("FROM iirc, th", f"FROM {name}, th")
+        for cte in ("fired", "shots", "swept", "outc", "th", "st", "cr", "en", "ht", "ob", "oc", "sm"):
+            chain = re.sub(rf"\b{cte}\b(?=\(| AS \(|,| |\))(?<!\.)", f"{name}_{cte}", chain)
+        return chain
+
+    rows = " UNION ALL ".join(f"SELECT 'run-{name}' AS run_id, '{name}' AS signal_name, {noise} AS noise, * FROM {name}_swept" for name, noise in (("iirc", "1e-1"), ("msd", "0e0")))
+    return f"WITH RECURSIVE {S.FORCES}, {_IIRC}, {_MSD}, {of('iirc')}, {of('msd')}, runs AS ({rows})"
+
+
+@query(f"{_two_runs()}, best AS (SELECT * FROM runs WHERE n_signals >= 5 AND tp_rate IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY tp_rate DESC, threshold) = 1) SELECT row_number() OVER (ORDER BY tp_rate DESC NULLS LAST, run_id, threshold) AS rank, run_id, signal_name, threshold, n_signals, {S.rnd('tp_rate')} FROM best")
 def run_ranking(spark: SparkSession, d: str) -> DataFrame:
     """Best rows of the runs of two signals, joined with their metadata and ranked by take-profit rate."""
     meta = spark.createDataFrame([("run-iirc", "iirc", '{"noise": 0.1}'), ("run-msd", "msd", '{"noise": 0.0}')], "run_id string, signal_name string, signal_params_json string")
@@ -361,7 +381,7 @@ def run_ranking(spark: SparkSession, d: str) -> DataFrame:
     return shown(results.ranked(results.with_meta(best, meta, ["signal_name", "unknown"]), "tp_rate"), "rank", "run_id", "signal_name", "threshold", "n_signals", "tp_rate")
 
 
-@query()
+@query(f"{_two_runs()} SELECT noise AS value, round(avg(tp_rate), 6) AS tp_rate, CAST(sum(n_signals) AS BIGINT) AS n_signals FROM runs GROUP BY noise")
 def parameter_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     """Mean rates by the value of one parameter, read from the JSON of the runs' metadata."""
     meta = spark.createDataFrame([("run-iirc", '{"noise": 0.1}'), ("run-msd", '{"noise": 0.0}')], "run_id string, signal_params_json string")
