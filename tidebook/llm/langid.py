@@ -191,12 +191,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sampled(docs: DataFrame, sample: int) -> DataFrame:
     """Stored: ``lang, h, place`` of the labelled pairs of doc_id and text that train, by hash order in their language.
 
-    Tasks keep the first `sample` of each language before anything is shuffled.
+    The order is that of the hash's upper half, as an unsigned number.
     """
     rows = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    keys = rows.select("lang", F.xxhash64("doc_id", "text").alias("h")).distinct()
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    return stored(keys.withColumn("place", place).filter(F.col("place") <= sample), "langid-sample")
+    keys = stored(rows.select("lang", F.xxhash64("doc_id", "text").alias("h")).distinct(), "langid-keys")
+    counts = small(stored(keys.groupBy("lang").agg(F.count("*").alias("n")), "langid-counts"), BROADCAST_ROWS)
+    # a cutoff that somewhat more than the sample pass, so that a language's rows needn't meet in one task to be ordered
+    share = (sample + 5 * sample**0.5) / F.col("n")
+    near = keys.join(counts, "lang").filter(F.shiftrightunsigned("h", 32) < share * (1 << 32)).select("lang", "h")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 32), "h"))
+    return stored(near.withColumn("place", place).filter(F.col("place") <= sample), "langid-sample")
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
