@@ -45,3 +45,24 @@ def rate_checks(runs: DataFrame) -> DataFrame:
     """Of run rows: the three rates sum to 1, counts add up."""
     total = F.col("tp_rate") + F.col("sl_rate") + F.col("timeout_rate")
     return violations(runs, {"rates": (F.col("n_signals") > 0) & (F.abs(total - 1) > 1e-6), "counts": F.col("n_up") + F.col("n_down") != F.col("n_signals"), "no_rates": (F.col("n_signals") > 0) & total.isNull()})
+
+
+def active(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows in which some of the columns isn't zero; null counts as zero."""
+    return df.filter(sum((F.abs(F.coalesce(F.col(c), F.lit(0))) for c in columns), F.lit(0.0)) > 0)
+
+
+def between(df: DataFrame, start: int, end: int, time: str = "ts_ns") -> DataFrame:
+    """The rows of a time window, its end excluded; an error if there are none."""
+    rows = df.filter((F.col(time) >= start) & (F.col(time) < end))
+    if rows.isEmpty():
+        raise ValueError(f"no rows from {start} to {end}")
+    return rows
+
+
+def dense(df: DataFrame, n_cells: int) -> DataFrame:
+    """The grid as it is; reading a bin that hasn't exactly `n_cells` rows is an error."""
+    counts = df.groupBy("bin_seq").agg(F.count("*").alias("_n"))
+    message = F.concat(F.lit("bin "), F.col("bin_seq").cast("string"), F.lit(" has "), F.col("_n").cast("string"), F.lit(f" cells instead of {n_cells}"))
+    checked = counts.filter(F.when(F.col("_n") != n_cells, F.raise_error(message).cast("boolean")).otherwise(True))
+    return df.join(checked.drop("_n"), "bin_seq")

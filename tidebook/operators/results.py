@@ -67,3 +67,11 @@ def union_rows(*frames: DataFrame) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+def detail(runs: DataFrame, meta: DataFrame, run_id: str, parameters: list[str]) -> DataFrame:
+    """The rows of one run with its metadata and the named JSON parameters; NaN is null, as is a parameter that isn't there."""
+    named = [F.get_json_object("signal_params_json", f"$.{p}").cast("double").alias(p) for p in parameters]
+    kinds = dict(runs.dtypes)
+    rows = runs.filter(F.col("run_id") == run_id).select(*[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) if kinds[c] == "double" else F.col(c) for c in runs.columns])
+    return meta.filter(F.col("run_id") == run_id).select("run_id", "signal_name", *named).join(rows, "run_id")

@@ -68,3 +68,13 @@ def decision_log(sessions: DataFrame, steps: list[str]) -> DataFrame:
 def unknown_roles(fields: DataFrame, roles: list[str]) -> DataFrame:
     """Fields whose role isn't one of the known ones: what stops a promotion."""
     return fields.filter(~F.col("role").isin(roles) | F.col("role").isNull())
+
+
+def alias_of_run(aliases: DataFrame, versions: DataFrame, run_id: object, order: str) -> DataFrame:
+    """The alias that was last pointed at a version of the run, the first by name of several; no row without any."""
+    return aliases.join(versions.filter(F.col("run_id") == run_id), "serving_id").orderBy(F.col(order).desc(), "alias").limit(1)
+
+
+def recent(log: DataFrame, key: str, of: object, order: list[str], most: int = 100) -> DataFrame:
+    """The newest rows of one key of an audit log, newest first, at most that many."""
+    return log.filter(F.col(key) == of).orderBy(*[F.col(c).desc() for c in order]).limit(most)

@@ -48,6 +48,21 @@ def resolved_names(spark: SparkSession, d: str) -> DataFrame:
     return serving.resolve(names, serving.latest(log, "alias", "event_id"), log.select("serving_id").distinct())
 
 
+@query(f"WITH {_LOG} SELECT alias, serving_id, event_id FROM cur WHERE CAST(substr(serving_id, 3) AS INTEGER) % 50 = 7 ORDER BY event_id DESC, alias LIMIT 1")
+def alias_of_run(spark: SparkSession, d: str) -> DataFrame:
+    """The latest alias of a run; every version belongs to one of 50 runs."""
+    log = aliases(spark, d)
+    versions = log.select("serving_id").distinct().withColumn("run_id", F.substring("serving_id", 3, 9).cast("int") % 50)
+    return serving.alias_of_run(serving.latest(log, "alias", "event_id"), versions, 7, "event_id").select("alias", "serving_id", "event_id")
+
+
+@query("SELECT event_id, user_id AS workspace_id, event_type AS action, epoch_us(ts) AS created_us FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id DESC LIMIT 100")
+def audit_page(spark: SparkSession, d: str) -> DataFrame:
+    """The newest audit events of one workspace."""
+    log = market.table(spark, d, "events").select("event_id", F.col("user_id").alias("workspace_id"), F.col("event_type").alias("action"), market.micros("ts").alias("created_us"))
+    return serving.recent(log, "workspace_id", 7, ["created_us", "event_id"])
+
+
 @query("WITH o AS (SELECT o_custkey AS run_id, o_orderpriority AS config_hash FROM orders WHERE o_orderdate < DATE '1998-01-01' GROUP BY ALL), n AS (SELECT DISTINCT o_custkey AS run_id, o_orderpriority AS config_hash FROM orders WHERE o_orderdate >= DATE '1998-01-01') SELECT run_id, config_hash FROM o UNION ALL SELECT run_id, config_hash FROM n ANTI JOIN o USING (run_id, config_hash)")
 def promoted_versions(spark: SparkSession, d: str) -> DataFrame:
     o = market.table(spark, d, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderpriority").alias("config_hash"), "o_orderdate")

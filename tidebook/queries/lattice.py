@@ -15,6 +15,7 @@ from tidebook.operators import joins, quality
 from tidebook.queries import sql as S
 from tidebook.queries.registry import query, shown
 from tidebook.sources import files, market
+from tidebook.streaming import telemetry
 
 
 @query(f"WITH {S.LATTICE} SELECT bin_seq, ts_ns, bin_event_count, event_id, mid_price, best_bid, best_ask FROM bins")
@@ -161,3 +162,35 @@ def feature_view(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {S.LATTICE} SELECT bin_seq, k, 'demo__' || bin_seq || '__' || k AS entity_key FROM nb CROSS JOIN kk")
 def entity_frame(spark: SparkSession, d: str) -> DataFrame:
     return files.entity_frame(market.bins(spark, d).select("bin_seq"), market.RADIUS, "demo")
+
+
+@query(f"WITH {S.LATTICE} SELECT bin_seq, k FROM cells WHERE abs(v_add) + abs(v_pull) + abs(v_fill) + abs(v_rest_depth) > 0")
+def active_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells in which something moved."""
+    return quality.active(market.cells(spark, d), ["v_add", "v_pull", "v_fill", "v_rest_depth"]).select("bin_seq", "k")
+
+
+@query(f"WITH {S.LATTICE} SELECT bin_seq, ts_ns, mid_price FROM bins WHERE ts_ns >= 1704240000000000000 AND ts_ns < 1704412800000000000")
+def evaluation_window(spark: SparkSession, d: str) -> DataFrame:
+    """Bins of the evaluation, 3 and 4 January 2024."""
+    return quality.between(market.bins(spark, d), 1_704_240_000_000_000_000, 1_704_412_800_000_000_000).select("bin_seq", "ts_ns", "mid_price")
+
+
+@query(f"WITH {S.LATTICE} SELECT bin_seq, v_add, v_pull, v_fill, v_rest_depth FROM cells WHERE k = 0")
+def spot_level(spark: SparkSession, d: str) -> DataFrame:
+    """The variant of the lattice with one row a bin, that of the spot."""
+    return market.cells(spark, d).filter("k = 0").select("bin_seq", "v_add", "v_pull", "v_fill", "v_rest_depth")
+
+
+@query(f"WITH {S.GOLD} SELECT bin_seq, k, {S.rnd('flow_score')}, flow_state_code FROM gold")
+def batch_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of a grid that is checked to have all cells of every bin."""
+    grid = G.force_block(quality.dense(market.silver(spark, d), 11))
+    return shown(G.scored(grid), "bin_seq", "k", "flow_score", "flow_state_code")
+
+
+@query(f"WITH {S.LATTICE}, r AS (SELECT bin_seq AS number, CAST(bin_event_count AS DOUBLE) AS x FROM bins) SELECT number, n, round(p[1], 6) AS p50, round(p[2], 6) AS p95, round(p[3], 6) AS p99 FROM (SELECT number, count(*) OVER w AS n, quantile_cont(x, [5e-1, 95e-2, 99e-2]) OVER w AS p FROM r WINDOW w AS (ORDER BY number ROWS 199 PRECEDING)) WHERE (number + 1) % 50 = 0")
+def latency_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of the last 200 records at every 50th; a bin's number of events stands for its latency."""
+    records = market.bins(spark, d).select(F.col("bin_seq").alias("number"), F.col("bin_event_count").cast("double").alias("x"))
+    return shown(telemetry.summaries(records, "x"))

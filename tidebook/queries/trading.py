@@ -361,6 +361,14 @@ def rate_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.rate_checks(_one_run(spark, d))
 
 
+@query(f"{_ONE} SELECT run_id, 'iirc' AS signal_name, 1e-1 AS noise, CAST(NULL AS DOUBLE) AS unknown, threshold, n_signals, {S.rnd('tp_rate', 'mean_pnl_ticks')} FROM runs")
+def run_detail(spark: SparkSession, d: str) -> DataFrame:
+    """One run with its metadata, parameters and threshold rows."""
+    meta = spark.createDataFrame([("run-iirc", "iirc", '{"noise": 0.1}'), ("run-msd", "msd", "{}")], "run_id string, signal_name string, signal_params_json string")
+    df = results.detail(_one_run(spark, d), meta, "run-iirc", ["noise", "unknown"])
+    return shown(df, "run_id", "signal_name", "noise", "unknown", "threshold", "n_signals", "tp_rate", "mean_pnl_ticks")
+
+
 def _two_runs() -> str:
     """The rows of both runs: the chain of detection and evaluation once for each signal, under names of its own."""
     def of(name: str) -> str:
