@@ -86,7 +86,8 @@ def mechanics(changed: DataFrame, n_bins: int, bin_ns: int, t0_ns: int, chunk: i
     ends = ends.select("tick", "bin_seq", F.lit(1 << 62).alias("seq"), ((F.col("bin_seq") + 1) * bin_ns + t0_ns).alias("ts_ns"), F.lit(0).alias("kind"), *nothing)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = np.lexsort((pdf["add"].to_numpy(), pdf["seq"].to_numpy(), pdf["bin_seq"].to_numpy()))
+        # of events of one number, the first is the one that the chains see: which one that is must not depend on the shuffle
+        at = np.lexsort([pdf[c].to_numpy() for c in ("d_ask", "d_bid", "fill", "pull", "add", "seq", "bin_seq")])
         back = np.argsort(at)
         return fold_tick(pdf.iloc[at].reset_index(drop=True)).iloc[back].reset_index(drop=True)
 

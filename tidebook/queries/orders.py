@@ -69,7 +69,31 @@ def events_per_bin(spark: SparkSession, d: str) -> DataFrame:
     return events.groupBy(F.expr(f"(ts_ns - {t0}) div {MONTH * 1000}").alias("bin_seq"), "action").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
 
 
-@query()
+def _mechanics_sql() -> str:
+    """The fold as a recursion over the rows of a tick; events of one time are one row, whose first event the chains see."""
+    rates = ("add", "pull", "fill", "bid", "ask")
+    order = "ORDER BY step, d_add, d_pull, d_fill, d_bid, d_ask"
+    delta = {"add": "CASE WHEN action = 'A' THEN d ELSE 0 END", "pull": "CASE WHEN action = 'C' THEN -d ELSE 0 END", "fill": "CASE WHEN action = 'F' THEN -d ELSE 0 END", "bid": "CASE WHEN side = 'B' THEN d ELSE 0 END", "ask": "CASE WHEN side = 'A' THEN d ELSE 0 END"}
+    alpha = lambda tau: f"CASE WHEN dt / {tau}e0 > 50 THEN 1e0 ELSE 1e0 - exp(-dt / {tau}e0) END"
+    rate = lambda x: f"CASE WHEN kind = 1 THEN d_{x} / dt ELSE 0e0 END"
+    return f"""WITH RECURSIVE {S.ORDERS}, first AS (SELECT min(us) AS t0 FROM oe),
+mv AS (SELECT tick, (us - t0) // {MONTH} AS bin_seq, (us - t0) * 1000 // 43200 + 1 AS ts, step, {", ".join(f"CAST({delta[x]} AS DOUBLE) AS d_{x}" for x in rates)} FROM delta, first),
+g AS (SELECT tick, bin_seq, ts, 1 AS kind, {", ".join(f"sum(d_{x}) AS s_{x}" for x in rates)}, {", ".join(f"first(d_{x} {order}) AS d_{x}" for x in rates)} FROM mv GROUP BY tick, bin_seq, ts),
+be AS (SELECT tick, unnest(range(min(bin_seq), (SELECT max(bin_seq) + 1 FROM mv))) AS bin_seq FROM mv GROUP BY tick),
+r AS (SELECT *, row_number() OVER (PARTITION BY tick ORDER BY bin_seq, kind DESC, ts) AS n FROM (SELECT * FROM g UNION ALL SELECT tick, bin_seq, (bin_seq + 1) * 60000000000 + 1, 0, {", ".join(["0e0"] * 10)} FROM be)),
+st AS (SELECT tick, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS bin_seq, 1 AS kind, CAST(NULL AS BIGINT) AS clock, {", ".join(f"0e0 AS m_{x}" for x in rates[:3])}, {", ".join(f"0e0 AS {c}_{x}" for x in rates for c in "vaj")} FROM (SELECT DISTINCT tick FROM r)
+UNION ALL SELECT tick, n, bin_seq, kind, CASE WHEN kind = 1 THEN ts ELSE greatest(clock, ts) END, {", ".join(f"m_{x} * exp(-dt / 30e0) + s_{x}" for x in rates[:3])},
+  {", ".join(f"v2_{x}, a2_{x}, CASE WHEN dt > 0 THEN aj * (a2_{x} - a_{x}) / dt + (1e0 - aj) * j_{x} ELSE j_{x} END" for x in rates)}
+  FROM (SELECT *, {", ".join(f"CASE WHEN dt > 0 THEN aa * (v2_{x} - v_{x}) / dt + (1e0 - aa) * a_{x} ELSE a_{x} END AS a2_{x}" for x in rates)}
+  FROM (SELECT *, {", ".join(f"CASE WHEN dt > 0 THEN av * ({rate(x)}) + (1e0 - av) * v_{x} ELSE v_{x} END AS v2_{x}" for x in rates)}
+  FROM (SELECT *, {alpha(2)} AS av, {alpha(5)} AS aa, {alpha(10)} AS aj
+  FROM (SELECT r.*, s.clock, {", ".join(f"s.m_{x}" for x in rates[:3])}, {", ".join(f"s.{c}_{x}" for x in rates for c in "vaj")}, CASE WHEN r.ts > s.clock THEN (r.ts - s.clock) / 1e9 ELSE 0e0 END AS dt FROM st s JOIN r ON r.tick = s.tick AND r.n = s.n + 1))))),
+dp AS (SELECT tick, bin_seq, sum(b) OVER w AS bid_depth, sum(a) OVER w AS ask_depth FROM (SELECT be.tick, be.bin_seq, coalesce(sum(d_bid), 0) AS b, coalesce(sum(d_ask), 0) AS a FROM be LEFT JOIN mv USING (tick, bin_seq) GROUP BY 1, 2) WINDOW w AS (PARTITION BY tick ORDER BY bin_seq))
+SELECT bin_seq, tick, CAST(bid_depth AS BIGINT) AS bid_depth, CAST(ask_depth AS BIGINT) AS ask_depth, {", ".join(f"round(m_{x}, 6) + 0e0 AS {x}_mass" for x in rates[:3])}, {S.rnd("v_add", "v_pull", "v_fill")}, round(v_bid + v_ask, 6) + 0e0 AS v_rest_depth, {S.rnd("a_add", "a_pull", "j_add", "j_pull")}
+FROM st JOIN dp USING (tick, bin_seq) WHERE kind = 0"""
+
+
+@query(_mechanics_sql())
 def tick_mechanics(spark: SparkSession, d: str) -> DataFrame:
     """Masses and derivative chains of every tick at every bin end; a bin of 30 days counts as 60 seconds."""
     c, t0 = changed(spark, d)
