@@ -30,7 +30,21 @@ def test_table_decides(odd):
 
 
 def test_clean_documents_stay(docs):
-    """Prose without markup or repetition is kept; what goes has a symbol for every fourth word."""
+    """Prose without markup or repetition is kept; what goes has a symbol for every fourth word, or no function words."""
     rows = Q.judged(docs).filter("not base_failed").collect()
-    assert all(r.kept == (r.symbols_per_word <= 0.25) for r in rows)
+    assert all(r.kept == (r.symbols_per_word <= 0.25 and r.pass_stop_words) for r in rows)
     assert 0 < sum(not r.kept for r in rows) < 0.1 * len(rows)
+
+
+def test_each_rule_can_fail(spark):
+    word = lambda i: "".join(chr(97 + (i * 7 + k * k) % 26) for k in range(5 + i % 3))
+    prose = "the " + " ".join(f"{word(i)} {word(3 * i + 1)} and" for i in range(30))
+    lines = [f"the {word(i)} {word(i + 40)} of {word(i + 90)}" for i in range(12)]
+    texts = {
+        "": prose, "words": "one two", "length": " ".join(f"the {'x' * (90 + i)}" for i in range(30)), "symbols": prose.replace("and", "&"), "digits": " ".join(f"the {10**9 + i * 7919}" for i in range(40)),
+        "stop_words": " ".join(word(i) + str(i) for i in range(80)), "lines": "\n".join(x for x in ["a the"] * 30 + lines), "bullets": "\n".join(f"- {x}" for x in lines), "ellipses": "\n".join(f"{x}..." for x in lines),
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    for r in Q.judged(df).collect():
+        failed = {name for name, _, _, _ in Q.THRESHOLDS if not r[f"pass_{name}"]}
+        assert r.doc_id in failed or (not r.doc_id and not failed), (r.doc_id, failed)
