@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from tidebook.llm import urls as U
 
 
@@ -27,3 +29,22 @@ def test_brute_force(spark):
     assert got == sorted(((i, *brute(u, U.SITE_RULES, U.PATTERN_RULES)) for i, u, _ in rows), key=str)
     assert U.judged(df.filter("false"), U.rules(spark)).count() == 0
     assert {r.verdict for r in U.judged(df, U.rules(spark, [], [])).collect()} == {"allow"}
+
+
+@pytest.mark.parametrize("bound", [0, 20_000])
+def test_pages(spark, small_dir, monkeypatch, bound):
+    """Real tables: every rule against every URL gives the same, and the index fetches few rules a page."""
+    monkeypatch.setattr(U, "BROADCAST_RULES", bound)
+    pages = spark.read.parquet(f"{small_dir}/pages.parquet")
+    got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in U.judged(pages, U.rules(spark)).collect()), key=str)
+    assert got == sorted(((r.page_id, *brute(r.url, U.SITE_RULES, U.PATTERN_RULES)) for r in pages.collect()), key=str)
+    parsed, rules = U.with_tokens(pages), U.rules(spark)
+    assert rules.count() > 100 and rules.filter("size(literals) = 0").count() == 0
+    assert U.fetched(parsed, U.index(rules, parsed)).filter("p is not null").count() < 3 * pages.count()
+
+
+def test_long_urls(spark):
+    urls = ["https://x.net/" + "a/" * 100_000, "https://" + "a." * 20_000 + "com/de/", "https://x.net/" + "login-" * 30_000, "https://x.net/" + "x" * 300_000 + "/wp-admin/"]
+    rows = list(enumerate(urls))
+    got = [(r.page_id, r.rule, r.verdict) for r in U.judged(spark.createDataFrame(rows, "page_id bigint, url string"), U.rules(spark)).orderBy("page_id").collect()]
+    assert got == [(i, *brute(u, U.SITE_RULES, U.PATTERN_RULES)[2:]) for i, u in rows] == [(0, None, "allow"), (1, "com/de/", "block"), (2, None, "allow"), (3, None, "block")]

@@ -21,15 +21,29 @@ BROADCAST_RULES = 20_000
 
 #: The rules of the contract: host, path, verdict.
 SITE_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-#: Further patterns over host + path that block a page no site rule fits; the words are what the regular expression requires.
-PATTERN_RULES = [
-    (r"^[^/]*\bspam\b", ["spam"]),
-    (r"^[^/]*\bcheap-pills\b", ["cheap", "pills"]),
-    (r"^[^/]*\bcasino\b", ["casino"]),
-    (r"^[^/]*\b(adult|porn|xxx)\b", []),
-    (r"/login(/|\.|$)", ["login"]),
-    (r"/wp-admin/", ["wp", "admin"]),
-]
+# Words that tell by a host's name what its pages are.
+HOST_WORDS = (
+    "spam casino casinos poker slots roulette blackjack betting bookmaker sportsbook jackpot lottery gambling adult porn porno xxx sex escort escorts camgirls hentai nude nudes milf fetish "
+    "viagra cialis levitra xanax tramadol pharmacy rx steroids payday loans forex binaryoptions cryptogiveaway airdrop replica replicas counterfeit warez crack cracks keygen keygens serials torrent torrents "
+    "malware phishing ransomware botnet exploit carding doxbin adserver adservers doubleclick tracker trackers analytics clickbank popunder popads linkfarm seo backlinks essaywriting essaymill followers likes"
+).split()
+# Parts of a path that lead to what isn't text: sessions, shops' carts, and the insides of sites.
+PATH_PARTS = (
+    "login signin signup register logout password reset cart checkout basket wishlist account admin administrator phpmyadmin cpanel webmail xmlrpc cgi-bin wp-admin wp-login wp-json wp-content wp-includes "
+    "trackback pingback print share tellafriend unsubscribe captcha oauth callback session calendar search tag tags attachment download cron server-status"
+).split()
+# Two words that are junk together.
+HOST_PAIRS = [("cheap", "pills"), ("free", "spins"), ("online", "casino"), ("buy", "followers"), ("weight", "loss"), ("diet", "pills"), ("work", "fromhome"), ("adult", "dating"), ("fast", "cash"), ("live", "cams")]
+
+
+def pattern_rules(host_words=HOST_WORDS, host_pairs=HOST_PAIRS, path_parts=PATH_PARTS) -> list[tuple[str, list[str]]]:
+    """Patterns over host + path that block a page no site rule fits, with the tokens that each one requires."""
+    rules = [(rf"^[^/]*\b{w}\b", [w]) for w in host_words]
+    rules += [(rf"^[^/]*\b{a}-{b}\b", [a, b]) for a, b in host_pairs]
+    return rules + [(rf"/{re.escape(p)}(/|\.|$)", re.findall(TOKEN, p)) for p in path_parts]
+
+
+PATTERN_RULES = pattern_rules()
 
 
 def host(url: Column) -> Column:
@@ -72,6 +86,12 @@ def index(rule_table: DataFrame, pages: DataFrame) -> DataFrame:
     return stored(keyed.join(rarest, "id", "left").withColumn("token", F.coalesce("token", F.lit(""))).coalesce(1), "url-rules")
 
 
+def fetched(parsed: DataFrame, indexed: DataFrame) -> DataFrame:
+    """The rows of `with_tokens`, once for each rule that one of their tokens fetches (``r, p, v, kind, n``; null for none)."""
+    candidates = small(indexed, BROADCAST_RULES).select("token", F.col("rule").alias("r"), F.col("pattern").alias("p"), F.col("verdict").alias("v"), "kind", F.col("length").alias("n"))
+    return parsed.withColumn("token", F.explode(F.array_append("tokens", F.lit("")))).drop("tokens").join(candidates, "token", "left")
+
+
 def judged(pages: DataFrame, rule_table: DataFrame, default: str = "allow") -> DataFrame:
     """One row per row of `pages`: ``page_id, host, path, rule, verdict, pattern``.
 
@@ -81,12 +101,10 @@ def judged(pages: DataFrame, rule_table: DataFrame, default: str = "allow") -> D
     columns are ignored.
     """
     parsed = with_tokens(pages)
-    candidates = small(index(rule_table, parsed), BROADCAST_RULES).select("token", F.col("rule").alias("r"), F.col("pattern").alias("p"), F.col("verdict").alias("v"), "kind", F.col("length").alias("n"))
-    fetched = parsed.withColumn("token", F.explode(F.array_append("tokens", F.lit("")))).drop("tokens")
-    fetched = fetched.join(candidates, "token", "left")
+    found = fetched(parsed, index(rule_table, parsed))
     fits = F.col("p").isNotNull() & F.expr("regexp_like(concat(host, path), p)")
     best = lambda kind: F.max(F.when(fits & (F.col("kind") == kind), F.struct("n", F.struct("r", "p", "v").alias("what")))).alias(kind)
-    return fetched.groupBy("row", "page_id", "host", "path").agg(best("site"), best("pattern")).select(
+    return found.groupBy("row", "page_id", "host", "path").agg(best("site"), best("pattern")).select(
         "page_id", "host", "path", F.col("site.what.r").alias("rule"),
         F.coalesce("site.what.v", "pattern.what.v", F.lit(default)).alias("verdict"),
         F.when(F.col("site").isNull(), F.col("pattern.what.p")).alias("pattern"),
