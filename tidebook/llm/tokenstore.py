@@ -399,7 +399,8 @@ def digest_of(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     if not roots_hold(spark, path):
         raise ValueError("the recipes are not those of the manifest")
     chunks, recipes = spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/recipes")
-    sums = small(stored(chunks.mapInArrow(lambda b: _checked(b, width), "digest binary, crc bigint, n bigint"), "token-sums"), BROADCAST_ROWS)
+    # as many as there are chunks, so they are never broadcast
+    sums = stored(chunks.mapInArrow(lambda b: _checked(b, width), "digest binary, crc bigint, n bigint"), "token-sums").hint("merge")
     used = recipes.select("seq", "doc_id", "start", "n_tokens", F.posexplode("digests").alias("at", "digest")).join(sums, "digest", "left")
     parts = used.groupBy("seq", "doc_id", "start", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("at", "crc", "n"))).alias("parts"))
     id_type = recipes.schema["doc_id"].dataType.simpleString()
