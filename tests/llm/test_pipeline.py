@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline as C
+import pytest
 from llm.test_decontaminate import brute as contaminated
 from llm.test_tokenstore import brute as token_rows
 from tokenizers import Tokenizer
@@ -28,3 +29,14 @@ def test_stages(spark, small_dir):
     assert Counter((r[0], r[2], r[3]) for r in tokens) == token_rows([r[:2] for r in mixed], tokenizer)
     again = C.run(spark, small_dir)
     assert Counter(map(tuple, again.collect())) == Counter(tokens)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Bare
+
+    from tidebook.llm.common import shared_dir
+
+    context = Bare(master="spark://host:7077", getConf=lambda: {})
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Bare(conf={}, sparkContext=context))
+    assert shared_dir(Bare(conf={"spark.checkpoint.dir": "hdfs:/x/"}, sparkContext=context)) == "hdfs:/x"
