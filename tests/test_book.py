@@ -135,3 +135,45 @@ def test_analytic_chain():
     assert s.j_add == pytest.approx(alpha(10) * s.a_add / 0.5)
     assert s.add_mass == pytest.approx(10 * np.exp(-0.5 / 30) + 10)
     assert s.v_rest_depth == pytest.approx(v)
+
+
+def test_anchor_is_the_first_two_sided_book(spark):
+    rows = [(1, 10, "B", 3, 5), (2, 20, "B", 4, 5), (3, 30, "B", 4, -5), (4, 40, "A", 8, 2), (5, 50, "A", 6, 2), (6, 60, "B", 5, 1)]
+    changed = spark.createDataFrame(rows, "seq bigint, ts_ns bigint, side string, tick int, d_depth bigint")
+    for chunk in (1, 1 << 20):
+        assert book.anchor(changed, chunk=chunk) == {"seq": 4, "best_bid": 3, "best_ask": 8, "anchor": 6}
+        assert book.anchor(changed, after=5, chunk=chunk) == {"seq": 5, "best_bid": 3, "best_ask": 6, "anchor": 5}
+        assert book.anchor(changed, after=99, at_ns=60, chunk=chunk) == {"seq": 6, "best_bid": 5, "best_ask": 6, "anchor": 6}
+    assert book.anchor(changed, after=99) is None and book.anchor(changed.limit(0)) is None and book.anchor(changed.filter("side = 'B'")) is None
+
+
+def test_anchor_of_random_books(spark):
+    events = random_events(300, 5)
+    changed = book.changes(spark.createDataFrame(events, COLUMNS)).toPandas()
+    levels, expected = defaultdict(int), None
+    for seq, part in changed.sort_values("seq").groupby("seq"):
+        for r in part.itertuples():
+            levels[r.side, r.tick] += r.d_depth
+        bids, asks = ([t for (s, t), d in levels.items() if s == side and d > 0] for side in "BA")
+        if bids and asks:
+            expected = (seq, max(bids), min(asks))
+            break
+    got = book.anchor(spark.createDataFrame(changed))
+    assert (got["seq"], got["best_bid"], got["best_ask"]) == expected
+
+
+def test_restart_keeps_depth_and_forgets_masses(spark):
+    changed = spark.createDataFrame([(1, 2, "B", 3, 5, 5, 0, 0, True), (9, 10, "B", 3, 2, 2, 0, 0, True)], "seq bigint, ts_ns bigint, side string, tick int, d_depth bigint, add bigint, pull bigint, fill bigint, touched boolean")
+    df = book.restarted(changed, 4).withColumn("bin_seq", F.lit(0).cast("long"))
+    row = fold.mechanics(df, 1, 1_000_000_000, 1).collect()[0]
+    assert row.bid_depth == 7 and row.add_mass == pytest.approx(2, rel=0.05) and row.v_add == 0
+
+
+def test_full_grid_drops_or_refuses_what_is_outside(spark):
+    changed = spark.createDataFrame([(0, "B", 10, 4), (2, "A", 11, 3), (2, "B", 40, 9)], "bin_seq bigint, side string, tick int, d_depth bigint")
+    rows = {(r.bin_seq, r.side, r.cell): r.depth for r in book.full_grid(changed, changed.select("bin_seq"), 10, 1).collect()}
+    assert len(rows) == 3 * 2 * 3
+    assert {x: d for x, d in rows.items() if d} == {(0, "B", 1): 4, (1, "B", 1): 4, (2, "B", 1): 4, (2, "A", 2): 3}
+    with pytest.raises(Exception, match="tick 40 is outside the grid"):
+        book.full_grid(changed, changed.select("bin_seq"), 10, 1, strict=True).collect()
+    assert book.full_grid(changed.limit(0), changed.select("bin_seq").limit(0), 10, 1).count() == 0

@@ -128,3 +128,14 @@ def test_entry(spark, small_dir):
     assert e.oracle_sql().keys() <= e.queries().keys()
     df = e.entry(spark)
     assert df.columns == ["bin_seq", "k", "composite", "flow_score", "state5_code", "flow_state_code"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Bare
+
+    from tidebook.sources.files import scratch
+
+    context = Bare(master="spark://host:7077", getConf=lambda: {})
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch(Bare(conf={}, sparkContext=context))
+    assert scratch(Bare(conf={"spark.checkpoint.dir": "hdfs:/x/"}, sparkContext=context)) == "hdfs:/x"

@@ -121,7 +121,7 @@ def depth(changed: DataFrame, bins: DataFrame) -> DataFrame:
     """
     ticks = changed.select("side", "tick").distinct()
     spans = bins.agg(F.min("bin_seq").alias("a"), F.max("bin_seq").alias("z")).first()
-    zero = ticks.withColumn("bin_seq", F.explode(F.sequence(F.lit(spans["a"]), F.lit(spans["z"])))).withColumn("d_depth", F.lit(0).cast("long"))
+    zero = ticks.withColumn("bin_seq", F.explode(F.sequence(F.lit(spans["a"]).cast("long"), F.lit(spans["z"]).cast("long")))).withColumn("d_depth", F.lit(0).cast("long"))
     per_bin = changed.select("side", "tick", "bin_seq", "d_depth").unionByName(zero).groupBy("side", "tick", "bin_seq").agg(F.sum("d_depth").alias("d_depth"))
     return running_totals(per_bin, ["side", "tick"], "bin_seq", {"depth": "d_depth"})
 
@@ -152,3 +152,53 @@ def around_spot(depths: DataFrame, best: DataFrame, radius: int) -> DataFrame:
     side = lambda x: F.when(F.col("side") == x, F.col("depth")).otherwise(0)
     rows = grid.unionByName(near.select("bin_seq", "k", side("B").alias("bid_depth"), side("A").alias("ask_depth")))
     return rows.groupBy("bin_seq", "k").agg(F.sum("bid_depth").alias("bid_depth"), F.sum("ask_depth").alias("ask_depth"))
+
+
+def anchor(changed: DataFrame, after: int = 0, at_ns: int | None = None, chunk: int = 1 << 20) -> dict | None:
+    """``seq, best_bid, best_ask, anchor`` of the first moment when both sides have depth; null if there's none.
+
+    The anchor is the middle of the best prices, halves up. With `after` or `at_ns` it's the first such moment
+    with at least so many changes so far, or at that time or later: the one-time re-anchor of a run. Changes of
+    one `seq` count together. `chunk` is a range of `seq` with a bounded number of changes.
+    """
+    on = lambda side: F.sum(F.when(F.col("side") == side, F.col("d_depth")).otherwise(0))
+    steps = changed.groupBy("seq").agg(on("B").alias("b"), on("A").alias("a"), F.count("*").alias("n"), F.max("ts_ns").alias("ts_ns"))
+    due = F.col("so_far") >= after
+    if at_ns is not None:
+        due = due | (F.col("ts_ns") >= at_ns)
+    sums = running_totals(steps, [], "seq", {"bid": "b", "ask": "a", "so_far": "n"}, chunk=chunk)
+    seq = sums.filter((F.col("bid") > 0) & (F.col("ask") > 0) & due).agg(F.min("seq")).first()[0]
+    if seq is None:
+        return None
+    there = changed.filter(F.col("seq") <= seq).groupBy("side", "tick").agg(F.sum("d_depth").alias("depth")).filter("depth > 0")
+    best = there.agg(F.max(F.when(F.col("side") == "B", F.col("tick"))).alias("best_bid"), F.min(F.when(F.col("side") == "A", F.col("tick"))).alias("best_ask")).first()
+    return {"seq": seq, **best.asDict(), "anchor": (best["best_bid"] + best["best_ask"] + 1) // 2}
+
+
+def restarted(changed: DataFrame, seq: int) -> DataFrame:
+    """Changes whose masses and chains start anew after `seq`, as a re-anchor does; depth stays."""
+    new = F.col("seq") > seq
+    zero = F.lit(0).cast("long")
+    return changed.withColumns({**{c: F.when(new, F.col(c)).otherwise(zero) for c in ("add", "pull", "fill")}, "touched": F.col("touched") & new})
+
+
+def first_price(events: DataFrame) -> int | None:
+    """The tick of the first add, modify, fill or cancel that has one (the least of equals): the anchor of a full grid."""
+    priced = events.filter(F.col("action").isin("A", "M", "F", "C") & F.col("tick").isNotNull())
+    return priced.agg(F.min(F.struct("seq", "tick")).alias("x")).select("x.tick").first()[0]
+
+
+def full_grid(changed: DataFrame, bins: DataFrame, at: int, half: int, strict: bool = False) -> DataFrame:
+    """``bin_seq, side, cell, depth`` on all cells of the grid of 2 * half + 1 ticks around `at`, whatever the spot.
+
+    Changes outside the grid are dropped, or are an error if `strict`.
+    """
+    cell = (F.col("tick") - at + half).cast("int")
+    inside = cell.between(0, 2 * half)
+    if strict:
+        said = F.concat(F.lit("tick "), F.col("tick").cast("string"), F.lit(f" is outside the grid of {half} ticks around {at}"))
+        inside = F.when(inside, True).otherwise(F.raise_error(said).cast("boolean"))
+    there = changed.filter(inside).select("side", cell.alias("tick"), "bin_seq", "d_depth")
+    first = bins.agg(F.min("bin_seq").alias("bin_seq")).filter("bin_seq is not null")
+    cells = first.select(F.explode(F.array(F.lit("A"), F.lit("B"))).alias("side"), "bin_seq").select("side", F.explode(F.sequence(F.lit(0), F.lit(2 * half))).alias("tick"), "bin_seq", F.lit(0).cast("long").alias("d_depth"))
+    return depth(there.unionByName(cells), bins).select("bin_seq", "side", F.col("tick").alias("cell"), "depth")

@@ -74,14 +74,19 @@ def force_block(silver: DataFrame, cfg: GoldConfig = DEFAULT) -> DataFrame:
     return over_chunks(df, ["k"], "bin_seq", max(cfg.windows) + 3, build, chunk=cfg.chunk).drop("_raw")
 
 
-def scored(df: DataFrame, cfg: GoldConfig = DEFAULT) -> DataFrame:
-    """flow_score and flow_state_code from the derivatives: robust z, weights normed to 1, tanh."""
+def score_kernel(cfg: GoldConfig = DEFAULT):
+    """The kernel of `scored`: rows of one level in order in, flow_score and flow_state_code out."""
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         zs = [kernels.robust_z(pdf[f"composite_d{i}"].to_numpy(), cfg.z_window, cfg.z_min, 1e-9) for i in (1, 2, 3)]
         score = kernels.tanh_blend(zs, list(cfg.derivative_weights), cfg.tanh_scale)
         return pd.DataFrame({"flow_score": score, "flow_state_code": ((score >= cfg.neutral).astype(np.int8) - (score <= -cfg.neutral).astype(np.int8))})
 
-    return apply_chunks(df, ["k"], "bin_seq", cfg.z_window, kernel, "flow_score double, flow_state_code tinyint", chunk=cfg.chunk)
+    return kernel
+
+
+def scored(df: DataFrame, cfg: GoldConfig = DEFAULT) -> DataFrame:
+    """flow_score and flow_state_code from the derivatives: robust z, weights normed to 1, tanh."""
+    return apply_chunks(df, ["k"], "bin_seq", cfg.z_window, score_kernel(cfg), "flow_score double, flow_state_code tinyint", chunk=cfg.chunk)
 
 
 def gold(silver: DataFrame, cfg: GoldConfig = DEFAULT) -> DataFrame:

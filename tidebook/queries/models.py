@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.operators import evaluate as E
 from tidebook.operators import gold as G
 from tidebook.operators import learned
+from tidebook.queries import sql as S
 from tidebook.queries.registry import query, shown
-from tidebook.sources import market
+from tidebook.sources import files, market
 from tidebook.streaming import bins as stream
 
 R, HOLD = market.RADIUS, 60
@@ -82,3 +85,23 @@ SELECT user_id, event_id, CASE WHEN s = 1 THEN 'up' ELSE 'down' END AS direction
 def stream_detection(spark: SparkSession, d: str) -> DataFrame:
     """Shots per user over the event stream, from keyed state."""
     return stream.to_table(stream.detected(event_stream(spark, d), 60.0, 3), spark, "shots")
+
+
+@query("""WITH t AS (SELECT CAST(user_id % 11 - 5 AS INTEGER) AS k, epoch_us(ts) // 3600000000 AS bin_seq, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1, 2),
+g AS (SELECT k, unnest(range(min(bin_seq), max(bin_seq))) AS bin_seq FROM t GROUP BY k), e AS (SELECT g.k, g.bin_seq, coalesce(n, 0) AS n, coalesce(total, 0) AS total FROM g LEFT JOIN t USING (k, bin_seq))
+SELECT e.k, e.bin_seq, e.n, e.total, round(sum(t.total * exp(-(e.bin_seq - t.bin_seq) / 5e0)), 3) AS mass FROM e JOIN t ON t.k = e.k AND t.bin_seq <= e.bin_seq WHERE e.bin_seq >= 473360 GROUP BY 1, 2, 3, 4""")
+def stream_dense_bins(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly bins of every level from keyed state, empty ones too, after a warm-up; the open bin isn't emitted."""
+    rows = event_stream(spark, d).select((F.col("user_id") % 11 - 5).cast("int").alias("k"), F.unix_micros("at").alias("at_us"), "cents")
+    return shown(stream.to_table(stream.filled(rows, 3_600_000_000, 5.0, 473_360), spark, "dense-bins"), digits=3)
+
+
+@query(f"WITH {S.GOLD} SELECT bin_seq, k, {S.rnd('flow_score')}, flow_state_code FROM gold")
+def stream_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The scores of gold from keyed state over a stream of derivatives, whose bins must all have 11 levels."""
+    values = ["composite_d1", "composite_d2", "composite_d3"]
+    blocks = files.stored(G.force_block(market.silver(spark, d)).select("k", "bin_seq", *values), "forces")
+    G.check_dense(blocks, 2 * market.RADIUS + 1)
+    source = spark.readStream.schema(blocks.schema).parquet(os.path.dirname(blocks.inputFiles()[0]))
+    scores = stream.carried(source, "k", "bin_seq", values, G.DEFAULT.z_window, G.score_kernel(), "flow_score double, flow_state_code tinyint")
+    return shown(stream.to_table(scores, spark, "scores"), "bin_seq", "k", "flow_score", "flow_state_code")

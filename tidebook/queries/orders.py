@@ -57,6 +57,32 @@ def depth_around_spot(spark: SparkSession, d: str) -> DataFrame:
     return book.around_spot(depths, book.best_prices(depths), 5)
 
 
+_ANCHORS = """sq AS (SELECT us * 2 + step AS seq, coalesce(sum(d) FILTER (side = 'B'), 0) AS b, coalesce(sum(d) FILTER (side = 'A'), 0) AS a, count(*) AS n FROM delta GROUP BY 1),
+rn AS (SELECT seq, sum(b) OVER w AS b, sum(a) OVER w AS a, sum(n) OVER w AS n FROM sq WINDOW w AS (ORDER BY seq)),
+ct AS (SELECT 'first' AS kind, min(seq) AS seq FROM rn WHERE b > 0 AND a > 0 UNION ALL SELECT 'again', min(seq) FROM rn WHERE b > 0 AND a > 0 AND n >= 1000),
+bb AS (SELECT kind, seq, max(tick) FILTER (side = 'B') AS best_bid, min(tick) FILTER (side = 'A') AS best_ask FROM (SELECT kind, seq, side, tick FROM ct JOIN delta ON us * 2 + step <= seq GROUP BY 1, 2, 3, 4 HAVING sum(d) > 0) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {S.ORDERS}, {_ANCHORS} SELECT kind, seq, best_bid, best_ask, (best_bid + best_ask + 1) // 2 AS anchor FROM bb")
+def book_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """The anchor of the first two-sided book, and that of the one-time re-anchor after 1,000 changes."""
+    c, _ = changed(spark, d)
+    found = {kind: book.anchor(c, after, chunk=2 * MONTH) for kind, after in (("first", 0), ("again", 1000))}
+    rows = [(kind, *[x[n] for n in ("seq", "best_bid", "best_ask", "anchor")]) for kind, x in found.items() if x]
+    return spark.createDataFrame(rows, "kind string, seq bigint, best_bid int, best_ask int, anchor int")
+
+
+@query(f"""WITH {S.ORDERS}, {_BIN}, an AS (SELECT tick AS anchor FROM oe ORDER BY us * 2 + step, tick LIMIT 1), cl AS (SELECT bin_seq, side, tick - anchor + 20 AS cell, d FROM dl, an),
+bn AS (SELECT unnest(range((SELECT min(bin_seq) FROM dl), (SELECT max(bin_seq) FROM dl) + 1)) AS bin_seq), gr AS (SELECT bin_seq, side, cell FROM bn CROSS JOIN (SELECT unnest(['A', 'B']) AS side) CROSS JOIN (SELECT unnest(range(41)) AS cell)),
+pb AS (SELECT g.bin_seq, g.side, g.cell, coalesce(sum(d), 0) AS d FROM gr g LEFT JOIN cl ON cl.bin_seq = g.bin_seq AND cl.side = g.side AND cl.cell = g.cell GROUP BY 1, 2, 3)
+SELECT bin_seq, side, CAST(cell AS INTEGER) AS cell, CAST(sum(d) OVER (PARTITION BY side, cell ORDER BY bin_seq) AS BIGINT) AS depth FROM pb""")
+def core_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Depth on a full grid of 41 ticks around the first price."""
+    c, _ = changed(spark, d)
+    at = book.first_price(numbered(spark, d))
+    return book.full_grid(c, c.select("bin_seq"), 0 if at is None else at, 20)
+
+
 @query(f"WITH {S.ORDERS}, r AS (SELECT order_id, side, tick, sum(CASE WHEN step = 0 THEN size WHEN action = 'F' THEN -size ELSE -1000000000 END) AS q FROM oe GROUP BY 1, 2, 3) SELECT side, tick, count(*) AS n_orders, CAST(sum(q) AS BIGINT) AS qty FROM r WHERE q > 0 GROUP BY side, tick")
 def resting_orders(spark: SparkSession, d: str) -> DataFrame:
     return book.resting(files.stored(numbered(spark, d), "order-events")).groupBy("side", "tick").agg(F.count("*").alias("n_orders"), F.sum("qty").alias("qty"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,65 @@ def detected(stream: DataFrame, threshold: float, cooldown: int) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, event_id bigint, direction string", "n bigint, before int, last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+def filled(stream: DataFrame, width_us: int, tau: float, emit_from: int = 0) -> DataFrame:
+    """``k, bin_seq, n, total, mass`` of every closed bin of each level, from its first row on; empty bins too.
+
+    Rows are ``k, at_us, cents``. ``mass`` sums up the cents and decays by exp(-1 / tau) a bin. A bin is closed
+    by a later row of its level, so the last, partial one isn't there yet. Bins before `emit_from` count for
+    the mass but aren't emitted. State per level: the open bin and its sums. Rows older than the open bin
+    are dropped. A null level is a level; rows without a time are left out.
+    """
+    keep = math.exp(-1 / tau)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, n, total, mass = state.get if state.exists else (None, 0, 0, 0.0)
+        rows = pd.concat(list(batches))
+        sums = rows["cents"].fillna(0).astype("int64").groupby(rows["at_us"] // width_us).agg(["size", "sum"])
+        out: list[tuple] = []
+        for at, size, cents in zip(sums.index.tolist(), sums["size"].tolist(), sums["sum"].tolist(), strict=True):
+            if now is not None and at < now:
+                continue
+            while now is not None and now < at:
+                mass = mass * keep + total
+                if now >= emit_from:
+                    out.append((key[0], now, n, total, mass))
+                now, n, total = now + 1, 0, 0
+            now, n, total = at, n + size, total + cents
+        state.update((now, n, total, mass))
+        yield pd.DataFrame(out, columns=["k", "bin_seq", "n", "total", "mass"])
+
+    known = stream.filter("at_us is not null")
+    return known.groupBy("k").applyInPandasWithState(step, "k int, bin_seq bigint, n bigint, total bigint, mass double", "now bigint, n bigint, total bigint, mass double", "append", GroupStateTimeout.NoTimeout)
+
+
+def carried(stream: DataFrame, key: str, order: str, values: list[str], halo: int, kernel: Callable[[pd.DataFrame], pd.DataFrame], added: str) -> DataFrame:
+    """The streaming twin of `apply_chunks`: ``key, order`` and the columns that `kernel` adds to rows of doubles.
+
+    State per key are the last `halo` rows, which is all that a batch's rows look back on; so a batch has
+    the values that a run over the whole series has. Batches come in order; a row that isn't later than the last
+    one seen is dropped, so a batch that is sent twice changes nothing.
+    """
+    names = [c.split()[0] for c in added.split(",")]
+    key_type, order_type = (stream.schema[c].dataType.simpleString() for c in (key, order))
+
+    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        orders, flat = state.get if state.exists else ([], [])
+        tail = pd.DataFrame(np.asarray(flat, float).reshape(len(orders), len(values)), columns=values)
+        tail.insert(0, order, np.asarray(orders, np.int64))
+        new = pd.concat(list(batches))[[order, *values]].drop_duplicates(order).sort_values(order)
+        if len(tail):
+            new = new[new[order] > orders[-1]]
+        rows = pd.concat([tail, new], ignore_index=True) if len(tail) else new.reset_index(drop=True)
+        out = kernel(rows).iloc[len(tail):]
+        out.insert(0, order, rows[order].iloc[len(tail):])
+        out.insert(0, key, group[0])
+        last = rows.iloc[max(0, len(rows) - halo):]
+        state.update(([int(x) for x in last[order]], [float(x) for x in last[values].to_numpy(float).ravel()]))
+        yield out[[key, order, *names]]
+
+    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {key_type}, {order} {order_type}, {added}", "orders array<bigint>, flat array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 def to_table(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     """Run a stream over what is there and return what it wrote. Output and checkpoint lie in the shared folder."""
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
