@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidebook.llm import decontaminate, langid, licenses, mix, neardup, pii, quality, substrings, tokenstore, urls
+from tidebook.llm import decontaminate, langid, licenses, lines, mix, neardup, pii, quality, substrings, tokenstore, urls
 from tidebook.llm.common import table
 
 
@@ -55,5 +56,9 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.encoded(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_suffix_dedup": op2_suffix_dedup, "op3_language_id": op3_language_id, "op4_mix": op4_mix, "op5_license_scan": op5_license_scan, "op6_url_filter": op6_url_filter, "op7_near_dedup": op7_near_dedup, "op8_quality_rules": op8_quality_rules, "op9_pii": op9_pii, "op10_token_store": op10_token_store}
-ORACLES = {"op1_decontamination": decontaminate.ORACLE, "op6_url_filter": urls.oracle(), "op8_quality_rules": quality.oracle()}
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_suffix_dedup": op2_suffix_dedup, "op3_language_id": op3_language_id, "op4_mix": op4_mix, "op5_license_scan": op5_license_scan, "op6_url_filter": op6_url_filter, "op7_near_dedup": op7_near_dedup, "op8_quality_rules": op8_quality_rules, "op9_pii": op9_pii, "op10_token_store": op10_token_store, "op12_line_dedup": op12_line_dedup}
+ORACLES = {"op1_decontamination": decontaminate.ORACLE, "op6_url_filter": urls.oracle(), "op8_quality_rules": quality.oracle(), "op12_line_dedup": lines.ORACLE}
