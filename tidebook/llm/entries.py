@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import decontaminate, langid, licenses, lines, mix, neardup, pii, quality, substrings, tokenstore, urls
+from tidebook.llm import decontaminate, langid, licenses, lines, mix, neardup, pii, quality, resample, substrings, tokenstore, turns, urls
 from tidebook.llm.common import table
 
 
@@ -60,5 +60,14 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_suffix_dedup": op2_suffix_dedup, "op3_language_id": op3_language_id, "op4_mix": op4_mix, "op5_license_scan": op5_license_scan, "op6_url_filter": op6_url_filter, "op7_near_dedup": op7_near_dedup, "op8_quality_rules": op8_quality_rules, "op9_pii": op9_pii, "op10_token_store": op10_token_store, "op12_line_dedup": op12_line_dedup}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return turns.repair_report(turns.damaged(rows), rows)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_suffix_dedup": op2_suffix_dedup, "op3_language_id": op3_language_id, "op4_mix": op4_mix, "op5_license_scan": op5_license_scan, "op6_url_filter": op6_url_filter, "op7_near_dedup": op7_near_dedup, "op8_quality_rules": op8_quality_rules, "op9_pii": op9_pii, "op10_token_store": op10_token_store, "op11_conversation_repair": op11_conversation_repair, "op12_line_dedup": op12_line_dedup, "op13_importance_resampling": op13_importance_resampling}
 ORACLES = {"op1_decontamination": decontaminate.ORACLE, "op6_url_filter": urls.oracle(), "op8_quality_rules": quality.oracle(), "op12_line_dedup": lines.ORACLE}
