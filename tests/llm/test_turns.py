@@ -113,10 +113,10 @@ def test_odd_rows(spark):
 
 
 def test_repaired_turns(spark):
-    rows = [(1, 0, "user", "Hello."), (1, 1, "user", "Again, cut"), (2, 0, "assistant", "Hi."), (2, 5, "assistant", "Bye."), (3, 0, "system", "Be kind.")]
+    rows = [(1, 0, "user", "Hello."), (1, 1, "user", "Again, cut"), (2, 0, "assistant", "Hi."), (2, 5, "assistant", "Bye."), (3, 0, "assistant", "Be kind.")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     audit = T.audits(df)
-    assert {r.conv_id: (r.audit, r.cost, r.gaps, r.illegal) for r in audit.collect()} == {1: ("KR", 3, 0, 1), 2: ("RK", 2, 4, 1), 3: ("KII", 4, 0, 0)}
+    assert {r.conv_id: (r.audit, r.cost, r.gaps, r.illegal) for r in audit.collect()} == {1: ("KR", 3, 0, 1), 2: ("RK", 2, 4, 1), 3: ("IK", 2, 0, 0)}
     out = sorted((r.conv_id, r.place, r.role, r.text, r.edit) for r in T.repaired(df, audit).collect())
     assert [x[2:] for x in out[:2]] == [("user", "Hello.", "K"), ("assistant", "Again, cut", "R")]
-    assert [(x[2], x[4]) for x in out[2:]] == [("user", "R"), ("assistant", "K"), ("system", "K"), ("user", "I"), ("assistant", "I")]
+    assert [(x[2], x[4]) for x in out[2:]] == [("user", "R"), ("assistant", "K"), ("user", "I"), ("assistant", "K")]
