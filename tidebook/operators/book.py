@@ -2,11 +2,13 @@
 
 An order is touched by few events, so its state after each event is a window over the order; a cleared
 book starts a new epoch, and an order id of another epoch is another order. Depth is a running sum of
-signed changes by side and tick, and best prices are extremes of ticks with depth.
+signed changes by side and tick; `levels` has it as intervals, and best prices from these.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,35 +50,39 @@ def book_valid(events: DataFrame) -> DataFrame:
     return df.withColumn("valid", valid).drop("_open", "_n", "_snapshot", "_closed")
 
 
-def order_states(events: DataFrame) -> DataFrame:
+def order_states(events: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """Events with ``qty`` and ``at_side, at_tick`` of their order afterwards and ``was_*`` before (null or 0: not there).
 
+    `within` are columns of which an order has one value; events that are partitioned by them aren't shuffled.
+
     Add and modify set the order, cancel removes all of it whatever size it names, fill takes at most what is
     left, trades and other actions change nothing.
     """
     df = events if "epoch" in events.columns else with_epochs(events, clears(events))
-    by_order = Window.partitionBy("order_id", "epoch").orderBy("seq")
+    by_order = Window.partitionBy(*within, "order_id", "epoch").orderBy("seq")
     running = by_order.rowsBetween(Window.unboundedPreceding, 0)
     sets = F.col("action").isin("A", "M")
-    df = df.withColumn("_g", F.count(F.when(F.col("action").isin("A", "M", "C"), 1)).over(running))
+    df = df.withColumn("_f", F.sum(F.when(F.col("action") == "F", F.col("size")).otherwise(0)).over(running))
     base = F.last(F.when(sets, F.col("size")).when(F.col("action") == "C", 0), ignorenulls=True).over(running)
-    fills = F.sum(F.when(F.col("action") == "F", F.col("size")).otherwise(0)).over(Window.partitionBy("order_id", "epoch", "_g").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumn("qty", F.greatest(base - fills, F.lit(0)))
+    # fills since the order was set: all of them, less those until then
+    before = F.last(F.when(sets | (F.col("action") == "C"), F.col("_f")), ignorenulls=True).over(running)
+    df = df.withColumn("qty", F.greatest(base - F.col("_f") + before, F.lit(0)))
     for x in ("side", "tick"):
         df = df.withColumn(f"at_{x}", F.last(F.when(sets, F.col(x)), ignorenulls=True).over(running))
-    return df.withColumns({f"was_{x}": F.lag(y).over(by_order) for x, y in (("qty", "qty"), ("side", "at_side"), ("tick", "at_tick"))}).drop("_g")
+    return df.withColumns({f"was_{x}": F.lag(y).over(by_order) for x, y in (("qty", "qty"), ("side", "at_side"), ("tick", "at_tick"))}).drop("_f")
 
 
-def changes(events: DataFrame) -> DataFrame:
+def changes(events: DataFrame, few: list[int] | None = None, within: Sequence[str] = ()) -> DataFrame:
     """One row per touched place: ``seq, ts_ns, side, tick, d_depth, add, pull, fill, touched``.
 
     A modified price pulls the old order and adds the new one; at the same price the difference counts. A
     modified order that isn't known enters the book without counting as an addition. `touched` rows count
-    for the mechanics of their tick. Clears leave one row per order that was there.
+    for the mechanics of their tick. Clears leave one row per order that was there. `few` are the numbers of the clearing
+    events where they are known, else they are looked up; `within` as in `order_states`.
     """
-    few = clears(events)
+    few = clears(events) if few is None else few
     events = with_epochs(events, few)
-    s = order_states(events)
+    s = order_states(events, within)
     known = F.coalesce(F.col("was_qty") > 0, F.lit(False))
     zero = F.lit(0).cast("long")
 
@@ -126,34 +132,6 @@ def depth(changed: DataFrame, bins: DataFrame) -> DataFrame:
     return running_totals(per_bin, ["side", "tick"], "bin_seq", {"depth": "d_depth"})
 
 
-def best_prices(depths: DataFrame) -> DataFrame:
-    """``bin_seq, best_bid, best_ask, bid_depth, ask_depth, spot, n_negative``: extremes of the ticks with depth.
-
-    The spot is the middle of the best prices, halves up, null if a side is empty. Negative depth is counted,
-    not repaired.
-    """
-    there = lambda side, x: F.when((F.col("side") == side) & (F.col("depth") > 0), F.col(x))
-    df = depths.groupBy("bin_seq").agg(
-        F.max(there("B", "tick")).alias("best_bid"), F.min(there("A", "tick")).alias("best_ask"),
-        F.coalesce(F.sum(there("B", "depth")), F.lit(0)).alias("bid_depth"), F.coalesce(F.sum(there("A", "depth")), F.lit(0)).alias("ask_depth"),
-        F.count_if(F.col("depth") < 0).alias("n_negative"),
-    )
-    return df.withColumn("spot", F.floor((F.col("best_bid") + F.col("best_ask")) / 2 + 0.5))
-
-
-def around_spot(depths: DataFrame, best: DataFrame, radius: int) -> DataFrame:
-    """``bin_seq, k, bid_depth, ask_depth``: depth by distance from the spot, zeros where a tick has none.
-
-    Ticks farther than `radius` are left out; bins without a spot have no rows.
-    """
-    spots = best.filter("spot is not null").select("bin_seq", "spot")
-    grid = spots.select("bin_seq", F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("k"), F.lit(0).cast("long").alias("bid_depth"), F.lit(0).cast("long").alias("ask_depth"))
-    near = depths.join(spots, "bin_seq").withColumn("k", (F.col("tick") - F.col("spot")).cast("int")).filter(F.col("k").between(-radius, radius))
-    side = lambda x: F.when(F.col("side") == x, F.col("depth")).otherwise(0)
-    rows = grid.unionByName(near.select("bin_seq", "k", side("B").alias("bid_depth"), side("A").alias("ask_depth")))
-    return rows.groupBy("bin_seq", "k").agg(F.sum("bid_depth").alias("bid_depth"), F.sum("ask_depth").alias("ask_depth"))
-
-
 def anchor(changed: DataFrame, after: int = 0, at_ns: int | None = None, chunk: int = 1 << 20) -> dict | None:
     """``seq, best_bid, best_ask, anchor`` of the first moment when both sides have depth; null if there's none.
 

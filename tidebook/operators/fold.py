@@ -1,8 +1,13 @@
 """Per-tick mechanics: decaying masses and three-level derivative chains, event by event, advanced at every bin end.
 
+Between two rows of a tick all that is remembered decays by a factor of the time between them, so each quantity is a sum of
+decayed contributions: x[i] = p[i] * x[i - 1] + q[i]. Such a recurrence is a scan, in which spans of rows are joined two by
+two; all ticks of a chunk go through it at once as arrays, since a tick's first row just has the factor 0. Velocity comes
+first, its steps feed acceleration, and the steps of that feed jerk.
+
 Ticks don't influence each other, and a tick forgets: after `HALO` time constants its past weighs less than
-a double can tell. So a tick's rows are folded in chunks of bins with a halo before them. What isn't
-forgotten, depth, is a running sum that Spark computes before the fold.
+a double can tell. So rows are folded in chunks of bins with a halo before them. What isn't
+forgotten, depth, is a running sum by Spark.
 """
 
 from __future__ import annotations
@@ -14,86 +19,127 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.functions.chunks import apply_chunks
+from tidebook.functions.chunks import spread
 from tidebook.functions.totals import running_totals
 
 TAU_V, TAU_A, TAU_J, TAU_MASS = 2.0, 5.0, 10.0, 30.0
 HALO = 45
 CHAINS = ["add", "pull", "fill", "bid_depth", "ask_depth"]
-STATE = ["add_mass", "pull_mass", "fill_mass", *[f"{d}_{c}" for d in "vaj" for c in [*CHAINS, "rest_depth"]]]
-
-
-def _alpha(dt: float, tau: float) -> float:
-    return 0.0 if dt <= 0 else 1.0 if dt / tau > 50 else 1 - math.exp(-dt / tau)
-
-
-def chain(rate: float, dt: float, v: float, a: float, j: float) -> tuple[float, float, float]:
-    """One step of velocity, acceleration and jerk; unchanged without time or where not finite."""
-    if dt <= 0:
-        return v, a, j
-    alpha = _alpha(dt, TAU_V)
-    v2 = alpha * rate + (1 - alpha) * v
-    alpha = _alpha(dt, TAU_A)
-    a2 = alpha * (v2 - v) / dt + (1 - alpha) * a
-    alpha = _alpha(dt, TAU_J)
-    j2 = alpha * (a2 - a) / dt + (1 - alpha) * j
-    return (v2, a2, j2) if math.isfinite(v2) and math.isfinite(a2) and math.isfinite(j2) else (v, a, j)
-
-
-def fold_tick(pdf: pd.DataFrame) -> pd.DataFrame:
-    """State after each row of one tick. Rows are in order; ``kind`` 0 is a bin end (before events of its time), 1 an event.
-
-    An event at or before the tick's clock adds its mass without decay and leaves the chains, but sets the clock.
+MASSES = ["add_mass", "pull_mass", "fill_mass"]
+STATE = [*MASSES, *[f"{d}_{c}" for d in "vaj" for c in [*CHAINS, "rest_depth"]]]
+MOVES = ["add", "pull", "fill", "d_bid", "d_ask"]
+#: Ticks of one chunk are folded in so many tasks; neighbouring ticks, of which most are busy together, in different ones.
+TASKS = 16
+#: Factors below this forget: contributions weigh less than a double's last digit beside what replaced them.
+FORGOTTEN = 1e-22
+
+
+def scan(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """x[i] = p[i] * x[i - 1] + q[i] for each column of q (n, c); p[0] is 0. Spans of 1, 2, 4, ... rows are joined."""
+    p, q, size = p.copy(), q.copy(), 1
+    while size < len(p) and p[size:].max() > FORGOTTEN:
+        q[size:] += p[size:, None] * q[:-size]
+        p[size:] *= p[:-size].copy()
+        p[:size] = 0.0
+        size *= 2
+    return q
+
+
+def fold_rows(tick: np.ndarray, ts: np.ndarray, event: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """`STATE` after each row (n, len(STATE)). Rows are in order by tick and time, a bin's end (no event) after its events.
+
+    `moves` are additions, pulls, fills and changes of bid and ask depth (n, 5). An event at or before its tick's clock adds
+    its mass without decay and leaves the chains, but sets the clock. A bin's end doesn't set it back.
+    """
+    n = len(tick)
+    new = np.ones(n, bool)
+    new[1:] = tick[1:] != tick[:-1]
+    # the clock after a row: its own time, but after a bin's end no less than that of the last event
+    last = np.maximum.accumulate(np.where(event, np.arange(n), -1))
+    same = (last >= 0) & (tick[np.maximum(last, 0)] == tick)
+    clock = np.where(event | ~same, ts, np.maximum(ts, ts[np.maximum(last, 0)]))
+    dt = np.zeros(n)
+    dt[1:] = np.where(new[1:], 0, np.maximum(ts[1:] - clock[:-1], 0)) / 1e9
+    moving = dt > 0
+    rate = np.where((moving & event)[:, None], moves / np.where(moving, dt, 1.0)[:, None], 0.0)
+
+    def keeps(tau: float) -> np.ndarray:
+        return np.where(new, 0.0, np.exp(-dt / tau))
+
+    def alpha(tau: float) -> np.ndarray:
+        return -np.expm1(-dt / tau)[:, None]
+
+    def before(x: np.ndarray) -> np.ndarray:
+        return np.where(new[:, None], 0.0, np.concatenate([np.zeros((1, x.shape[1])), x[:-1]]))
+
+    mass = scan(keeps(TAU_MASS), np.where(event[:, None], moves[:, :3], 0.0))
+    per_second = np.where(moving, 1 / np.where(moving, dt, 1.0), 0.0)[:, None]
+    v = scan(keeps(TAU_V), alpha(TAU_V) * rate)
+    # a level's step by its own rule, not as a difference of two of its values, which would lose digits
+    step = alpha(TAU_V) * (rate - before(v))
+    a = scan(keeps(TAU_A), alpha(TAU_A) * step * per_second)
+    step = alpha(TAU_A) * (step * per_second - before(a))
+    j = scan(keeps(TAU_J), alpha(TAU_J) * step * per_second)
+    return np.concatenate([mass, *[x for c in (v, a, j) for x in (c, c[:, 3:4] + c[:, 4:5])]], axis=1)
+
+
+def fold_chunk(pdf: pd.DataFrame, first: int, end: int, bin_ns: int, t0_ns: int) -> pd.DataFrame:
+    """``tick, bin_seq`` and `STATE` at the ends of bins first <= bin < end, of each tick from its first touch in `pdf` on.
+
+    Changes of depth that don't touch the mechanics go to the touch that follows them.
     """
-    mass = {"add": 0.0, "pull": 0.0, "fill": 0.0}
-    chains = {c: (0.0, 0.0, 0.0) for c in CHAINS}
-    clock, out = None, np.zeros((len(pdf), len(STATE)))
-    columns = [pdf[c].tolist() for c in ("ts_ns", "kind", "add", "pull", "fill", "d_bid", "d_ask")]
-    for i, (ts, kind, *deltas) in enumerate(zip(*columns, strict=True)):
-        dt = (ts - clock) / 1e9 if clock is not None and ts > clock else 0.0
-        if dt > 0:
-            decay = math.exp(-dt / TAU_MASS)
-            mass = {c: m * decay for c, m in mass.items()}
-            chains = {c: chain(d / dt if kind else 0.0, dt, *chains[c]) for c, d in zip(CHAINS, deltas, strict=True)}
-        if kind:
-            mass = {c: m + d for (c, m), d in zip(mass.items(), deltas, strict=False)}
-            clock = ts
-        elif clock is not None:
-            clock = max(clock, ts)
-        rest = [chains["bid_depth"][d] + chains["ask_depth"][d] for d in range(3)]
-        out[i] = [*mass.values(), *[x for d in range(3) for x in (*[chains[c][d] for c in CHAINS], rest[d])]]
-    return pd.DataFrame(out, columns=STATE)
+    order = ["tick", "bin_seq", "seq", *MOVES]
+    at = np.lexsort([pdf[c].to_numpy() for c in reversed(order)])
+    tick, bins, ts, touched = (pdf[c].to_numpy()[at] for c in ("tick", "bin_seq", "ts_ns", "touched"))
+    moves = pdf[MOVES].to_numpy(np.float64)[at]
+    total = np.cumsum(moves[:, 3:], axis=0)
+    tick, bins, ts, moves, total = tick[touched], bins[touched], ts[touched], moves[touched], total[touched]
+    if not len(tick):
+        return pd.DataFrame(columns=["tick", "bin_seq", *STATE])
+    new = np.append(True, tick[1:] != tick[:-1])
+    # what came before a tick's first touch in the chunk is taken from where the tick's rows start
+    starts = np.searchsorted(pdf["tick"].to_numpy()[at], tick[new])
+    every = np.concatenate([np.zeros((1, 2)), np.cumsum(pdf[["d_bid", "d_ask"]].to_numpy(np.float64)[at], axis=0)])
+    before = np.concatenate([np.zeros((1, 2)), total[:-1]])
+    before[new] = every[starts]
+    moves[:, 3:] = total - before
+    froms = np.maximum(bins[new], first)
+    counts = np.maximum(end - froms, 0)
+    end_tick = np.repeat(tick[new], counts)
+    end_bin = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(froms, counts)
+    all_tick, all_bin = np.concatenate([tick, end_tick]), np.concatenate([bins, end_bin])
+    event = np.arange(len(all_tick)) < len(tick)
+    merged = np.lexsort([~event, all_bin, all_tick])
+    all_ts = np.concatenate([ts, (end_bin + 1) * bin_ns + t0_ns])[merged]
+    all_moves = np.concatenate([moves, np.zeros((len(end_tick), 5))])[merged]
+    state = fold_rows(all_tick[merged], all_ts, event[merged], all_moves)[~event[merged]]
+    return pd.DataFrame(state, columns=STATE).assign(tick=all_tick[merged][~event[merged]], bin_seq=all_bin[merged][~event[merged]])[["tick", "bin_seq", *STATE]]
 
 
 def mechanics(changed: DataFrame, n_bins: int, bin_ns: int, t0_ns: int, chunk: int | None = None) -> DataFrame:
     """The state of every touched tick at the end of every bin: ``bin_seq, tick, bid_depth, ask_depth`` and `STATE`.
 
     `changed` is what `book.changes` returns, with ``bin_seq``; an event at a bin's end belongs to the next bin.
-    A tick has rows from its first event on. Depth that changes without touching the tick's mechanics (a
+    A tick has rows from its first touch on. Depth that changes without touching the tick's mechanics (a
     cleared book) counts at the next touch.
     """
     halo = math.ceil(HALO * TAU_MASS * 1e9 / bin_ns) + 1
-    depth = lambda side: F.when(F.col("side") == side, F.col("d_depth")).otherwise(0)
-    moves = changed.select("seq", "ts_ns", "bin_seq", "tick", depth("B").alias("d_bid"), depth("A").alias("d_ask"), "add", "pull", "fill", "touched", F.col("touched").cast("long").alias("_one"))
-    # untouched changes go to the touch that follows them
-    numbered = running_totals(moves, ["tick"], "seq", {"_touches": "_one"}, chunk=1 << 20, ties=["add"])
-    touch = F.struct("ts_ns", "bin_seq", "seq", "add", "pull", "fill")
-    events = numbered.groupBy("tick", (F.col("_touches") + (1 - F.col("_one"))).alias("_g")).agg(F.max(F.when(F.col("touched"), touch)).alias("e"), F.sum("d_bid").alias("d_bid"), F.sum("d_ask").alias("d_ask"))
-    events = events.filter("e is not null").select("tick", "e.*", "d_bid", "d_ask", F.lit(1).alias("kind"))
-    first = events.groupBy("tick").agg(F.min("bin_seq").alias("from"))
+    chunk = chunk or max(4 * halo, 256)
+    depth = lambda side: F.when(F.col("side") == side, F.col("d_depth")).otherwise(F.lit(0).cast("long"))
+    moves = changed.select("seq", "ts_ns", "bin_seq", "tick", depth("B").alias("d_bid"), depth("A").alias("d_ask"), "add", "pull", "fill", "touched")
+
+    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(key[1]) * chunk
+        return fold_chunk(pdf, first, min(first + chunk, n_bins), bin_ns, t0_ns)
+
+    near = spread(moves, "bin_seq", halo, 0, chunk).filter(F.col("_chunk") * chunk < n_bins)
+    folded = near.groupBy(F.pmod("tick", F.lit(TASKS)).alias("_task"), "_chunk").applyInPandas(kernel, f"tick int, bin_seq bigint, {', '.join(f'{c} double' for c in STATE)}")
+    # a tick's rows, its depth and the bins in which nothing of it is left to remember meet in one sum
+    first = moves.filter("touched").groupBy("tick").agg(F.min("bin_seq").alias("from"))
     ends = first.select("tick", F.explode(F.sequence(F.col("from"), F.lit(n_bins - 1))).alias("bin_seq"))
-    nothing = [F.lit(0).cast("long").alias(c) for c in ("add", "pull", "fill", "d_bid", "d_ask")]
-    ends = ends.select("tick", "bin_seq", F.lit(1 << 62).alias("seq"), ((F.col("bin_seq") + 1) * bin_ns + t0_ns).alias("ts_ns"), F.lit(0).alias("kind"), *nothing)
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        # of events of one number, the first is the one that the chains see: which one that is must not depend on the shuffle
-        at = np.lexsort([pdf[c].to_numpy() for c in ("d_ask", "d_bid", "fill", "pull", "add", "seq", "bin_seq")])
-        back = np.argsort(at)
-        return fold_tick(pdf.iloc[at].reset_index(drop=True)).iloc[back].reset_index(drop=True)
-
-    rows = events.unionByName(ends)
-    folded = apply_chunks(rows, ["tick"], "bin_seq", halo, kernel, ", ".join(f"{c} double" for c in STATE), chunk=chunk or max(4 * halo, 256))
-    at_end = folded.filter("kind = 0").select("tick", "bin_seq", *STATE)
-    by_bin = moves.groupBy("tick", "bin_seq").agg(F.sum("d_bid").alias("_b"), F.sum("d_ask").alias("_a"))
-    dense = at_end.join(by_bin, ["tick", "bin_seq"], "left").fillna(0, ["_b", "_a"])
-    return running_totals(dense, ["tick"], "bin_seq", {"bid_depth": "_b", "ask_depth": "_a"}).drop("_b", "_a")
+    no_state, no_depth = [F.lit(0.0).alias(c) for c in STATE], [F.lit(0).cast("long").alias(c) for c in ("_b", "_a")]
+    rows = folded.select("tick", "bin_seq", *STATE, *no_depth, F.lit(True).alias("_end"))
+    rows = rows.unionByName(ends.select("tick", "bin_seq", *no_state, *no_depth, F.lit(True).alias("_end")))
+    rows = rows.unionByName(moves.groupBy("tick", "bin_seq").agg(F.sum("d_bid").alias("_b"), F.sum("d_ask").alias("_a")).select("tick", "bin_seq", *no_state, "_b", "_a", F.lit(False).alias("_end")))
+    dense = rows.groupBy("tick", "bin_seq").agg(*[F.sum(c).alias(c) for c in (*STATE, "_b", "_a")], F.max("_end").alias("_end"))
+    return running_totals(dense, ["tick"], "bin_seq", {"bid_depth": "_b", "ask_depth": "_a"}).filter("_end").drop("_b", "_a", "_end")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.functions.scalar import tick
-from tidebook.operators import book, fold, joins, quality
+from tidebook.operators import book, fold, joins, levels, quality
 from tidebook.queries import sql as S
 from tidebook.queries.registry import query, shown
 from tidebook.sources import files, market, mbo
@@ -32,10 +32,14 @@ def numbered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def changed(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
-    """Changes of the book with their bin, stored since depth and best prices read them several times, and the first time."""
-    events = files.stored(numbered(spark, d), "order-events")
-    t0 = events.agg(F.min("ts_ns")).first()[0] or 0
-    return files.stored(book.changes(events).withColumn("bin_seq", F.expr(f"(ts_ns - {t0}) div {MONTH * 1000}")), "book-changes"), t0
+    """Changes of the book with their bin, stored since depth and best prices read them several times, and the first time.
+
+    Order events have no clears, and all of an order are of one line, by which equal lines were numbered. So nothing is
+    shuffled after that.
+    """
+    first = files.stored(book.changes(numbered(spark, d), few=[], within=["order_key", "order_row"]), "book-changes")
+    t0 = first.agg(F.min("ts_ns")).first()[0] or 0
+    return first.withColumn("bin_seq", F.expr(f"(ts_ns - {t0}) div {MONTH * 1000}")), t0
 
 
 @query(f"WITH {S.ORDERS}, {_DEPTH} SELECT bin_seq, side, tick, depth FROM dp")
@@ -44,17 +48,21 @@ def book_depth(spark: SparkSession, d: str) -> DataFrame:
     return book.depth(c, c.select("bin_seq")).select("bin_seq", "side", "tick", "depth")
 
 
+def best(c: DataFrame) -> DataFrame:
+    first, last = c.agg(F.min("bin_seq"), F.max("bin_seq")).first()
+    return levels.best_prices(files.stored(levels.intervals(c), "book-intervals"), *((0, -1) if first is None else (first, last)))
+
+
 @query(f"WITH {S.ORDERS}, {_DEPTH} SELECT bin_seq, best_bid, best_ask, bid_depth, ask_depth, n_negative, spot FROM bs")
 def book_best_prices(spark: SparkSession, d: str) -> DataFrame:
     c, _ = changed(spark, d)
-    return book.best_prices(book.depth(c, c.select("bin_seq")))
+    return best(c)
 
 
 @query(f"WITH {S.ORDERS}, {_DEPTH}, gr AS (SELECT bin_seq, spot, unnest(range(-5, 6)) AS k FROM bs WHERE spot IS NOT NULL) SELECT g.bin_seq, CAST(g.k AS INTEGER) AS k, CAST(coalesce(sum(depth) FILTER (side = 'B'), 0) AS BIGINT) AS bid_depth, CAST(coalesce(sum(depth) FILTER (side = 'A'), 0) AS BIGINT) AS ask_depth FROM gr g LEFT JOIN dp ON dp.bin_seq = g.bin_seq AND dp.tick = g.spot + g.k GROUP BY g.bin_seq, g.k")
 def depth_around_spot(spark: SparkSession, d: str) -> DataFrame:
     c, _ = changed(spark, d)
-    depths = files.stored(book.depth(c, c.select("bin_seq")), "book-depth")
-    return book.around_spot(depths, book.best_prices(depths), 5)
+    return levels.around_spot(c, best(c), 5)
 
 
 _ANCHORS = """sq AS (SELECT us * 2 + step AS seq, coalesce(sum(d) FILTER (side = 'B'), 0) AS b, coalesce(sum(d) FILTER (side = 'A'), 0) AS a, count(*) AS n FROM delta GROUP BY 1),

@@ -96,18 +96,19 @@ def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lifecycles: ``seq, ts_ns, action, side, tick, price_int, size, order_id, flags``, two rows per line.
+    """Order lifecycles: ``ts_ns, step, action, side, tick, price_int, size, order_id, flags, order_key, order_row``, two rows per line.
 
     A line is added at the earlier of its order and ship date and ends at the later one: cancelled (R), filled
-    (A) or half filled (N). Line keys repeat, so an order id is a hash of all columns plus the number of the row
-    among equal ones. Ties in time put additions first.
+    (A) or half filled (N). Line keys repeat, so an order id is a hash of all columns and of the number of the row
+    among equal ones; equal rows have one order key, so they are numbered where the join has brought them. Ties in
+    time put additions first.
     """
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
     columns = sorted(lines.columns)
-    number = F.row_number().over(Window.partitionBy(*columns).orderBy(F.lit(0)))
-    df = lines.withColumn("copy", number).join(orders, "l_orderkey")
+    number = F.row_number().over(Window.partitionBy("l_orderkey", "row").orderBy(F.lit(0)))
+    df = lines.withColumn("row", F.xxhash64(*columns)).join(orders, "l_orderkey").withColumn("copy", number)
     df = df.select(
-        F.xxhash64(*columns, "copy").alias("order_id"), F.when(F.col("l_linestatus") == "F", "B").otherwise("A").alias("side"), F.col("l_quantity").cast("long").alias("quantity"),
+        F.xxhash64("row", "copy").alias("order_id"), F.col("l_orderkey").alias("order_key"), F.col("row").alias("order_row"), F.when(F.col("l_linestatus") == "F", "B").otherwise("A").alias("side"), F.col("l_quantity").cast("long").alias("quantity"),
         F.floor(F.col("l_extendedprice") / F.col("l_quantity") / 1000).cast("int").alias("tick"), "l_returnflag",
         micros("o_orderdate").alias("o"), micros("l_shipdate").alias("s"),
     )
@@ -117,5 +118,5 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.least("o", "s").alias("us"), F.lit(0).alias("step"), F.lit("A").alias("action"), F.col("quantity").alias("size")),
         F.struct(F.greatest("o", "s").alias("us"), F.lit(1).alias("step"), end.alias("action"), filled.cast("long").alias("size")),
     )
-    df = df.select("order_id", "side", "tick", F.explode(both).alias("e")).select("order_id", "side", "tick", "e.*")
-    return df.select((F.col("us") * 1000).alias("ts_ns"), "step", "action", "side", "tick", (F.col("tick").cast("long") * 1_000_000_000).alias("price_int"), "size", "order_id", F.lit(128).alias("flags"))
+    df = df.select("order_id", "order_key", "order_row", "side", "tick", F.explode(both).alias("e")).select("order_id", "order_key", "order_row", "side", "tick", "e.*")
+    return df.select((F.col("us") * 1000).alias("ts_ns"), "step", "action", "side", "tick", (F.col("tick").cast("long") * 1_000_000_000).alias("price_int"), "size", "order_id", F.lit(128).alias("flags"), "order_key", "order_row")
