@@ -112,3 +112,35 @@ def test_chunks_depend_on_content_alone():
     a, b = (S.cuts(x) for x in (ids, np.concatenate([ids[:7], ids])))
     shared = {z for z in a} & {z - 7 for z in b}
     assert len(shared) > 0.9 * len(a) and a[-1] == 20_000 and max(np.diff([0, *a])) <= S.LONGEST
+
+
+def thue_morse(n):
+    word = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_share_a_polynomial_hash(tokenizer, n):
+    a, b = thue_morse(n)
+    encoder = S.Encoder(entries.tokenizer_path())
+    for text in (a, b, f"{a} {b}\n{b} {a}"):
+        assert encoder.encode([text.encode()])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_equal_hashes_are_told_apart_by_bytes(tokenizer, monkeypatch):
+    """All pieces share a few hashes."""
+    monkeypatch.setattr(S, "mix", lambda x: x % np.uint64(3))
+    encoder = S.Encoder(entries.tokenizer_path())
+    texts = ["one two three four five", "two one  six\n\nseven one", "x" * 300 + " one " + "x" * 300, "eight bytes morethan eight bytes more", "one"]
+    for _ in range(2):
+        got = encoder.encode([x.encode() for x in texts])
+        assert [x.tolist() for x in got] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_runs_of_newlines(tokenizer):
+    """Runs of white space before words, at ends of texts and beside other texts of a batch."""
+    rng = np.random.default_rng(11)
+    texts = ["".join(rng.choice(["a", "word", "7", "don't", "é", "...", " ", "\n", "\n\n", "  "], rng.integers(0, 12))) for _ in range(3000)]
+    got = S.Encoder(entries.tokenizer_path()).encode([x.encode() for x in texts])
+    wrong = [x for x, ids in zip(texts, got, strict=True) if ids.tolist() != tokenizer.encode(x, add_special_tokens=False).ids]
+    assert not wrong, wrong[:5]

@@ -38,6 +38,8 @@ BROADCAST_ROWS = 300_000
 #: Pieces of text whose ids a Python worker keeps, some 40 bytes each; beyond them it starts anew.
 KEPT_PIECES = 2_000_000
 SLOTS = 1 << 22
+#: Bytes of pieces that are kept, and of the longest piece that is looked up.
+KEPT_BYTES, LONG_PIECE = 1 << 26, 256
 #: Bytes of text that are looked up at once; temporaries take some 40 bytes a byte.
 SPAN = 1 << 20
 
@@ -58,9 +60,10 @@ CODES = mix((np.arange(256, dtype=np.uint64) + np.uint64(3)) * G) | np.uint64(1)
 class Encoder:
     """The ids of texts by a tokenizers file, with those of frequent pieces kept.
 
-    A piece is a run of spaces and newlines that ends in a newline, or a word with the spaces before it. Pieces
+    A piece is a run of spaces and newlines, the last newline before a word, or a word with the spaces before it. Pieces
     are looked up by a 64-bit hash of their bytes, for a whole batch of texts at once: a slot of the hash names
-    the entry that took it last. What isn't there is encoded, new words together as lines of one text.
+    the entry that took it last, and the entry's bytes are compared. What isn't there is encoded, new words together
+    as lines of one text. Pieces longer than `LONG_PIECE` aren't looked up at all.
     """
 
     def __init__(self, path: str):
@@ -79,6 +82,21 @@ class Encoder:
         self.n, self.slots = 1, np.zeros(SLOTS, np.int32)
         self.keys, self.starts, self.sizes = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
         self.n_ids, self.ids = 0, np.empty(1 << 16, self.dtype)
+        self.at, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.n_bytes, self.bytes = 0, np.zeros(1 << 16, np.uint8)
+
+    def same(self, data: np.ndarray, at: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether pieces at some starts of `data`, which has 8 bytes more at its end, are those of some entries."""
+        equal = self.lengths[place] == sizes
+        words, kept = (np.ndarray((len(x) - 7,), "<u8", x, 0, (1,)) for x in (data, self.bytes))
+        left, done = np.flatnonzero(equal), 0
+        while len(left):
+            rest = np.minimum(sizes[left] - done, 8).astype(np.uint64)
+            differ = (words[at[left] + done] ^ kept[self.at[place[left]] + done]) << (np.uint64(64) - np.uint64(8) * rest)
+            equal[left[differ != 0]] = False
+            done += 8
+            left = left[(differ == 0) & (sizes[left] > done)]
+        return equal
 
     def encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -102,6 +120,11 @@ class Encoder:
         first, end, end_ids = self.n, self.n + len(pieces), self.n_ids + len(ids)
         self.keys, self.starts, self.sizes, self.ids = (grown(x, n) for x, n in ((self.keys, end), (self.starts, end), (self.sizes, end), (self.ids, end_ids)))
         self.keys[first:end], self.starts[first:end], self.sizes[first:end], self.ids[self.n_ids : end_ids] = keys, starts, sizes, ids
+        lengths = np.array([len(x) for x in pieces], np.int64)
+        self.at, self.lengths, self.bytes = grown(self.at, end), grown(self.lengths, end), grown(self.bytes, self.n_bytes + int(lengths.sum()) + 8)
+        self.at[first:end], self.lengths[first:end] = self.n_bytes + np.cumsum(lengths) - lengths, lengths
+        self.bytes[self.n_bytes : self.n_bytes + int(lengths.sum())] = np.frombuffer(b"".join(pieces), np.uint8)
+        self.n_bytes += int(lengths.sum())
         self.slots[(keys % np.uint64(SLOTS)).astype(np.int64)] = np.arange(first, end)
         self.n, self.n_ids = end, end_ids
         return first
@@ -113,20 +136,33 @@ class Encoder:
         white = (data == 32) | (data == 10)
         first = np.ones(len(data), bool)
         # a run begins after a word, and a word after a newline
-        first[1:] = (white[1:] & ~white[:-1]) | (~white[1:] & (data[:-1] == 10))
+        first[1:] = white[1:] & ~white[:-1]
+        # of a run before a word the pre-tokenizer takes the last newline alone
+        after = ~white[1:] & (data[:-1] == 10)
+        after[bounds[1:-1] - 1] = False
+        first[1:] |= after
+        first[:-1] |= after
         first[bounds[:-1]] = True
         at = np.flatnonzero(first)
         since = np.arange(len(data), dtype=np.int32)
         since -= np.maximum.accumulate(np.where(first, since, 0))
         keys = mix(np.add.reduceat(CODES[data] * powers(int(since.max()) + 1)[since], at))
-        if self.n > KEPT_PIECES:
+        if self.n > KEPT_PIECES or self.n_bytes > KEPT_BYTES:
             self.clear()
-        place = self.slots[(keys % np.uint64(SLOTS)).astype(np.int64)]
-        lost = np.flatnonzero((self.keys[place] != keys) | (place == 0))
+        lengths = np.diff(at, append=len(data))
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        place = self.slots[(keys % np.uint64(SLOTS)).astype(np.int64)].astype(np.int64)
+        cut = lambda i: data[at[i] : at[i] + lengths[i]].tobytes()
+        short = lengths <= LONG_PIECE
+        lost = np.flatnonzero(short & ((self.keys[place] != keys) | (place == 0) | ~self.same(padded, at, lengths, place)))
         if len(lost):
             new, where, which = np.unique(keys[lost], return_index=True, return_inverse=True)
-            ends = np.append(at[1:], len(data))
-            place[lost] = which + self.add(new, [data[at[i] : ends[i]].tobytes() for i in lost[where].tolist()])
+            place[lost] = which + self.add(new, [cut(i) for i in lost[where].tolist()])
+            # other pieces of one hash
+            short[lost] = self.same(padded, at[lost], lengths[lost], place[lost])
+        alone = np.flatnonzero(~short)
+        if len(alone):
+            place[alone] = np.arange(len(alone)) + self.add(keys[alone], [cut(i) for i in alone.tolist()])
         sizes = self.sizes[place].astype(np.int64)
         ids = self.ids[spread(self.starts[place], sizes)]
         ends = np.cumsum(sizes)[np.append(np.searchsorted(at, bounds[1:-1]), len(at)) - 1]
