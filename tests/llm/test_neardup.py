@@ -148,3 +148,12 @@ def test_no_link_is_lost(spark):
     rows = list(enumerate(texts))
     found = got(spark.createDataFrame(rows, "doc_id bigint, text string"), 2)
     assert found == brute(rows, 2)[0] and sum(not r[3] for r in found) == 250
+
+
+def test_long_words_with_equal_sums_of_powers_differ():
+    for n in (1024, 4096):
+        a = "".join("ab"[i.bit_count() & 1] for i in range(n))
+        b = a.translate(str.maketrans("ab", "ba"))
+        words = vector.words_of(f"{a} {b} {a.upper()} end".encode())
+        assert words[0] != words[1] and words[0] == words[2]
+        assert vector.words_of(f"x {b}".encode())[1] == words[1]

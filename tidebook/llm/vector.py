@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that are hashed at once; temporaries take some 40 bytes a byte.
 PIECE = 1 << 20
@@ -26,6 +27,8 @@ WHITE = np.zeros(256, dtype=bool)
 WHITE[[32, 9, 10, 11, 12, 13]] = True
 CODES[WHITE] = 0
 BASE = np.uint64(0xD6E8FEB86659FD93)
+#: Longer words are hashed one by one: sums of powers modulo 2**64 can be made equal by words of a thousand letters.
+LONG_WORD = 256
 _powers = np.ones(1, dtype=np.uint64)
 
 
@@ -56,7 +59,14 @@ def word_hashes(data: np.ndarray, separates: np.ndarray = WHITE) -> tuple[np.nda
     since[white] = 0
     values = CODES[data] * powers(int(since.max()) + 1)[since]
     values[white] = 0
-    return mix(np.add.reduceat(values, starts)), starts
+    hashes = mix(np.add.reduceat(values, starts))
+    if since.max() >= LONG_WORD:
+        last = ~white
+        last[:-1] &= white[1:]
+        ends = np.flatnonzero(last) + 1
+        for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+            hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes().lower())
+    return hashes, starts
 
 
 def words_of(text: bytes, separates: np.ndarray = WHITE) -> np.ndarray:
