@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidebook.functions import kernels
 from tidebook.functions import windows as W
 from tidebook.functions.chunks import apply_chunks, over_chunks
+from tidebook.functions.quantiles import percentiles
 from tidebook.functions.totals import running_totals
 
 
@@ -125,3 +126,24 @@ def test_running_totals(spark, chunk):
     want = pdf.groupby("k", dropna=False).v.cumsum()
     assert got.t.tolist() == want.tolist()
     assert running_totals(spark.createDataFrame(pdf).filter(F.lit(False)), ["k"], "s", {"t": "v"}).count() == 0
+
+
+@pytest.mark.parametrize("cuts, few", [(4096, 2048), (3, 1), (2, 5)])
+def test_percentiles_by_selection(spark, cuts, few):
+    """Ties, tiny and huge numbers, groups, nulls and NaN, whatever the size of the parts."""
+    rng = np.random.default_rng(5)
+    groups = {"ties": rng.integers(0, 4, 500) / 3, "spread": rng.normal(size=400) * 10.0 ** rng.integers(-9, 9, 400), "ends": np.array([-1.7e308, 1.7e308, 0.0, -0.0, 5e-324, 1.0]), "one": np.array([7.0]), "same": np.full(300, -2.5)}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("ties", None), ("one", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(3)
+    shares = [0.0, 0.05, 0.5, 0.731, 0.95, 1.0]
+    got = percentiles(df, F.col("x"), shares, F.col("g"), cuts, few)
+    assert got.keys() == groups.keys()
+    for g, xs in groups.items():
+        xs = np.sort(xs)
+        for q, value in zip(shares, got[g], strict=True):
+            low, high = int(np.floor((len(xs) - 1) * q)), int(np.ceil((len(xs) - 1) * q))
+            w = (len(xs) - 1) * q - low
+            assert value == pytest.approx(xs[low] if low == high else (1 - w) * xs[low] + w * xs[high], rel=1e-12, abs=1e-300), (g, q)
+    assert percentiles(df.filter("g = 'none'"), F.col("x"), [0.5]) == {}
+    whole = df.filter("x is not null and not isnan(x)")
+    assert percentiles(df, F.col("x"), [0.25, 0.9], None, cuts, few)[None] == pytest.approx(whole.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.9)))).first()[0])

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tidebook.functions import kernels
 from tidebook.functions import windows as W
 from tidebook.functions.chunks import CHUNK, apply_chunks, over_chunks
+from tidebook.functions.quantiles import percentiles
 from tidebook.functions.scalar import unit_interval
 from tidebook.operators.gold import balance
 from tidebook.schemas import require
@@ -291,20 +292,22 @@ def ads_pfp_svac(lattice: DataFrame, radius: int, bin_ms: int = 100, slope_ms=(1
 def adaptive_thresholds(signals: DataFrame, name: str, warmup: int = 300) -> DataFrame:
     """``thresholds``: the positive distinct percentiles of a signal behind its warm-up, in order; the defaults if none is."""
     found = REGISTRY[name]
-    df = signals.filter(F.col("bin_seq") >= warmup)
+    behind = signals.filter(F.col("bin_seq") >= warmup)
+
+    def of(df: DataFrame, value, *shares: float) -> list:
+        return percentiles(df, value, shares).get(None, [None] * len(shares))
+
     if found.adaptive == "spread":
-        p = F.percentile("signal", F.array(*[F.lit(q) for q in (0.05, 0.25, 0.75, 0.95)]))
-        df = df.agg(p.alias("p")).withColumn("a75", F.greatest(F.abs(F.col("p")[1]), F.abs(F.col("p")[2]))).withColumn("a95", F.greatest(F.abs(F.col("p")[0]), F.abs(F.col("p")[3])))
-        iqr = F.col("p")[2] - F.col("p")[1]
-        values, least = F.array(0.5 * iqr, iqr, "a75", 0.5 * (F.col("a75") + F.col("a95")), "a95"), 1e-8
+        p5, p25, p75, p95 = (F.lit(x).cast("double") for x in of(behind, F.col("signal"), 0.05, 0.25, 0.75, 0.95))
+        a75, a95 = F.greatest(F.abs(p25), F.abs(p75)), F.greatest(F.abs(p5), F.abs(p95))
+        values, least = F.array(0.5 * (p75 - p25), p75 - p25, a75, 0.5 * (a75 + a95), a95), 1e-8
     elif found.adaptive == "magnitude":
-        df = df.agg(F.percentile(F.abs("signal"), F.array(*[F.lit(q) for q in (0.5, 0.7, 0.8, 0.9, 0.95, 0.99)])).alias("p"))
-        values, least = F.col("p"), 0.0
+        values, least = F.array(*[F.lit(x).cast("double") for x in of(behind, F.abs("signal"), 0.5, 0.7, 0.8, 0.9, 0.95, 0.99)]), 0.0
     else:
-        p95 = F.percentile(F.abs(F.when(F.col("signal") != 0, F.col("signal"))), F.lit(0.95))
-        df = signals.agg(p95.alias("p95"))
-        more = F.when((F.col("p95") > 0.5) & F.lit(found.adaptive == "extended"), F.array(F.lit(0.08), F.lit(0.10), F.lit(0.20), F.lit(0.50))).when((F.col("p95") > 0.1) & F.lit(found.adaptive == "extended"), F.array(F.lit(0.08), F.lit(0.10))).otherwise(F.array().cast("array<double>"))
-        values, least = F.concat(F.array(*[F.lit(x) for x in found.thresholds]), more), 0.0
+        p95 = of(signals, F.abs(F.when(F.col("signal") != 0, F.col("signal"))), 0.95)[0] or 0.0
+        more = [0.08, 0.10, *([0.20, 0.50] if p95 > 0.5 else [])] if found.adaptive == "extended" and p95 > 0.1 else []
+        values, least = F.array(*[F.lit(x) for x in (*found.thresholds, *more)]), 0.0
+    df = signals.sparkSession.range(1)
     kept = F.array_sort(F.array_distinct(F.filter(F.transform(values, lambda x: F.round(x, 6)), lambda x: x > least)))
     return df.select(F.when(F.size(kept) > 0, kept).otherwise(F.array(*[F.lit(x) for x in found.thresholds])).alias("thresholds"))
 

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from tidebook.functions import kernels
 from tidebook.functions import windows as W
 from tidebook.functions.chunks import CHUNK, apply_chunks, over_chunks
+from tidebook.functions.quantiles import percentiles
 from tidebook.functions.scalar import div_eps, json_hash
 from tidebook.schemas import SILVER
+from tidebook.sources.files import stored
 
 #: Fields that each node type takes: those that name other nodes, then the rest.
 FIELDS = {
@@ -142,13 +144,15 @@ def evaluate(lattice: DataFrame, spec: dict, first_bins: int | None = None, chun
 
 
 def stats(df: DataFrame) -> DataFrame:
-    """``output, mean, std, q25, q50, q75, n_valid, n_nan`` of every output, in one aggregation."""
+    """``output, mean, std, q25, q50, q75, n_valid, n_nan`` of every output: one aggregation, and percentiles by selection."""
     names = [c for c in df.columns if c not in ("bin_seq", "k")]
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("output"), F.col(n).cast("double").alias("x")) for n in names])).alias("r")).select("r.*")
+    long = stored(df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("output"), F.col(n).cast("double").alias("x")) for n in names])).alias("r")).select("r.*"), "outputs")
     bad = F.col("x").isNull() | F.isnan("x")
     x = F.when(~bad, F.col("x"))
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return long.groupBy("output").agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), q.alias("q"), F.count(x).alias("n_valid"), F.count_if(bad).alias("n_nan")).select("output", "mean", "std", *[F.col("q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "n_valid", "n_nan")
+    found = percentiles(long, F.col("x"), (0.25, 0.5, 0.75), F.col("output"))
+    quarters = df.sparkSession.createDataFrame([(n, *found.get(n, [None] * 3)) for n in names], "output string, q25 double, q50 double, q75 double")
+    out = long.groupBy("output").agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.count(x).alias("n_valid"), F.count_if(bad).alias("n_nan"))
+    return out.join(F.broadcast(quarters), "output").select("output", "mean", "std", "q25", "q50", "q75", "n_valid", "n_nan")
 
 
 def lineage(old: dict, new: dict) -> dict[str, list[str]]:

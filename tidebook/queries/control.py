@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.functions import scalar
+from tidebook.functions.quantiles import percentiles
 from tidebook.operators import serving
 from tidebook.plans import features, sweep
 from tidebook.queries import sql as S
@@ -171,6 +172,12 @@ def feature_graph(spark: SparkSession, d: str) -> DataFrame:
     return shown(features.evaluate(market.silver(spark, d), SPEC, first_bins=100))
 
 
+@query(f"WITH {S.SILVER}, {_GRAPH.replace(' WHERE bin_seq < 100', '')} SELECT bin_seq, k, {S.rnd('z', 'unit', 'log', 'bounded')} FROM graph")
+def feature_graph_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same graph over all bins."""
+    return shown(features.evaluate(market.silver(spark, d), SPEC))
+
+
 @query(f"WITH {S.SILVER}, {_GRAPH} " + " UNION ALL ".join(f"SELECT '{o}' AS output, round(avg({o}), 6) AS mean, round(stddev_samp({o}), 6) AS std, round(quantile_cont({o}, 0.25), 6) AS q25, round(quantile_cont({o}, 0.5), 6) AS q50, round(quantile_cont({o}, 0.75), 6) AS q75, count({o}) AS n_valid, count(*) - count({o}) AS n_nan FROM graph" for o in ("z", "unit", "log", "bounded")))
 def feature_graph_stats(spark: SparkSession, d: str) -> DataFrame:
     return shown(features.stats(features.evaluate(market.silver(spark, d), SPEC, first_bins=100)))
@@ -183,8 +190,10 @@ def sweep_runs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH m AS (SELECT event_id, value FROM events) SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS most, min(value) AS least, count(*) AS n FROM m")
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    e = market.table(spark, d, "events").agg(F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"), F.max("value").alias("most"), F.min("value").alias("least"), F.count("*").alias("n"))
-    return shown(e.select(*[F.col("p")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))], "most", "least", "n"))
+    events = market.table(spark, d, "events")
+    found = percentiles(events, F.col("value"), (0.5, 0.95, 0.99)).get(None, [None] * 3)
+    e = events.agg(F.max("value").alias("most"), F.min("value").alias("least"), F.count("*").alias("n"))
+    return shown(e.withColumns({n: F.lit(p).cast("double") for n, p in zip(("p50", "p95", "p99"), found, strict=True)}))
 
 
 @query(f"WITH {S.LATTICE} SELECT count(*) AS n_bins, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns, min(mid_price) FILTER (mid_price > 0) AS low, max(mid_price) AS high, round(avg(mid_price), 6) AS mean, round(stddev_samp(mid_price), 6) AS std FROM bins")

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.functions.chunks import over_chunks
+from tidebook.functions.quantiles import percentiles
 from tidebook.operators import evaluate as E
 from tidebook.operators import gold as G
 from tidebook.operators import quality, results
 from tidebook.operators import signals as X
 from tidebook.queries import sql as S
 from tidebook.queries.registry import query, shown
-from tidebook.sources import market
+from tidebook.sources import files, market
 
 R = market.RADIUS
 THRESHOLDS = [0.05, 0.1, 0.2, 0.4]
@@ -263,11 +264,13 @@ def regime_shifts(spark: SparkSession, d: str) -> DataFrame:
 
     df = over_chunks(df, [], "bin_seq", 2, build)
     flip = F.when((F.col("d0") != 0) & (F.col("d1") != 0), (F.signum("d0") != F.signum("d1")).cast("double"))
-    one = df.agg(F.percentile("signal", F.lit(0.5)).alias("med"), F.percentile(F.abs("d1"), F.lit(0.95)).alias("p95"), F.avg(F.abs("d1")).alias("mean_abs_d1"), F.avg(flip).alias("flip_rate"))
-    med = one.first()["med"] or 0.0
-    mad = (df.agg(F.percentile(F.abs(F.col("signal") - med), F.lit(0.5)).alias("mad")).first()["mad"]) or 0.0
-    shifts = df.agg(F.count_if(F.abs(F.col("signal") - med) > 3 * 1.4826 * mad).alias("n_shifts"))
-    return shown(one.withColumn("mad", F.lit(mad)).withColumn("n_shifts", F.lit(shifts.first()["n_shifts"])))
+    df = files.stored(df, "slopes")
+    med = percentiles(df, F.col("signal"), [0.5]).get(None, [None])[0]
+    mad = percentiles(df, F.abs(F.col("signal") - (med or 0.0)), [0.5]).get(None, [0.0])[0]
+    p95 = percentiles(df, F.abs("d1"), [0.95]).get(None, [None])[0]
+    shift = F.abs(F.col("signal") - (med or 0.0)) > 3 * 1.4826 * mad
+    one = df.agg(F.avg(F.abs("d1")).alias("mean_abs_d1"), F.avg(flip).alias("flip_rate"), F.count_if(shift).alias("n_shifts"))
+    return shown(one.withColumns({"med": F.lit(med).cast("double"), "mad": F.lit(mad), "p95": F.lit(p95).cast("double")}))
 
 
 # ---- detection and evaluation
