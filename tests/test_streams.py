@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidebook.operators import gold
 from tidebook.streaming import bins as stream
@@ -34,16 +35,67 @@ def test_scores_of_a_stream_are_those_of_the_series(spark, tmp_path):
     assert any(x[2] for x in got)
 
 
-@pytest.mark.parametrize("cuts", [[0, 6], [0, 1, 2, 3, 4, 5, 6], [0, 4, 6]])
+ROWS = [(1, 5, 5, 10), (1, 7, 7, None), (2, 8, 8, 4), (1, 38, 38, 20), (None, None, 40, None), (1, 61, 61, 1), (1, 3, 62, 99), (1, 58, 63, 7), (1, 75, 75, 2), (3, 76, 76, 5)]
+#: Bins of 10, closed 5 after their end: the 99 came in too late, the 7 in time.
+SUMS = {(1, 0): (2, 10), (1, 3): (1, 20), (1, 5): (1, 7), (1, 6): (1, 1), (1, 7): (1, 2), (2, 0): (1, 4), (3, 7): (1, 5)}
+
+
+def filled_source(spark, folder, batches):
+    schema = "k int, at_us bigint, seen_us bigint, cents bigint"
+    return source(spark, folder, batches, schema).withColumn("seen", F.timestamp_micros("seen_us")).drop("seen_us")
+
+
+def filled_of(df):
+    return {(r.k, r.bin_seq): (r.n, r.total, r.mass) for r in df.collect()}
+
+
+@pytest.mark.parametrize("cuts", [[0, 10], list(range(11)), [0, 4, 10], [0, 6, 7, 10]])
 def test_filled_bins(spark, tmp_path, cuts):
-    rows = [(1, 5, 10), (1, 7, None), (1, 38, 20), (1, 61, 1), (1, 3, 99), (1, 75, 2)]
-    batches = [rows[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
-    df = source(spark, tmp_path, batches, "k int, at_us bigint, cents bigint")
-    out = stream.to_table(stream.filled(df, 10, 5.0, emit_from=1), spark, "test-filled")
-    got = {r.bin_seq: (r.n, r.total, r.mass) for r in out.collect()}
-    # a row for a closed bin counts only while its own batch still holds that bin open
-    first = 109 if len(cuts) == 2 else 10
-    decay = math.exp(-1 / 5)
-    assert sorted(got) == [1, 2, 3, 4, 5, 6]
-    assert [got[b][:2] for b in sorted(got)] == [(0, 0), (0, 0), (1, 20), (0, 0), (0, 0), (1, 1)]
-    assert got[1][2] == pytest.approx(first * decay) and got[6][2] == pytest.approx(first * decay**6 + 20 * decay**3 + 1)
+    """Wherever the stream is cut: silent levels, late rows and the last, partial bins, with the clock in milliseconds."""
+    unit = 1000
+    rows = [(k, None if at is None else at * unit, seen * unit, c) for k, at, seen, c in ROWS]
+    df = filled_source(spark, tmp_path / "in", [rows[a:z] for a, z in zip(cuts, cuts[1:], strict=False)])
+    path = f"file://{tmp_path}/out"
+    written = stream.to_table(stream.filled(df, 10 * unit, 5.0, 1, 5 * unit), spark, "test-filled", path)
+    got, rest = filled_of(written), filled_of(stream.remaining(spark, f"{path}/state", 7, 5.0, 1))
+    assert not got.keys() & rest.keys()
+    got |= rest
+    want, decay = {}, math.exp(-1 / 5)
+    for k, first in ((1, 0), (2, 0), (3, 7)):
+        mass = 0.0
+        for b in range(first, 8):
+            n, total = SUMS.get((k, b), (0, 0))
+            mass = mass * decay + total
+            if b >= 1:
+                want[k, b] = (n, total, pytest.approx(mass))
+    assert got == want
+    if len(cuts) > 3:
+        assert (2, 4) in filled_of(written)  # a level that had no row since bin 0
+
+
+def test_stopped_stream_goes_on_where_it_ended(spark, tmp_path):
+    rows = [(k, None if at is None else at * 1000, seen * 1000, c) for k, at, seen, c in ROWS]
+    schema, path, got = "k int, at_us bigint, seen_us bigint, cents bigint", f"file://{tmp_path}/out", None
+    for i in range(5):
+        spark.createDataFrame(rows[2 * i : 2 * i + 2], schema).coalesce(1).write.parquet(f"file://{tmp_path}/in/{i}")
+        df = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"file://{tmp_path}/in")
+        df = df.withColumn("seen", F.timestamp_micros("seen_us")).drop("seen_us")
+        got = stream.to_table(stream.filled(df, 10_000, 5.0, 0, 5000), spark, "test-stopped", path)
+    whole = f"file://{tmp_path}/whole"
+    once = stream.to_table(stream.filled(df, 10_000, 5.0, 0, 5000), spark, "test-whole", whole)
+    both = [sorted(map(tuple, w.unionByName(stream.remaining(spark, f"{p}/state", 7, 5.0)).collect())) for w, p in ((got, path), (once, whole))]
+    assert len(both[0]) == 17 and [r[:4] for r in both[0]] == [r[:4] for r in both[1]]
+
+
+def test_long_silence_is_given_out_in_blocks(monkeypatch):
+    monkeypatch.setattr(stream, "BLOCK", 7)
+    keep, opened = 0.9, {3: (1, 10), 6: (2, 5), 7: (1, 1), 40: (1, 2)}
+    blocks = list(stream.closed_bins(4, 3, 45, opened, 2.0, keep))
+    mass, at = 2.0, 3
+    for block in blocks:
+        assert len(block) <= 7
+        for r in block.itertuples():
+            mass = mass * keep + opened.get(at, (0, 0))[1]
+            assert (r.bin_seq, r.n, r.total) == (at, *opened.get(at, (0, 0))) and r.mass == pytest.approx(mass)
+            at += 1
+    assert at == 45 and stream.after(opened, 3, 45, 2.0, keep) == pytest.approx(mass)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,12 +89,15 @@ def stream_detection(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT CAST(user_id % 11 - 5 AS INTEGER) AS k, epoch_us(ts) // 3600000000 AS bin_seq, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1, 2),
-g AS (SELECT k, unnest(range(min(bin_seq), max(bin_seq))) AS bin_seq FROM t GROUP BY k), e AS (SELECT g.k, g.bin_seq, coalesce(n, 0) AS n, coalesce(total, 0) AS total FROM g LEFT JOIN t USING (k, bin_seq))
+g AS (SELECT k, unnest(range(min(bin_seq), (SELECT max(bin_seq) + 1 FROM t))) AS bin_seq FROM t GROUP BY k), e AS (SELECT g.k, g.bin_seq, coalesce(n, 0) AS n, coalesce(total, 0) AS total FROM g LEFT JOIN t USING (k, bin_seq))
 SELECT e.k, e.bin_seq, e.n, e.total, round(sum(t.total * exp(-(e.bin_seq - t.bin_seq) / 5e0)), 3) AS mass FROM e JOIN t ON t.k = e.k AND t.bin_seq <= e.bin_seq WHERE e.bin_seq >= 473360 GROUP BY 1, 2, 3, 4""")
 def stream_dense_bins(spark: SparkSession, d: str) -> DataFrame:
-    """Hourly bins of every level from keyed state, empty ones too, after a warm-up; the open bin isn't emitted."""
-    rows = event_stream(spark, d).select((F.col("user_id") % 11 - 5).cast("int").alias("k"), F.unix_micros("at").alias("at_us"), "cents")
-    return shown(stream.to_table(stream.filled(rows, 3_600_000_000, 5.0, 473_360), spark, "dense-bins"), digits=3)
+    """Hourly bins of every level from keyed state, empty ones too, after a warm-up, up to the last, partial one."""
+    rows = event_stream(spark, d).select((F.col("user_id") % 11 - 5).cast("int").alias("k"), F.unix_micros("at").alias("at_us"), F.col("at").alias("seen"), "cents")
+    path = f"{files.scratch(spark)}/dense-bins-{uuid.uuid4().hex}"
+    closed = stream.to_table(stream.filled(rows, market.HOUR_US, 5.0, 473_360), spark, "dense-bins", path)
+    last = (market.table(spark, d, "events").agg(F.max(market.micros("ts"))).first()[0] or 0) // market.HOUR_US
+    return shown(closed.unionByName(stream.remaining(spark, f"{path}/state", last, 5.0, 473_360)), digits=3)
 
 
 @query(f"WITH {S.GOLD} SELECT bin_seq, k, {S.rnd('flow_score')}, flow_state_code FROM gold")

@@ -44,35 +44,89 @@ def detected(stream: DataFrame, threshold: float, cooldown: int) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, event_id bigint, direction string", "n bigint, before int, last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def filled(stream: DataFrame, width_us: int, tau: float, emit_from: int = 0) -> DataFrame:
+#: Rows of a level that are given out at once.
+BLOCK = 65_536
+
+
+def closed_bins(key, at: int, until: int, opened: dict[int, tuple[int, int]], mass: float, keep: float) -> Iterator[pd.DataFrame]:
+    """``k, bin_seq, n, total, mass`` of the bins at <= bin < until, in blocks; `opened` has count and sum of those with rows."""
+    while at < until:
+        end = min(until, at + BLOCK)
+        n, total, masses = np.zeros(end - at, np.int64), np.zeros(end - at, np.int64), np.zeros(end - at)
+        since = at
+        for b in [*sorted(x for x in opened if at <= x < end), end]:
+            # bins without rows only forget
+            masses[since - at : b - at] = mass * keep ** np.arange(1, b - since + 1)
+            mass *= keep ** (b - since)
+            if b < end:
+                n[b - at], total[b - at] = opened[b]
+                mass = masses[b - at] = mass * keep + opened[b][1]
+                since = b + 1
+        yield pd.DataFrame({"k": [key] * (end - at), "bin_seq": np.arange(at, end), "n": n, "total": total, "mass": masses})
+        at = end
+
+
+def after(opened: dict[int, tuple[int, int]], at: int, until: int, mass: float, keep: float) -> float:
+    """The mass when bins at <= bin < until have closed."""
+    for b in sorted(x for x in opened if at <= x < until):
+        mass, at = mass * keep ** (b + 1 - at) + opened[b][1], b + 1
+    return mass * keep ** (until - at)
+
+
+def filled(stream: DataFrame, width_us: int, tau: float, emit_from: int = 0, late_us: int = 0) -> DataFrame:
     """``k, bin_seq, n, total, mass`` of every closed bin of each level, from its first row on; empty bins too.
 
-    Rows are ``k, at_us, cents``. ``mass`` sums up the cents and decays by exp(-1 / tau) a bin. A bin is closed
-    by a later row of its level, so the last, partial one isn't there yet. Bins before `emit_from` count for
-    the mass but aren't emitted. State per level: the open bin and its sums. Rows older than the open bin
-    are dropped. A null level is a level; rows without a time are left out.
+    Rows are ``k, at_us, seen, cents``: `seen` is the timestamp at which a row came in, and comes in order. ``mass`` sums up
+    the cents and decays by exp(-1 / tau) a bin. A bin is closed `late_us` after its end, and a row counts if it was seen
+    before that: this is told from the row alone, so it doesn't matter where triggers cut the stream. The watermark of
+    `seen` closes bins by timers, those of levels that are silent too. Bins before `emit_from` count for the mass but aren't
+    emitted. State per level: the first bin that isn't closed, the mass before it, and counts and sums of the open bins.
+    What is still open when a stream ends is in `remaining`. A null level is a level; a row without a time counts nowhere,
+    but moves the watermark.
     """
     keep = math.exp(-1 / tau)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, n, total, mass = state.get if state.exists else (None, 0, 0, 0.0)
-        rows = pd.concat(list(batches))
-        sums = rows["cents"].fillna(0).astype("int64").groupby(rows["at_us"] // width_us).agg(["size", "sum"])
-        out: list[tuple] = []
-        for at, size, cents in zip(sums.index.tolist(), sums["size"].tolist(), sums["sum"].tolist(), strict=True):
-            if now is not None and at < now:
-                continue
-            while now is not None and now < at:
-                mass = mass * keep + total
-                if now >= emit_from:
-                    out.append((key[0], now, n, total, mass))
-                now, n, total = now + 1, 0, 0
-            now, n, total = at, n + size, total + cents
-        state.update((now, n, total, mass))
-        yield pd.DataFrame(out, columns=["k", "bin_seq", "n", "total", "mass"])
-
-    known = stream.filter("at_us is not null")
-    return known.groupBy("k").applyInPandasWithState(step, "k int, bin_seq bigint, n bigint, total bigint, mass double", "now bigint, n bigint, total bigint, mass double", "append", GroupStateTimeout.NoTimeout)
+        at, sealed, mass, bins, ns, totals = state.get if state.exists else (None, None, 0.0, [], [], [])
+        opened = {b: (n, t) for b, n, t in zip(bins, ns, totals, strict=True)}
+        for rows in () if state.hasTimedOut else batches:
+            sums = rows["cents"].fillna(0).astype("int64").groupby(rows["bin_seq"]).agg(["size", "sum"])
+            for b, size, cents in zip(sums.index.tolist(), sums["size"].tolist(), sums["sum"].tolist(), strict=True):
+                if sealed is None or b >= sealed:
+                    n, t = opened.get(b, (0, 0))
+                    opened[b] = n + size, t + cents
+        if at is None or sealed is None:
+            at = min(opened, default=at)
+        if at is None:
+            return
+        until = (state.getCurrentWatermarkMs() * 1000 - late_us) // width_us
+        if until > at:
+            for block in closed_bins(key[0], at, until, opened, mass, keep):
+                yield block[block["bin_seq"] >= emit_from]
+            mass, at, sealed = after(opened, at, until, mass, keep), until, until
+            opened = {b: x for b, x in opened.items() if b >= until}
+        state.update((at, sealed, mass, list(opened), [n for n, _ in opened.values()], [t for _, t in opened.values()]))
+        state.setTimeoutTimestamp(max(-(-((at + 1) * width_us + late_us) // 1000), state.getCurrentWatermarkMs() + 1))
+
+    known = stream.withWatermark("seen", "0 seconds").withColumn("bin_seq", F.floor(F.col("at_us") / width_us))
+    known = known.filter(F.col("at_us").isNull() | (F.unix_micros("seen") < (F.col("bin_seq") + 1) * width_us + late_us))
+    kinds = "at bigint, sealed bigint, mass double, bins array<bigint>, ns array<bigint>, totals array<bigint>"
+    return known.groupBy("k").applyInPandasWithState(step, "k int, bin_seq bigint, n bigint, total bigint, mass double", kinds, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def remaining(spark: SparkSession, state: str, last: int, tau: float, emit_from: int = 0) -> DataFrame:
+    """What `filled` still holds open in its checkpoint, as closed at the stream's end: all levels up to the bin `last`."""
+    keep = math.exp(-1 / tau)
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for k, at, mass, bins, ns, totals in rows.itertuples(index=False):
+                for block in closed_bins(None if pd.isna(k) else int(k), int(at), last + 1, {int(b): (int(n), int(t)) for b, n, t in zip(bins, ns, totals, strict=True)}, mass, keep):
+                    yield block[block["bin_seq"] >= emit_from]
+
+    held = spark.read.format("statestore").load(state)
+    held = held.select("key.*", "value.groupState.*").toDF("k", "at", "sealed", "mass", "bins", "ns", "totals").drop("sealed").filter("at is not null")
+    return held.mapInPandas(ends, "k int, bin_seq bigint, n bigint, total bigint, mass double")
 
 
 def carried(stream: DataFrame, key: str, order: str, values: list[str], halo: int, kernel: Callable[[pd.DataFrame], pd.DataFrame], added: str) -> DataFrame:
@@ -103,9 +157,13 @@ def carried(stream: DataFrame, key: str, order: str, values: list[str], halo: in
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} {key_type}, {order} {order_type}, {added}", "orders array<bigint>, flat array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def to_table(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    """Run a stream over what is there and return what it wrote. Output and checkpoint lie in the shared folder."""
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+def to_table(df: DataFrame, spark: SparkSession, name: str, path: str | None = None) -> DataFrame:
+    """Run a stream over what is there and return what it has written. Output and checkpoint lie in the shared folder.
+
+    With a `path` of an earlier run it goes on where that ended: state comes from its checkpoint, and the sink leaves out
+    batches that it has already, so a run that is stopped at any moment and started again writes each row once.
+    """
+    path = path or f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     run = df.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows")
     run.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{path}/rows")
