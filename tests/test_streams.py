@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidebook.operators import gold
+from tidebook.operators import gold, signals
 from tidebook.streaming import bins as stream
+from tidebook.streaming import runtime
 
 
 def source(spark, folder, batches, schema):
@@ -99,3 +100,32 @@ def test_long_silence_is_given_out_in_blocks(monkeypatch):
             assert (r.bin_seq, r.n, r.total) == (at, *opened.get(at, (0, 0))) and r.mass == pytest.approx(mass)
             at += 1
     assert at == 45 and stream.after(opened, 3, 45, 2.0, keep) == pytest.approx(mass)
+
+
+PARAMS = {"exclusion": 1, "power": 0.35, "z_window": 32, "z_min": 8, "scale": 2.75, "d_weights": (1.0, 0.5, 0.25), "state_weights": (1.2, 0.8, 1.1, 0.9), "mixed_weight": 0.2, "seconds": 0.1}
+
+
+@pytest.mark.parametrize("seed, cuts", [(1, [0, 3360]), (2, [0, 10, 33, 1000, 1001, 3360]), (3, [0, 3000, 3360])])
+def test_derivative_runtime_is_the_batch_signal(spark, tmp_path, seed, cuts):
+    """Bins that come in pieces, out of order and twice give the signal of the whole series."""
+    rng = np.random.default_rng(20260220)
+    rows = [("a", b, k, int(rng.integers(-2, 3))) for b in range(160) for k in range(-10, 11)]
+    schema = "series string, bin_seq bigint, k int, state5_code int"
+    want = signals.derivative(spark.createDataFrame(rows, schema), 10, **PARAMS).orderBy("bin_seq").collect()
+    order = np.random.default_rng(seed).permutation(len(rows)) if seed > 1 else range(len(rows))
+    mixed = [rows[i] for i in order]
+    batches = [mixed[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
+    df = source(spark, tmp_path, [*batches, batches[0][:50]], schema)
+    got = stream.to_table(runtime.derivatives(df, 10, **PARAMS), spark, "test-runtime").orderBy("bin_seq").collect()
+    assert [r.bin_seq for r in got] == list(range(160)) == [r.bin_seq for r in want]
+    assert np.abs([a.signal - b.signal for a, b in zip(got, want, strict=True)]).max() < 1e-12
+    assert [r.ready for r in got] == [b >= 7 for b in range(160)] and max(abs(r.signal) for r in got) > 0.1
+
+
+def test_runtime_waits_for_whole_bins(spark, tmp_path):
+    schema = "series string, bin_seq bigint, k int, state5_code int"
+    rows = [("a", b, k, 2 if k else None) for b in range(4) for k in (-1, 0, 1)] + [("b", 0, k, -1) for k in (-1, 0)] + [("a", 0, 7, 1)]
+    lost = [r for r in rows if r[:3] != ("a", 2, 0)]
+    got = stream.to_table(runtime.derivatives(source(spark, tmp_path, [lost], schema), 1), spark, "test-waits")
+    assert sorted((r.series, r.bin_seq, r.state5_code) for r in got.collect()) == [("a", 0, 2), ("a", 1, 2)]
+    assert got.filter("bin_seq = 0").first().base == pytest.approx(2 / 3)

@@ -14,7 +14,9 @@ from tidebook.operators import learned
 from tidebook.queries import sql as S
 from tidebook.queries.registry import query, shown
 from tidebook.sources import files, market
+from tidebook.queries.trading import _DER, forces
 from tidebook.streaming import bins as stream
+from tidebook.streaming import runtime
 
 R, HOLD = market.RADIUS, 60
 #: Windows for the some 700 bins of the test tables.
@@ -109,3 +111,12 @@ def stream_scores(spark: SparkSession, d: str) -> DataFrame:
     source = spark.readStream.schema(blocks.schema).parquet(os.path.dirname(blocks.inputFiles()[0]))
     scores = stream.carried(source, "k", "bin_seq", values, G.DEFAULT.z_window, G.score_kernel(), "flow_score double, flow_state_code tinyint")
     return shown(stream.to_table(scores, spark, "scores"), "bin_seq", "k", "flow_score", "flow_state_code")
+
+
+@query(f"WITH {S.FORCES}, {_DER} SELECT bin_seq, {S.rnd('signal')} FROM der")
+def stream_derivative(spark: SparkSession, d: str) -> DataFrame:
+    """The derivative signal from a stream of silver rows, of which a trigger sees a few files at a time."""
+    codes = forces(spark, d).select(F.lit("all").alias("series"), "bin_seq", "k", G.state5(F.col("k"), F.col("ask_reprice_sign"), F.col("bid_reprice_sign")).cast("int").alias("state5_code"))
+    rows = files.stored(codes.repartition(8, "bin_seq", "k"), "silver-states")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(os.path.dirname(rows.inputFiles()[0]))
+    return shown(stream.to_table(runtime.derivatives(source, R), spark, "derivative"), "bin_seq", "signal")
