@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.functions.scalar import tick
-from tidebook.operators import book, fold, joins, levels, quality
+from tidebook.operators import book, checkpoint, fold, joins, levels, quality
 from tidebook.queries import sql as S
 from tidebook.queries.registry import query, shown
 from tidebook.sources import files, market, mbo
+from tidebook.streaming.book import replayed
 
 DAY_US = 86_400_000_000
 MONTH = 30 * DAY_US
@@ -37,9 +40,13 @@ def changed(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     Order events have no clears, and all of an order are of one line, by which equal lines were numbered. So nothing is
     shuffled after that.
     """
-    first = files.stored(book.changes(numbered(spark, d), few=[], within=["order_key", "order_row"]), "book-changes")
-    t0 = first.agg(F.min("ts_ns")).first()[0] or 0
-    return first.withColumn("bin_seq", F.expr(f"(ts_ns - {t0}) div {MONTH * 1000}")), t0
+    return in_bins(files.stored(book.changes(numbered(spark, d), few=[], within=["order_key", "order_row"]), "book-changes"))
+
+
+def in_bins(c: DataFrame) -> tuple[DataFrame, int]:
+    """Stored changes with their bin, and the first time, from which bins count."""
+    t0 = c.agg(F.min("ts_ns")).first()[0] or 0
+    return c.withColumn("bin_seq", F.expr(f"(ts_ns - {t0}) div {MONTH * 1000}")), t0
 
 
 @query(f"WITH {S.ORDERS}, {_DEPTH} SELECT bin_seq, side, tick, depth FROM dp")
@@ -53,7 +60,10 @@ def best(c: DataFrame) -> DataFrame:
     return levels.best_prices(files.stored(levels.intervals(c), "book-intervals"), *((0, -1) if first is None else (first, last)))
 
 
-@query(f"WITH {S.ORDERS}, {_DEPTH} SELECT bin_seq, best_bid, best_ask, bid_depth, ask_depth, n_negative, spot FROM bs")
+_BEST = f"WITH {S.ORDERS}, {_DEPTH} SELECT bin_seq, best_bid, best_ask, bid_depth, ask_depth, n_negative, spot FROM bs"
+
+
+@query(_BEST)
 def book_best_prices(spark: SparkSession, d: str) -> DataFrame:
     c, _ = changed(spark, d)
     return best(c)
@@ -65,6 +75,32 @@ def depth_around_spot(spark: SparkSession, d: str) -> DataFrame:
     return levels.around_spot(c, best(c), 5)
 
 
+@query(_BEST)
+def restored_best_prices(spark: SparkSession, d: str) -> DataFrame:
+    """Best prices of a replay that stopped half way and was restored from the checkpoint that it left."""
+    events = files.stored(numbered(spark, d), "order-events")
+    half = (events.agg((F.min("seq") + F.max("seq")) / 2).first()[0]) or 0
+    before, path = events.filter(F.col("seq") <= int(half)), f"{files.scratch(spark)}/book-{uuid.uuid4().hex}"
+    checkpoint.save(before, path, "orders", "all")
+    after = checkpoint.changes(events, checkpoint.load(spark, path, "orders", "all"))
+    return best(in_bins(files.stored(book.changes(before).unionByName(after), "book-changes"))[0])
+
+
+@query(_BEST)
+def stream_best_prices(spark: SparkSession, d: str) -> DataFrame:
+    """Best prices of a stream of order events that comes in three pieces and is stopped after each."""
+    events, path = files.stored(numbered(spark, d), "order-events"), f"{files.scratch(spark)}/book-{uuid.uuid4().hex}"
+    first, last = events.agg(F.min("seq"), F.max("seq")).first()
+    first, last = first or 0, last or 0
+    cuts = [first - 1 + (last - first + 1) * i // 3 for i in range(4)]
+    found = None
+    for i, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        events.filter((F.col("seq") > a) & (F.col("seq") <= z)).write.parquet(f"{path}/in/{i}")
+        source = spark.readStream.schema(events.schema).option("recursiveFileLookup", True).parquet(f"{path}/in")
+        found = replayed(source, spark, f"{path}/out", "orders", "all")
+    return best(in_bins(found)[0])
+
+
 _ANCHORS = """sq AS (SELECT us * 2 + step AS seq, coalesce(sum(d) FILTER (side = 'B'), 0) AS b, coalesce(sum(d) FILTER (side = 'A'), 0) AS a, count(*) AS n FROM delta GROUP BY 1),
 rn AS (SELECT seq, sum(b) OVER w AS b, sum(a) OVER w AS a, sum(n) OVER w AS n FROM sq WINDOW w AS (ORDER BY seq)),
 ct AS (SELECT 'first' AS kind, min(seq) AS seq FROM rn WHERE b > 0 AND a > 0 UNION ALL SELECT 'again', min(seq) FROM rn WHERE b > 0 AND a > 0 AND n >= 1000),
