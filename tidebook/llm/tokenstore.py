@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebook.llm.common import shared_dir, small, stored
-from tidebook.llm.vector import G, mix, powers, texts
+from tidebook.llm.vector import G, mix, texts
 
 END = 2
 TAPS = 8
@@ -54,8 +54,6 @@ RARE = np.zeros(256, dtype=bool)
 RARE[:32] = RARE[[0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 RARE[10] = False
 
-CODES = mix((np.arange(256, dtype=np.uint64) + np.uint64(3)) * G) | np.uint64(1)
-
 
 class Encoder:
     """The ids of texts by a tokenizers file, with those of frequent pieces kept.
@@ -80,28 +78,26 @@ class Encoder:
     def clear(self) -> None:
         """No entries but one that no piece has."""
         self.n, self.slots = 1, np.zeros(SLOTS, np.int32)
-        self.keys, self.starts, self.sizes = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
         self.n_ids, self.ids = 0, np.empty(1 << 16, self.dtype)
-        self.at, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.at, self.lengths, self.heads = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.uint64)
         self.n_bytes, self.bytes = 0, np.zeros(1 << 16, np.uint8)
 
-    def same(self, data: np.ndarray, at: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Whether pieces at some starts of `data`, which has 8 bytes more at its end, are those of some entries."""
-        equal = self.lengths[place] == sizes
-        words, kept = (np.ndarray((len(x) - 7,), "<u8", x, 0, (1,)) for x in (data, self.bytes))
-        left, done = np.flatnonzero(equal), 0
+    def same(self, words: np.ndarray, at: np.ndarray, heads: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether pieces at some starts are those of some entries: by size and first 8 bytes, and by the others where there are more."""
+        equal = (self.heads[place] == heads) & (self.lengths[place] == sizes)
+        left, done, kept = np.flatnonzero(equal & (sizes > 8)), 8, packed(self.bytes)
         while len(left):
-            rest = np.minimum(sizes[left] - done, 8).astype(np.uint64)
-            differ = (words[at[left] + done] ^ kept[self.at[place[left]] + done]) << (np.uint64(64) - np.uint64(8) * rest)
-            equal[left[differ != 0]] = False
+            differ = cut(words[at[left] + done] ^ kept[self.at[place[left]] + done], sizes[left] - done) != 0
+            equal[left[differ]] = False
             done += 8
-            left = left[(differ == 0) & (sizes[left] > done)]
+            left = left[~differ & (sizes[left] > done)]
         return equal
 
     def encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def add(self, keys: np.ndarray, pieces: list[bytes]) -> int:
+    def add(self, keys: np.ndarray, heads: np.ndarray, pieces: list[bytes]) -> int:
         """Encode pieces and enter their ids; returns the number of the first entry."""
         plain = np.array([b"\n" not in x and not x.startswith(b"  ") and not x.endswith(b" ") for x in pieces], bool)
         words, rest = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
@@ -118,14 +114,14 @@ class Encoder:
         starts[order] = self.n_ids + np.cumsum(sizes[order]) - sizes[order]
         ids = np.concatenate([*ids, *others])
         first, end, end_ids = self.n, self.n + len(pieces), self.n_ids + len(ids)
-        self.keys, self.starts, self.sizes, self.ids = (grown(x, n) for x, n in ((self.keys, end), (self.starts, end), (self.sizes, end), (self.ids, end_ids)))
-        self.keys[first:end], self.starts[first:end], self.sizes[first:end], self.ids[self.n_ids : end_ids] = keys, starts, sizes, ids
+        self.starts, self.sizes, self.ids = (grown(x, n) for x, n in ((self.starts, end), (self.sizes, end), (self.ids, end_ids)))
+        self.starts[first:end], self.sizes[first:end], self.ids[self.n_ids : end_ids] = starts, sizes, ids
         lengths = np.array([len(x) for x in pieces], np.int64)
-        self.at, self.lengths, self.bytes = grown(self.at, end), grown(self.lengths, end), grown(self.bytes, self.n_bytes + int(lengths.sum()) + 8)
-        self.at[first:end], self.lengths[first:end] = self.n_bytes + np.cumsum(lengths) - lengths, lengths
+        self.at, self.lengths, self.heads, self.bytes = grown(self.at, end), grown(self.lengths, end), grown(self.heads, end), grown(self.bytes, self.n_bytes + int(lengths.sum()) + 8)
+        self.at[first:end], self.lengths[first:end], self.heads[first:end] = self.n_bytes + np.cumsum(lengths) - lengths, lengths, heads
         self.bytes[self.n_bytes : self.n_bytes + int(lengths.sum())] = np.frombuffer(b"".join(pieces), np.uint8)
         self.n_bytes += int(lengths.sum())
-        self.slots[(keys % np.uint64(SLOTS)).astype(np.int64)] = np.arange(first, end)
+        self.slots[(keys & np.uint64(SLOTS - 1)).view(np.int64)] = np.arange(first, end)
         self.n, self.n_ids = end, end_ids
         return first
 
@@ -144,25 +140,28 @@ class Encoder:
         first[:-1] |= after
         first[bounds[:-1]] = True
         at = np.flatnonzero(first)
-        since = np.arange(len(data), dtype=np.int32)
-        since -= np.maximum.accumulate(np.where(first, since, 0))
-        keys = mix(np.add.reduceat(CODES[data] * powers(int(since.max()) + 1)[since], at))
         if self.n > KEPT_PIECES or self.n_bytes > KEPT_BYTES:
             self.clear()
-        lengths = np.diff(at, append=len(data))
-        padded = np.concatenate([data, np.zeros(8, np.uint8)])
-        place = self.slots[(keys % np.uint64(SLOTS)).astype(np.int64)].astype(np.int64)
-        cut = lambda i: data[at[i] : at[i] + lengths[i]].tobytes()
+        lengths, words = np.diff(at, append=len(data)), packed(np.concatenate([data, np.zeros(8, np.uint8)]))
+        heads = cut(words[at], lengths)
         short = lengths <= LONG_PIECE
-        lost = np.flatnonzero(short & ((self.keys[place] != keys) | (place == 0) | ~self.same(padded, at, lengths, place)))
+        keys = mix(heads + lengths.astype(np.uint64) * G)
+        left, done = np.flatnonzero(short & (lengths > 8)), 8
+        while len(left):
+            keys[left] = mix(keys[left] * G + cut(words[at[left] + done], lengths[left] - done))
+            done += 8
+            left = left[lengths[left] > done]
+        place = self.slots[(keys & np.uint64(SLOTS - 1)).view(np.int64)].astype(np.int64)
+        piece = lambda i: data[at[i] : at[i] + lengths[i]].tobytes()
+        lost = np.flatnonzero(short & ~self.same(words, at, heads, lengths, place))
         if len(lost):
             new, where, which = np.unique(keys[lost], return_index=True, return_inverse=True)
-            place[lost] = which + self.add(new, [cut(i) for i in lost[where].tolist()])
+            place[lost] = which + self.add(new, heads[lost[where]], [piece(i) for i in lost[where].tolist()])
             # other pieces of one hash
-            short[lost] = self.same(padded, at[lost], lengths[lost], place[lost])
+            short[lost] = self.same(words, at[lost], heads[lost], lengths[lost], place[lost])
         alone = np.flatnonzero(~short)
         if len(alone):
-            place[alone] = np.arange(len(alone)) + self.add(keys[alone], [cut(i) for i in alone.tolist()])
+            place[alone] = np.arange(len(alone)) + self.add(keys[alone], heads[alone], [piece(i) for i in alone.tolist()])
         sizes = self.sizes[place].astype(np.int64)
         ids = self.ids[spread(self.starts[place], sizes)]
         ends = np.cumsum(sizes)[np.append(np.searchsorted(at, bounds[1:-1]), len(at)) - 1]
@@ -189,6 +188,16 @@ class Encoder:
         return out
 
 
+def packed(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each byte of some data on, as one number, but for the last 7."""
+    return np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+
+
+def cut(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Packed bytes of which only the first of some sizes count."""
+    return words << (np.uint64(64) - np.uint64(8) * np.minimum(sizes, 8).astype(np.uint64))
+
+
 def grown(x: np.ndarray, n: int) -> np.ndarray:
     """The array with room for n items."""
     return x if n <= len(x) else np.concatenate([x, np.empty(max(n - len(x), len(x)), x.dtype)])
