@@ -127,7 +127,8 @@ class Encoder:
 
     def looked_up(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of some non-empty texts that need not be encoded whole."""
-        data = np.frombuffer(b"".join(texts), np.uint8)
+        whole = b"".join(texts)
+        data = np.frombuffer(whole, np.uint8)
         bounds = np.cumsum([0] + [len(x) for x in texts])
         white = (data == 32) | (data == 10)
         first = np.ones(len(data), bool)
@@ -152,16 +153,16 @@ class Encoder:
             done += 8
             left = left[lengths[left] > done]
         place = self.slots[(keys & np.uint64(SLOTS - 1)).view(np.int64)].astype(np.int64)
-        piece = lambda i: data[at[i] : at[i] + lengths[i]].tobytes()
+        pieces = lambda i: [whole[a:z] for a, z in zip(at[i].tolist(), (at[i] + lengths[i]).tolist(), strict=True)]
         lost = np.flatnonzero(short & ~self.same(words, at, heads, lengths, place))
         if len(lost):
             new, where, which = np.unique(keys[lost], return_index=True, return_inverse=True)
-            place[lost] = which + self.add(new, heads[lost[where]], [piece(i) for i in lost[where].tolist()])
+            place[lost] = which + self.add(new, heads[lost[where]], pieces(lost[where]))
             # other pieces of one hash
             short[lost] = self.same(words, at[lost], heads[lost], lengths[lost], place[lost])
         alone = np.flatnonzero(~short)
         if len(alone):
-            place[alone] = np.arange(len(alone)) + self.add(keys[alone], heads[alone], [piece(i) for i in alone.tolist()])
+            place[alone] = np.arange(len(alone)) + self.add(keys[alone], heads[alone], pieces(alone))
         sizes = self.sizes[place].astype(np.int64)
         ids = self.ids[spread(self.starts[place], sizes)]
         ends = np.cumsum(sizes)[np.append(np.searchsorted(at, bounds[1:-1]), len(at)) - 1]
