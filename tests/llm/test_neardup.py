@@ -125,13 +125,51 @@ def test_one_bucket_of_many_components(spark, monkeypatch, many):
 
 def test_altered_copies_make_few_pairs(spark, monkeypatch):
     """Copies that can't be linked don't meet: pairs grow with the texts, not with their square."""
-    pairs, real = [], N.confirmed
-    monkeypatch.setattr(N, "confirmed", lambda p, s: pairs.append(p.count()) or real(p, s))
+    pairs = compared(monkeypatch)
     rows = altered(3, 300, (10, 24))
     N.grouped(spark.createDataFrame(rows, "doc_id bigint, text string"), 2).count()
     assert sum(pairs) < 5 * len(rows)
 
 
+def compared(monkeypatch):
+    """A list that gets the number of pairs of every comparison."""
+    pairs = []
+    for name in ("confirmed", "linked_by_deltas"):
+        real = getattr(N, name)
+        monkeypatch.setattr(N, name, lambda p, s, real=real: pairs.append(p.count()) or real(p, s))
+    return pairs
+
+
+@pytest.mark.parametrize("n", [150, 300])
+def test_copies_just_too_far_apart_make_few_pairs(spark, monkeypatch, n):
+    """Five altered words of 120 each: no two copies are linked, though all have most of the base in common."""
+    pairs, rng, rows = compared(monkeypatch), random.Random(n), []
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(120), 5):
+            words[at] = f"x{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    assert got(spark.createDataFrame(rows, "doc_id bigint, text string"), 2) == brute(rows, 2)[0]
+    assert sum(pairs) < 5 * n
+
+
+@pytest.mark.parametrize("levels, seed", [({}, 11), ({2: 25}, 12), ({2: 6, 4: 5}, 13), (N.LEVELS, 14)])
+def test_shared_differences_link(spark, monkeypatch, levels, seed):
+    """Copies too far from the base and from its nearest copy are linked by alterations that they share, or just not."""
+    monkeypatch.setattr(N, "LEVELS", levels)
+    rng, rows = random.Random(seed), []
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(80)]
+    for _ in range(12):
+        common = {rng.randrange(80): f"s{rng.randint(0, 10**6)}" for _ in range(rng.randint(4, 9))}
+        for _ in range(rng.randint(2, 5)):
+            words = list(base)
+            for at, w in (common | {rng.randrange(80): f"x{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 4))}).items():
+                words[at] = w
+            rows.append((len(rows), " ".join(words)))
+    assert got(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2), 2) == brute(rows, 2)[0]
+
+
 @pytest.mark.parametrize("bound, value", [("BROADCAST_ROWS", 0), ("FOREST_NODES", 2)])
 def test_bounds_change_nothing(spark, monkeypatch, bound, value):
     monkeypatch.setattr(N, bound, value)

@@ -8,13 +8,13 @@
 3. Pairs are confirmed on full sets, and components are formed: union-find inside each partition, then
    large-star and small-star joins until only stars are left.
 4. Two classes that share a bucket but not a component may still be linked. Classes that are joined by buckets
-   of several components are a group, and in each group a prefix filter finds the pairs: of a class, the
-   shingles that only one component has come first, then the rarest. A link needs so many common shingles
-   that the first of them stands among the first fifth of either class, and leaves enough behind it; so classes
-   meet only by shingles of these prefixes that several components have. Alterations that nobody shares make
-   no pairs, and no link between classes of a common bucket is lost.
+   of several components are a group. In each group a class is written as what it differs in from the group's
+   typical set, the shingles that most of its classes have. What sizes alone link is linked through the class
+   that differs least. All other links need common differences: a prefix filter over these, those of one
+   component first, then the rarest, finds the pairs, by two or four shingles at once where so many are needed. Neither what
+   all have in common nor what only one has makes pairs, and no link between classes of a common bucket is lost.
 5. While a group promises many more pairs than classes, a round pairs each of its classes with one leader of
-   its prefix shingles instead, and components grow; the pairs that are left after that are all compared.
+   its keys instead, and components grow; the pairs that are left after that are all compared.
 
 With 64 bands of 7 registers, a pair of similarity 0.8 has no common bucket with a probability below 1e-6.
 """
@@ -40,6 +40,13 @@ SIMILAR = 80
 MANY_PAIRS = 64
 #: Nodes that a task's union-find holds at once.
 FOREST_NODES = 1_000_000
+#: Parts that the rows of a group are dealt into where they meet the group's typical set.
+SALTS = 16
+#: So many shingles at once may be a key, if no more than so many places of a class come into question; else keys get too many.
+LEVELS = {2: 25, 4: 10}
+KEY, OTHER = ["grp", "ell", "token"], ["cid", "d", "w", "place", "level", "component"]
+#: Whether sizes alone link a class with its group's nearest one.
+NEAR = f"w + least <= {100 - SIMILAR} * l"
 
 
 def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -172,54 +179,111 @@ def mixed(rows: DataFrame, *key: str) -> DataFrame:
     return rows.join(several, list(key), "left_semi")
 
 
-def prefixes(sets: DataFrame, info: DataFrame) -> DataFrame:
-    """Stored: ``grp, token, cid, n, place``: the shingles by which classes of different components of a group can meet.
+def deltas(sets: DataFrame, info: DataFrame) -> DataFrame:
+    """Stored: ``grp, cid, component, score, l, d, w, delta``: a class as what it lacks of its group's typical set, and adds to it.
 
-    `info` is ``cid, grp, component, score``. A class's order of shingles is: those that no other component of the group
-    has, then the others by the number of classes that have them; ``place`` counts from 0. A pair of `n` and `m`
-    shingles needs ``SIMILAR / (100 + SIMILAR) * (n + m)`` common ones, and the partner has at least
-    ``SIMILAR / 100 * n``, so the first common one stands within the first fifth.
+    The typical set has the shingles that more than half of the group's classes have, `l` of them. With `r` of them
+    lacking and `p` others, two classes have ``l - r1 - r2 + o`` shingles in common, `o` being the common part of their
+    deltas; so they are linked just if ``(100 + SIMILAR) * o >= w1 + w2 - (100 - SIMILAR) * l``, where ``w`` is
+    ``100 * r + SIMILAR * p``. A group without typical shingles has whole sets as deltas.
     """
-    tokens = sets.join(info, "cid").select("grp", "component", "cid", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
-    shared = tokens.groupBy("grp", "token").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("grp", "token", "f")
-    own = tokens.drop("component").join(stored(shared, "minhash-shared"), ["grp", "token"])
-    own = own.groupBy("grp", "cid", "n").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("tokens"))
-    first = F.col("n") - F.size("tokens")
-    own = own.withColumn("skip", first).filter(100 * F.col("skip") <= (100 - SIMILAR) * F.col("n"))
-    own = own.select("grp", "cid", "n", "skip", F.posexplode("tokens").alias("i", "x")).select("grp", F.col("x.token").alias("token"), "cid", "n", (F.col("skip") + F.col("i")).alias("place"))
-    own = own.filter(100 * F.col("place") <= (100 - SIMILAR) * F.col("n"))
-    return stored(own.join(info.select("cid", "score"), "cid"), "minhash-prefixes")
+    sizes = stored(info.groupBy("grp").agg(F.count("*").alias("of")), "minhash-group-sizes")
+    counted = sets.join(info, "cid").select("grp", F.explode("shingles").alias("token")).groupBy("grp", "token").agg(F.count("*").alias("f"))
+    # the classes have at most twice their mean size of these
+    typical = counted.join(small(sizes, BROADCAST_ROWS), "grp").filter("2 * f > of").groupBy("grp").agg(F.collect_list("token").alias("typical"))
+    typical = stored(typical, "minhash-typical").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = sets.join(info, "cid").withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int")).join(typical, ["grp", "salt"], "left")
+    rows = rows.withColumn("typical", F.coalesce("typical", F.array().cast("array<bigint>")))
+    rows = rows.withColumn("lacks", F.array_except("typical", "shingles")).withColumn("adds", F.array_except("shingles", "typical"))
+    weight = 100 * F.size("lacks").cast("long") + SIMILAR * F.size("adds")
+    return stored(rows.select("grp", "cid", "component", "score", F.size("typical").alias("l"), (F.size("lacks") + F.size("adds")).alias("d"), weight.alias("w"), F.concat("lacks", "adds").alias("delta")), "minhash-deltas")
+
+
+def bounds(rows: DataFrame) -> DataFrame:
+    """Stored: ``grp, least, top, outer`` of the deltas: the group's least `w` and its class, and the least `w` of those too far from it.
+
+    Whatever two sizes link on their own, they link with this class too.
+    """
+    tops = stored(rows.groupBy("grp").agg(F.min(F.struct("w", "cid")).alias("top")).select("grp", F.col("top.w").alias("least"), F.col("top.cid").alias("top")), "minhash-tops")
+    outer = rows.join(small(tops, BROADCAST_ROWS), "grp").filter(f"not ({NEAR})").groupBy("grp").agg(F.min("w").alias("outer"))
+    return stored(tops.join(outer, "grp", "left"), "minhash-bounds")
 
 
-def may_link(other: str = "2") -> Column:
-    """Whether two prefix rows of a token, of different components, leave enough shingles behind it for a link."""
-    need = SIMILAR * (F.col("n") + F.col(f"n{other}"))
-    enough = ((100 + SIMILAR) * (F.col("n") - F.col("place")) >= need) & ((100 + SIMILAR) * (F.col(f"n{other}") - F.col(f"place{other}")) >= need)
-    return enough & (F.col("component") != F.col(f"component{other}"))
+def prefixes(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """Stored: ``grp, ell, token, cid, d, w, l, place, level, score``: by what classes of different components can meet.
+
+    Two classes that sizes alone don't link need common shingles in their deltas, and `limits` say how many at least
+    (`need`). A class's order of these is: those that no other component of the group has, then the others by the number of
+    deltas that have them. The first common one has `need` at and behind it, the second one less, and so on. So a class
+    has keys of one shingle and, up to its ``level``, of `ell` shingles at once, and a pair meets by keys of the lower of
+    its two levels. ``place`` counts what stands before a key's last shingle, less the others of the key.
+    """
+    far = rows.join(small(limits, BROADCAST_ROWS), "grp").filter("outer is not null")
+    need = F.ceil((F.col("w") + F.when(F.expr(NEAR), F.col("outer")).otherwise(F.col("least")) - (100 - SIMILAR) * F.col("l")) / (100 + SIMILAR))
+    far = far.withColumn("need", F.greatest(need.cast("int"), F.lit(1))).filter("d >= need")
+    tokens = far.select("grp", "component", "cid", "d", "w", "l", "need", "score", F.explode("delta").alias("token"))
+    shared = tokens.groupBy("grp", "token").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("grp", "token", "f")
+    own = tokens.drop("component").join(stored(shared, "minhash-shared"), ["grp", "token"])
+    own = own.groupBy("grp", "cid", "d", "w", "l", "need", "score").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("tokens"))
+    own = own.withColumn("skip", F.col("d") - F.size("tokens")).withColumn("first", F.size("tokens") - F.col("need") + 1).filter("first > 0")
+    level = F.lit(1)
+    for ell, places in sorted(LEVELS.items()):
+        level = F.when((F.col("need") >= ell) & (F.col("first") + ell - 1 <= places), ell).otherwise(level)
+    own = own.withColumn("level", level)
+    token = lambda i: F.element_at("tokens", i + 1)["token"]
+    none = F.array().cast("array<struct<ell:int,token:bigint,place:int>>")
+
+    def keys(ell: int, chosen: tuple[Column, ...] = (), after: Column | None = None) -> Column:
+        """The keys of `ell` shingles, in order, that begin with the chosen ones."""
+        last = F.col("first") - 1 + len(chosen)
+        start = F.lit(0) if after is None else after + 1
+        places = F.sequence(start, last) if after is None else F.when(start <= last, F.sequence(start, last)).otherwise(F.array().cast("array<int>"))
+        if len(chosen) < ell - 1:
+            return F.flatten(F.transform(places, lambda i: keys(ell, (*chosen, token(i)), i)))
+        value = lambda i: F.xxhash64(*chosen, token(i)) if chosen else token(i)
+        return F.transform(places, lambda i: F.struct(F.lit(ell).alias("ell"), value(i).alias("token"), (F.col("skip") + i - len(chosen)).cast("int").alias("place")))
+
+    every = F.concat(keys(1), *[F.when(F.col("level") >= ell, keys(ell)).otherwise(none) for ell in sorted(LEVELS)])
+    return stored(own.select("grp", "cid", "d", "w", "l", "score", "level", F.explode(every).alias("x")).select("grp", "x.*", "cid", "d", "w", "l", "score", "level"), "minhash-prefixes")
+
+
+def may_link() -> Column:
+    """Whether two prefix rows of a key, of different components, leave enough shingles behind it for a link."""
+    most = F.least(F.col("d") - F.col("place"), F.col("d2") - F.col("place2"))
+    return ((100 + SIMILAR) * most >= F.col("w") + F.col("w2") - (100 - SIMILAR) * F.col("l")) & (F.col("component") != F.col("component2"))
 
 
 def met(rows: DataFrame) -> DataFrame:
-    """``a, b`` of all pairs of classes that meet by a prefix token and may be linked; a < b."""
-    other = rows.select("grp", "token", *[F.col(c).alias(f"{c}2") for c in ("cid", "n", "place", "component")])
-    return rows.join(other, ["grp", "token"]).filter(may_link() & (F.col("cid") < F.col("cid2"))).select(F.col("cid").alias("a"), F.col("cid2").alias("b")).distinct()
+    """``a, b`` of all pairs of classes that meet by a key and may be linked; a < b."""
+    other = rows.select(*KEY, *[F.col(c).alias(f"{c}2") for c in OTHER])
+    pairs = rows.filter("level = ell").join(other, KEY).filter(may_link())
+    return pairs.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct()
 
 
 def led_pairs(rows: DataFrame) -> DataFrame:
-    """``a, b``: each class with the foremost leader of its prefix tokens, if it may be linked with one."""
-    top = F.max(F.struct("score", "cid", "n", "place", "component")).alias("top")
-    leaders = rows.groupBy("grp", "token").agg(top).select("grp", "token", F.col("top.score").alias("score2"), *[F.col(f"top.{c}").alias(f"{c}2") for c in ("cid", "n", "place", "component")])
-    pairs = rows.join(leaders, ["grp", "token"]).filter(may_link())
+    """``a, b``: each class with the foremost leader of its keys, if it may be linked with one."""
+    leaders = rows.groupBy(*KEY).agg(F.max(F.struct("score", *OTHER)).alias("top")).select(*KEY, F.col("top.score").alias("score2"), *[F.col(f"top.{c}").alias(f"{c}2") for c in OTHER])
+    pairs = rows.join(leaders, KEY).filter(may_link())
     return pairs.groupBy("cid").agg(F.max(F.struct("score2", "cid2")).alias("top")).select(F.least("cid", "top.cid2").alias("a"), F.greatest("cid", "top.cid2").alias("b")).distinct()
 
 
 def crowded(rows: DataFrame) -> bool:
-    """Whether the pairs of different components that share a token are more than `MANY_PAIRS` a class."""
-    per = rows.groupBy("grp", "token", "component").agg(F.count("*").cast("double").alias("c"))
-    keys = per.groupBy("grp", "token").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
-    found = keys.agg(F.sum("pairs")).first()[0] or 0
+    """Whether the pairs of different components that meet by a key are more than `MANY_PAIRS` a class."""
+    apart = (F.col("level") > F.col("ell")).cast("double")  # these meet each other by longer keys
+    per = rows.groupBy(*KEY, "component").agg(F.count("*").cast("double").alias("c"), F.sum(apart).alias("p"))
+    pairs = lambda x: (F.sum(x) * F.sum(x) - F.sum(F.col(x) * F.col(x))) / 2
+    found = per.groupBy(*KEY).agg((pairs("c") - pairs("p")).alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
     return found > MANY_PAIRS * rows.select("cid").distinct().count()
 
 
+def linked_by_deltas(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Stored: ``a, b, linked`` of pairs of a group: the exact condition, from what the two differ in from the typical set."""
+    side = lambda x: rows.select(F.col("cid").alias(x), F.col("delta").alias(f"s{x}"), F.col("w").alias(f"w{x}"), *["l"] * (x == "a"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    holds = (100 + SIMILAR) * F.size(F.array_intersect("sa", "sb")) >= F.col("wa") + F.col("wb") - (100 - SIMILAR) * F.col("l")
+    return stored(both.select("a", "b", holds.alias("linked")), "minhash-compared")
+
+
 def rest_linked(docs: DataFrame, members: DataFrame, nodes: DataFrame, links: DataFrame, labels: DataFrame, size: int) -> DataFrame:
     """The components, with the links between classes of a bucket that have not met yet."""
     open_ = stored(mixed(with_component(members, labels), "key").select("cid", F.col("top.cid").alias("leader"), "component", "score").distinct(), "minhash-mixed")
@@ -228,27 +292,30 @@ def rest_linked(docs: DataFrame, members: DataFrame, nodes: DataFrame, links: Da
     groups = components(open_.filter("cid != leader").select(F.greatest("cid", "leader").alias("a"), F.least("cid", "leader").alias("b")).distinct())
     info = open_.select("cid", "component", "score").distinct().join(groups.withColumnRenamed("component", "grp"), "cid")
     info = stored(info, "minhash-groups-of")
-    sets = full_sets(docs, nodes.join(info, "cid", "left_semi"), size)
-    found, seen = prefixes(sets, info), None
+    differ = deltas(full_sets(docs, nodes.join(info, "cid", "left_semi"), size), info)
+    limits = bounds(differ)
+    links = links.unionByName(differ.join(small(limits, BROADCAST_ROWS), "grp").filter(F.expr(NEAR) & (F.col("cid") != F.col("top"))).select(F.col("cid").alias("a"), F.col("top").alias("b")))
+    labels = components(links)
+    found, seen = prefixes(with_component(differ.drop("component"), labels), limits), None
     while True:
-        rows = stored(mixed(with_component(found, labels), "grp", "token"), "minhash-rows-open")
+        rows = stored(mixed(with_component(found, labels), *KEY), "minhash-rows-open")
         if rows.isEmpty():
             return labels
         last = not crowded(rows)
-        pairs = met(rows) if last else led_pairs(rows)
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        compared = confirmed(stored(pairs, "minhash-met"), sets)
-        fresh = linked(compared)
-        if fresh.isEmpty() and not last:
-            pairs = met(rows)
+        while True:
+            pairs = met(rows) if last else led_pairs(rows)
+            if seen is not None:
+                pairs = pairs.join(seen, ["a", "b"], "left_anti")
+            compared = linked_by_deltas(stored(pairs, "minhash-met"), differ)
             seen = compared.select("a", "b") if seen is None else seen.unionByName(compared.select("a", "b"))
-            fresh, last = linked(confirmed(stored(pairs.join(seen, ["a", "b"], "left_anti"), "minhash-met"), sets)), True
+            fresh = compared.filter("linked").select("a", "b")
+            if last or not fresh.isEmpty():
+                break
+            last = True  # leaders have found nothing more
         links = links.unionByName(fresh)
         labels = components(links)
         if last:
             return labels
-        seen = compared.select("a", "b") if seen is None else seen.unionByName(compared.select("a", "b"))
 
 
 def labelled(docs: DataFrame, size: int) -> DataFrame:
