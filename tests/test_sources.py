@@ -139,3 +139,26 @@ def test_a_cluster_needs_a_shared_folder():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch(Bare(conf={}, sparkContext=context))
     assert scratch(Bare(conf={"spark.checkpoint.dir": "hdfs:/x/"}, sparkContext=context)) == "hdfs:/x"
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_interpolated(spark, block):
+    """Against a line through the neighbours by hand: exact hits, ends, nulls and keys without a partner."""
+    import bisect
+    import random
+
+    rng = random.Random(4)
+    known = {k: sorted({rng.randrange(60): rng.choice([None, rng.random(), rng.random()]) for _ in range(20)}.items()) for k in "ab"}
+    asked = [(i, rng.choice("abc"), rng.randrange(-3, 63)) for i in range(200)]
+
+    def line(k, t):
+        rows = known.get(k, [])
+        times = [x for x, _ in rows]
+        lo, hi = bisect.bisect_right(times, t) - 1, bisect.bisect_left(times, t)
+        if lo < 0 or hi == len(rows) or rows[lo][1] is None or rows[hi][1] is None:
+            return None
+        return rows[lo][1] if lo == hi else rows[lo][1] + (rows[hi][1] - rows[lo][1]) * (t - times[lo]) / (times[hi] - times[lo])
+
+    right = spark.createDataFrame([(k, t, v) for k, rows in known.items() for t, v in rows], "key string, at bigint, v double")
+    got = joins.interpolated(spark.createDataFrame(asked, "i int, key string, t bigint"), right, ["key"], "t", "at", ["v"], block).collect()
+    assert {r.i: r.v_at for r in got} == pytest.approx({i: line(k, t) for i, k, t in asked}, abs=1e-12)

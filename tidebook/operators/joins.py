@@ -74,3 +74,22 @@ def dense(df: DataFrame, row: str, position: str, radius: int, value: str | Colu
     near = df.filter(F.col(position).between(-radius, radius))
     entries = near.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(F.col(position).cast("int"), x.cast("double")))).alias("_m"))
     return entries.select(row, F.transform(F.sequence(F.lit(-radius), F.lit(radius)), lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(0.0))).alias("values"))
+
+
+def interpolated(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, columns: Sequence[str], block: int) -> DataFrame:
+    """Each row of `left` with `columns` read off the line between its two neighbours in time in `right`, as doubles.
+
+    A row at the very time of a neighbour has its values. Beyond the first and the last row of `right`, or beside a
+    null, the result is null. The neighbour behind is found as the one before is, with time running backwards.
+    """
+    values = right.select(*keys, *[F.col(c).cast("double").alias(f"_{c}") for c in columns], F.col(right_time).alias("_at"), (-F.col(right_time)).alias("_back"))
+    asked, taken = left.withColumn("_ask", -F.col(left_time)), ["_at", *[f"_{c}" for c in columns]]
+
+    def beside(df: DataFrame, ask: str, time: str, name: str) -> DataFrame:
+        found = as_of(df, values, keys, ask, time, taken, block)
+        return found.withColumnsRenamed({f"{c}_at": f"{c}_{name}" for c in taken})
+
+    both = beside(beside(asked, left_time, "_at", "lo"), "_ask", "_back", "hi")
+    share = (F.col(left_time) - F.col("_at_lo")) / (F.col("_at_hi") - F.col("_at_lo"))
+    line = lambda c: F.when(F.col("_at_lo") == F.col("_at_hi"), F.col(f"_{c}_lo")).otherwise(F.col(f"_{c}_lo") + (F.col(f"_{c}_hi") - F.col(f"_{c}_lo")) * share)
+    return both.select(*left.columns, *[line(c).alias(f"{c}_at") for c in columns])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions import scalar
 from tidebook.functions.quantiles import percentiles
-from tidebook.operators import serving
+from tidebook.operators import joins, projection, serving
 from tidebook.plans import features, sweep
 from tidebook.queries import sql as S
 from tidebook.queries.registry import query, shown
@@ -146,6 +146,28 @@ def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
     return shown(df)
 
 
+@query(f"""WITH {S.LATTICE}, full_bins AS (SELECT bin_seq, mid_price FROM bins WHERE bin_event_count > 0)
+SELECT b.bin_seq, round(l.mid_price + (r.mid_price - l.mid_price) * (b.bin_seq + 5e-1 - l.bin_seq) / (r.bin_seq - l.bin_seq), 6) AS half_past
+FROM bins b ASOF LEFT JOIN full_bins l ON b.bin_seq >= l.bin_seq ASOF LEFT JOIN full_bins r ON b.bin_seq < r.bin_seq""")
+def sampled_history(spark: SparkSession, d: str) -> DataFrame:
+    """The mid price at half past of every bin, on the line between the neighbouring bins that have events."""
+    bins = market.bins(spark, d)
+    known = bins.filter("bin_event_count > 0").select((2 * F.col("bin_seq")).alias("at"), "mid_price")
+    asked = bins.select("bin_seq", (2 * F.col("bin_seq") + 1).alias("half"))
+    return shown(joins.interpolated(asked, known, [], "half", "at", ["mid_price"], 8192).select("bin_seq", F.col("mid_price_at").alias("half_past")))
+
+
+@query(f"""WITH {S.LATTICE}, s AS (SELECT bin_seq, 4 * mid_price AS spot, (best_bid + best_ask - 200 * mid_price) / (best_ask - best_bid + 1) AS signal FROM bins WHERE bin_event_count > 0),
+h AS (SELECT * FROM (VALUES (1, 6e0, 5e-1), (2, 10e0, 4e-1), (3, 13e0, 35e-2), (4, 16e0, 3e-1)) AS v(horizon, spread, alpha)), c AS (SELECT bin_seq, horizon, spot - signal * spread AS centre, alpha FROM s CROSS JOIN h)
+SELECT bin_seq, CAST(horizon AS INTEGER) AS horizon, round(centre, 6) AS centre, round(centre - 4, 6) AS low, round(centre + 4, 6) AS high, round(alpha, 6) AS alpha FROM c""")
+def projected_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Places of the spot one to four bins ahead, by the skew of a bin's values between its best prices."""
+    mid = F.col("mid_price")
+    skew = (F.col("best_bid") + F.col("best_ask") - 200 * mid) / (F.col("best_ask") - F.col("best_bid") + 1)
+    rows = market.bins(spark, d).filter("bin_event_count > 0").select("bin_seq", (4 * mid).alias("spot"), skew.alias("signal"))
+    return shown(projection.projected(rows, "spot", "signal"), "bin_seq", "horizon", "centre", "low", "high", "alpha")
+
+
 # ---- the feature graph
 
 SPEC = {
