@@ -139,8 +139,14 @@ def stars(links: DataFrame) -> bool:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Stored: ``cid, component`` of all nodes with links; the component is its smallest node."""
+    """Stored: ``cid, component`` of all nodes with links; the component is its smallest node.
+
+    Each task's links become a forest, then so many tasks' forests together as have some `FOREST_NODES` links in all.
+    Trees that are still in several tasks are joined by large and small stars.
+    """
     links = stored(links.mapInArrow(_forest, "a bigint, b bigint"), "links")
+    links = links.coalesce(1 + links.count() // FOREST_NODES)
+    links = stored(links.mapInArrow(_forest, "a bigint, b bigint"), "links-merged")
     while not stars(links):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "links-least")
