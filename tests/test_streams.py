@@ -129,3 +129,14 @@ def test_runtime_waits_for_whole_bins(spark, tmp_path):
     got = stream.to_table(runtime.derivatives(source(spark, tmp_path, [lost], schema), 1), spark, "test-waits")
     assert sorted((r.series, r.bin_seq, r.state5_code) for r in got.collect()) == [("a", 0, 2), ("a", 1, 2)]
     assert got.filter("bin_seq = 0").first().base == pytest.approx(2 / 3)
+
+
+def test_finished_stream_of_flat_scores_is_the_batch_signal(spark, tmp_path):
+    """A series that rarely moves has robust scores of 0 throughout; its scores are by mean and deviation then."""
+    schema = "series string, bin_seq bigint, k int, state5_code int"
+    rows = [("a", b, k, 2 if b in (30, 31, 70) else 0) for b in range(90) for k in range(-1, 2)]
+    want = signals.derivative(spark.createDataFrame(rows, schema), 1, z_window=20, z_min=5).orderBy("bin_seq").collect()
+    written = stream.to_table(runtime.derivatives(source(spark, tmp_path, [rows[:100], rows[100:]], schema), 1, z_window=20, z_min=5), spark, "test-flat")
+    assert written.filter("signal <> 0").isEmpty()
+    got = runtime.finished(written).orderBy("bin_seq").collect()
+    assert np.abs([a.signal - b.signal for a, b in zip(got, want, strict=True)]).max() < 1e-12 < max(abs(r.signal) for r in want)
