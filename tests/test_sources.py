@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidebook.operators import joins, quality, serving
 from tidebook.schemas import FLAG_SNAPSHOT, NO_PRICE
-from tidebook.sources import files, mbo, wire
+from tidebook.sources import files, market, mbo, wire
 from tidebook.streaming import bins as stream
 
 
@@ -162,3 +162,13 @@ def test_interpolated(spark, block):
     right = spark.createDataFrame([(k, t, v) for k, rows in known.items() for t, v in rows], "key string, at bigint, v double")
     got = joins.interpolated(spark.createDataFrame(asked, "i int, key string, t bigint"), right, ["key"], "t", "at", ["v"], block).collect()
     assert {r.i: r.v_at for r in got} == pytest.approx({i: line(k, t) for i, k, t in asked}, abs=1e-12)
+
+
+def test_order_events_in_bounded_tasks(spark, small_dir, monkeypatch):
+    """Many lines make more tasks than the session's number of partitions, with the same events."""
+    few = market.order_events(spark, small_dir)
+    monkeypatch.setattr(market, "TASK_LINES", 500)
+    many = market.order_events(spark, small_dir)
+    lines = market.table(spark, small_dir, "lineitem").count()
+    assert many.rdd.getNumPartitions() == -(-lines // 500) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert many.exceptAll(few).isEmpty() and few.exceptAll(many).isEmpty()

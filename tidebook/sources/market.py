@@ -16,6 +16,9 @@ from tidebook.functions.chunks import over_chunks
 
 RADIUS = 5
 HOUR_US = 3_600_000_000
+#: Order lines of a task, beyond the lines that the session's own number of partitions takes. A line is sorted with its
+#: order and once a window, its two events too, which takes some 1,200 bytes a line (290 MB a task as measured).
+TASK_LINES = 250_000
 #: Bins count as a tenth of a second wherever derivatives ask for time.
 SECONDS = 0.1
 CENTS = {"add": ("click", "view"), "pull": ("error",), "fill": ("purchase",), "signup": ("signup",)}
@@ -99,12 +102,15 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lifecycles: ``ts_ns, step, action, side, tick, price_int, size, order_id, flags, order_key, order_row``, two rows per line.
 
     A line is added at the earlier of its order and ship date and ends at the later one: cancelled (R), filled
-    (A) or half filled (N). Line keys repeat, so an order id is a hash of all columns and of the number of the row
+    (A) or half filled (N). The lines of an order stay together in tasks of a bounded size. Line keys repeat, so an order id is a hash of all columns and of the number of the row
     among equal ones; equal rows have one order key, so they are numbered where the join has brought them. Ties in
     time put additions first.
     """
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
     columns = sorted(lines.columns)
+    parts = -(-lines.count() // TASK_LINES)
+    if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        lines = lines.repartition(parts, "l_orderkey")
     number = F.row_number().over(Window.partitionBy("l_orderkey", "row").orderBy(F.lit(0)))
     df = lines.withColumn("row", F.xxhash64(*columns)).join(orders, "l_orderkey").withColumn("copy", number)
     df = df.select(
