@@ -83,3 +83,17 @@ def test_stream_in_any_cut(spark, events, whole, tmp_path, cuts):
         source = spark.readStream.schema(events.schema).option("recursiveFileLookup", True).parquet(f"file://{tmp_path}/in")
         found = replayed(source, spark, f"file://{tmp_path}/out", "feed", "day")
     assert changes_of(found) == whole
+
+
+def test_advance_is_save_and_changes_from_states_found_once(spark, tmp_path, monkeypatch):
+    events = spark.createDataFrame(random_events(300, 5), COLUMNS)
+    early, late = events.filter("seq <= 140"), events.filter("seq > 140")
+    first, moved = checkpoint.advance(early, f"{tmp_path}/a", "x", "d")
+    assert sorted(moved.collect()) == sorted(checkpoint.changes(early, None).collect())
+    want = sorted(checkpoint.changes(late, first).collect())
+    kept = checkpoint.save(late, f"{tmp_path}/b", "x", "d", first)
+    found, of = [], book.order_states
+    monkeypatch.setattr(book, "order_states", lambda *a, **k: found.append(1) or of(*a, **k))
+    again, moved = checkpoint.advance(late, f"{tmp_path}/c", "x", "d", first)
+    assert sorted(moved.collect()) == want and len(found) == 1
+    assert sorted(again.orders.collect()) == sorted(kept.orders.collect()) == sorted(book.resting(events).select(*again.orders.columns).collect())

@@ -53,6 +53,8 @@ def book_valid(events: DataFrame) -> DataFrame:
 def order_states(events: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """Events with ``qty`` and ``at_side, at_tick`` of their order afterwards and ``was_*`` before (null or 0: not there).
 
+    ``newest`` is the last event of an order in its epoch.
+
     `within` are columns of which an order has one value; events that are partitioned by them aren't shuffled.
 
     Add and modify set the order, cancel removes all of it whatever size it names, fill takes at most what is
@@ -69,7 +71,8 @@ def order_states(events: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     df = df.withColumn("qty", F.greatest(base - F.col("_f") + before, F.lit(0)))
     for x in ("side", "tick"):
         df = df.withColumn(f"at_{x}", F.last(F.when(sets, F.col(x)), ignorenulls=True).over(running))
-    return df.withColumns({f"was_{x}": F.lag(y).over(by_order) for x, y in (("qty", "qty"), ("side", "at_side"), ("tick", "at_tick"))}).drop("_f")
+    before = {f"was_{x}": F.lag(y).over(by_order) for x, y in (("qty", "qty"), ("side", "at_side"), ("tick", "at_tick"))}
+    return df.withColumns(before | {"newest": F.lead(F.lit(True)).over(by_order).isNull()}).drop("_f")
 
 
 def changes(events: DataFrame, few: list[int] | None = None, within: Sequence[str] = ()) -> DataFrame:
@@ -81,8 +84,11 @@ def changes(events: DataFrame, few: list[int] | None = None, within: Sequence[st
     events where they are known, else they are looked up; `within` as in `order_states`.
     """
     few = clears(events) if few is None else few
-    events = with_epochs(events, few)
-    s = order_states(events, within)
+    return state_changes(order_states(with_epochs(events, few), within), few)
+
+
+def state_changes(s: DataFrame, few: list[int] | None = None) -> DataFrame:
+    """`changes` from what `order_states` returns; `few` are the numbers of the clearing events if they are known."""
     known = F.coalesce(F.col("was_qty") > 0, F.lit(False))
     zero = F.lit(0).cast("long")
 
@@ -105,19 +111,24 @@ def changes(events: DataFrame, few: list[int] | None = None, within: Sequence[st
     found = s.select("seq", "ts_ns", F.explode(rows).alias("r")).select("seq", "ts_ns", "r.*")
     if few == []:
         return found
-    ends = events.filter("action = 'R'").select((F.col("epoch") - 1).alias("epoch"), F.col("seq").alias("at"), F.col("ts_ns").alias("at_ns"))
-    last = s.groupBy("order_id", "epoch").agg(F.max_by(F.struct("qty", "at_side", "at_tick"), "seq").alias("z")).filter("z.qty > 0")
-    gone = last.join(ends, "epoch").select(F.col("at").alias("seq"), F.col("at_ns").alias("ts_ns"), F.col("z.at_side").alias("side"), F.col("z.at_tick").cast("int").alias("tick"), (-F.col("z.qty")).cast("long").alias("d_depth"), *[zero.alias(x) for x in ("add", "pull", "fill")], F.lit(False).alias("touched"))
+    ends = s.filter("action = 'R'").select((F.col("epoch") - 1).alias("epoch"), F.col("seq").alias("at"), F.col("ts_ns").alias("at_ns"))
+    gone = s.filter("newest and qty > 0").select("epoch", "qty", "at_side", "at_tick").join(ends, "epoch").select(F.col("at").alias("seq"), F.col("at_ns").alias("ts_ns"), F.col("at_side").alias("side"), F.col("at_tick").cast("int").alias("tick"), (-F.col("qty")).cast("long").alias("d_depth"), *[zero.alias(x) for x in ("add", "pull", "fill")], F.lit(False).alias("touched"))
     return found.unionByName(gone)
 
 
 def resting(events: DataFrame) -> DataFrame:
     """Orders still in the book at the end: ``order_id, side, tick, qty``; the checkpoint of a replay."""
-    events = with_epochs(events, clears(events))
-    s = order_states(events)
-    newest = events.agg(F.max("epoch").alias("epoch"))
-    last = s.groupBy("order_id", "epoch").agg(F.max_by(F.struct("qty", "at_side", "at_tick"), "seq").alias("z"))
-    return last.join(F.broadcast(newest), "epoch").filter("z.qty > 0").select("order_id", F.col("z.at_side").alias("side"), F.col("z.at_tick").alias("tick"), F.col("z.qty").alias("qty"))
+    few = clears(events)
+    events = with_epochs(events, few)
+    return state_resting(order_states(events), events if few is None else few)
+
+
+def state_resting(s: DataFrame, few: list[int] | DataFrame) -> DataFrame:
+    """`resting` from what `order_states` returns; `few` are the clears, or rows with all epochs where these are many."""
+    newest = F.broadcast(few.agg(F.max("epoch").alias("epoch"))) if isinstance(few, DataFrame) else None
+    last = s.filter("newest and qty > 0")
+    last = last.filter(F.col("epoch") == len(few)) if newest is None else last.join(newest, "epoch")
+    return last.select("order_id", F.col("at_side").alias("side"), F.col("at_tick").alias("tick"), "qty")
 
 
 def depth(changed: DataFrame, bins: DataFrame) -> DataFrame:

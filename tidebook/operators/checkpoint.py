@@ -17,6 +17,7 @@ from tidebook.operators import book
 from tidebook.schemas import FLAG_SNAPSHOT
 from tidebook.sources.files import stored
 
+COLUMNS = ["seq", "ts_ns", "action", "side", "tick", "size", "order_id", "flags"]
 ORDERS = "order_id long, side string, tick int, qty long"
 MANIFEST = "source string, day string, last_seq long, last_ns long, n_orders long, digest string, best_bid int, best_ask int, valid boolean"
 
@@ -42,9 +43,12 @@ def _summary(orders: DataFrame) -> dict:
     return orders.agg(F.count("*").alias("n_orders"), F.coalesce(F.sum(row), F.lit(0)).cast("string").alias("digest"), F.max(side("B")).cast("int").alias("best_bid"), F.min(side("A")).cast("int").alias("best_ask")).first().asDict()
 
 
-def valid_after(events: DataFrame, start: Checkpoint | None) -> bool:
-    """Whether the book is valid after the events: not inside a snapshot, be it one that the checkpoint left open."""
-    if events.filter("action = 'R'").isEmpty() and (start is None or start.valid):
+def valid_after(events: DataFrame, start: Checkpoint | None, few: list[int] | None = None) -> bool:
+    """Whether the book is valid after the events: not inside a snapshot, be it one that the checkpoint left open.
+
+    `few` are the numbers of the clearing events where they are known.
+    """
+    if (events.filter("action = 'R'").isEmpty() if few is None else not few) and (start is None or start.valid):
         return True
     rows = seeded(events, start).select("seq", "action", "flags")
     if start is not None:
@@ -56,15 +60,23 @@ def valid_after(events: DataFrame, start: Checkpoint | None) -> bool:
 
 def save(events: DataFrame, path: str, source: str, day: str, start: Checkpoint | None = None) -> Checkpoint:
     """Write the checkpoint after `events`, which continue `start` (kept elsewhere) if there is one. What was at `path` is replaced."""
+    return advance(events, path, source, day, start)[0]
+
+
+def advance(events: DataFrame, path: str, source: str, day: str, start: Checkpoint | None = None) -> tuple[Checkpoint, DataFrame]:
+    """`save`, and what `changes` returns. Orders go through their windows once, and both are read from their states."""
     spark, known = events.sparkSession, seeded(events, start)
-    book.resting(known).write.mode("overwrite").parquet(f"{path}/orders")
+    few = book.clears(known)
+    known = stored(book.order_states(book.with_epochs(known, few)), "order-states")
+    book.state_resting(known, known if few is None else few).write.mode("overwrite").parquet(f"{path}/orders")
     orders = spark.read.schema(ORDERS).parquet(f"{path}/orders")
     last = known.agg(F.max(F.struct("seq", "ts_ns")).alias("z")).select("z.*").first()
     seq, ns = (last["seq"], last["ts_ns"]) if last["seq"] is not None else (start.last_seq, start.last_ns) if start else (-1, 0)
-    found, valid = _summary(orders), valid_after(events, start)
+    found, valid = _summary(orders), valid_after(events, start, few)
     row = (source, day, seq, ns, found["n_orders"], found["digest"], found["best_bid"], found["best_ask"], valid)
     spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
-    return Checkpoint(source, day, seq, ns, found["best_bid"], found["best_ask"], valid, orders)
+    moved = book.state_changes(known, few)
+    return Checkpoint(source, day, seq, ns, found["best_bid"], found["best_ask"], valid, orders), moved if start is None else moved.filter(F.col("seq") > start.last_seq)
 
 
 def load(spark: SparkSession, path: str, source: str, day: str, last_seq: int | None = None) -> Checkpoint:
@@ -85,18 +97,17 @@ def load(spark: SparkSession, path: str, source: str, day: str, last_seq: int |
 
 def seeded(events: DataFrame, start: Checkpoint | None) -> DataFrame:
     """The events after a checkpoint, and its orders as additions before them; without a checkpoint all events."""
-    columns = ["seq", "ts_ns", "action", "side", "tick", "size", "order_id", "flags"]
     if start is None:
-        return events.select(*columns)
+        return events.select(*COLUMNS)
     seeds = start.orders.select(F.lit(start.last_seq).cast("long").alias("seq"), F.lit(start.last_ns).cast("long").alias("ts_ns"), F.lit("A").alias("action"), "side", "tick", F.col("qty").alias("size"), "order_id", F.lit(0).alias("flags"))
-    return seeds.unionByName(events.select(*columns).filter(F.col("seq") > start.last_seq))
+    return seeds.unionByName(events.select(*COLUMNS).filter(F.col("seq") > start.last_seq))
 
 
 def changes(events: DataFrame, start: Checkpoint | None, within: Sequence[str] = ()) -> DataFrame:
     """What `book.changes` of the whole replay has after the checkpoint."""
     if start is None:
         return book.changes(events, within=within)
-    return book.changes(stored(seeded(events, start), "seeded")).filter(F.col("seq") > start.last_seq)
+    return book.changes(seeded(events, start)).filter(F.col("seq") > start.last_seq)
 
 
 def depth(start: Checkpoint) -> DataFrame:

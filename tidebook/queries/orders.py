@@ -78,18 +78,18 @@ def depth_around_spot(spark: SparkSession, d: str) -> DataFrame:
 @query(_BEST)
 def restored_best_prices(spark: SparkSession, d: str) -> DataFrame:
     """Best prices of a replay that stopped half way and was restored from the checkpoint that it left."""
-    events = files.stored(numbered(spark, d), "order-events")
+    events = files.stored(numbered(spark, d).select(*checkpoint.COLUMNS), "order-events")
     half = (events.agg((F.min("seq") + F.max("seq")) / 2).first()[0]) or 0
     before, path = events.filter(F.col("seq") <= int(half)), f"{files.scratch(spark)}/book-{uuid.uuid4().hex}"
-    checkpoint.save(before, path, "orders", "all")
+    moved = checkpoint.advance(before, path, "orders", "all")[1]
     after = checkpoint.changes(events, checkpoint.load(spark, path, "orders", "all"))
-    return best(in_bins(files.stored(book.changes(before).unionByName(after), "book-changes"))[0])
+    return best(in_bins(files.stored(moved.unionByName(after), "book-changes"))[0])
 
 
 @query(_BEST)
 def stream_best_prices(spark: SparkSession, d: str) -> DataFrame:
     """Best prices of a stream of order events that comes in three pieces and is stopped after each."""
-    events, path = files.stored(numbered(spark, d), "order-events"), f"{files.scratch(spark)}/book-{uuid.uuid4().hex}"
+    events, path = files.stored(numbered(spark, d).select(*checkpoint.COLUMNS), "order-events"), f"{files.scratch(spark)}/book-{uuid.uuid4().hex}"
     first, last = events.agg(F.min("seq"), F.max("seq")).first()
     first, last = first or 0, last or 0
     cuts = [first - 1 + (last - first + 1) * i // 3 for i in range(4)]

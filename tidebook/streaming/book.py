@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidebook.operators import checkpoint
-from tidebook.sources.files import stored
 
 CHANGES = "seq long, ts_ns long, side string, tick int, d_depth long, add long, pull long, fill long, touched boolean, batch long"
 
@@ -23,10 +22,9 @@ def replayed(stream: DataFrame, spark: SparkSession, path: str, source: str, day
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        events = stored(batch, "order-batch")
         start = checkpoint.load(spark, f"{path}/book/{number - 1}", source, day) if number else None
-        checkpoint.changes(events, start).write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
-        checkpoint.save(events, f"{path}/book/{number}", source, day, start)
+        changes = checkpoint.advance(batch, f"{path}/book/{number}", source, day, start)[1]
+        changes.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
 
     run = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
