@@ -116,3 +116,12 @@ def test_prediction_by_hand(docs, model):
     for r in docs.limit(60).collect():
         if r.text and any(c.isalpha() for c in r.text):
             assert got[r.doc_id] == brute(r.text)
+
+
+def test_python_gets_no_more_than_the_text(docs):
+    """The pipeline's stage keeps all columns in the JVM: Python takes one column and gives one back."""
+    kept = L.languages_only(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    want = {r.doc_id for r in L.identified(docs, L.train(docs)).filter("lang_pred <> 'und'").collect()}
+    assert {r.doc_id for r in kept.collect()} == want and kept.columns == docs.columns
