@@ -170,6 +170,27 @@ def test_shared_differences_link(spark, monkeypatch, levels, seed):
     assert got(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2), 2) == brute(rows, 2)[0]
 
 
+def test_classes_far_from_their_group_have_few_keys(spark, monkeypatch):
+    """A far class is linked only with classes that are as far, so few of its shingles come into question; twins show that no link is lost."""
+    keys, real = [], N.prefixes
+    monkeypatch.setattr(N, "prefixes", lambda *a: keys.append(real(*a)) or keys[-1])
+    rng, rows = random.Random(21), []
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
+    for i in range(140):
+        words = list(base)
+        for at in rng.sample(range(150), 4 + i % 7):
+            words[at] = f"x{rng.randint(0, 10**6)}"
+        rows.append((len(rows), " ".join(words)))
+        if i % 4 == 0:  # of about the similarity that links
+            for at in rng.sample(range(150), rng.randint(2, 4)):
+                words[at] = f"y{rng.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    expected = brute(rows, 5)[0]
+    assert got(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2), 5) == expected
+    assert sum(not r[3] for r in expected) > 10
+    assert 0 < keys[0].count() < 20 * len(rows)
+
+
 @pytest.mark.parametrize("bound, value", [("BROADCAST_ROWS", 0), ("FOREST_NODES", 2)])
 def test_bounds_change_nothing(spark, monkeypatch, bound, value):
     monkeypatch.setattr(N, bound, value)

@@ -43,7 +43,7 @@ FOREST_NODES = 1_000_000
 #: Parts that the rows of a group are dealt into where they meet the group's typical set.
 SALTS = 16
 #: So many shingles at once may be a key, if no more than so many places of a class come into question; else keys get too many.
-LEVELS = {2: 25, 4: 10}
+LEVELS = {2: 12, 4: 10}
 KEY, OTHER = ["grp", "ell", "token"], ["cid", "d", "w", "place", "level", "component"]
 #: Whether sizes alone link a class with its group's nearest one.
 NEAR = f"w + least <= {100 - SIMILAR} * l"
@@ -219,14 +219,17 @@ def prefixes(rows: DataFrame, limits: DataFrame) -> DataFrame:
     """Stored: ``grp, ell, token, cid, d, w, l, place, level, score``: by what classes of different components can meet.
 
     Two classes that sizes alone don't link need common shingles in their deltas, and `limits` say how many at least
-    (`need`). A class's order of these is: those that no other component of the group has, then the others by the number of
+    (`need`); a far class's partner is far itself, which the common ones must make up for. A class's order of these is: those that no other component of the group has, then the others by the number of
     deltas that have them. The first common one has `need` at and behind it, the second one less, and so on. So a class
     has keys of one shingle and, up to its ``level``, of `ell` shingles at once, and a pair meets by keys of the lower of
     its two levels. ``place`` counts what stands before a key's last shingle, less the others of the key.
     """
     far = rows.join(small(limits, BROADCAST_ROWS), "grp").filter("outer is not null")
-    need = F.ceil((F.col("w") + F.when(F.expr(NEAR), F.col("outer")).otherwise(F.col("least")) - (100 - SIMILAR) * F.col("l")) / (100 + SIMILAR))
-    far = far.withColumn("need", F.greatest(need.cast("int"), F.lit(1))).filter("d >= need")
+    over = F.col("w") - (100 - SIMILAR) * F.col("l")
+    need = F.ceil((over + F.when(F.expr(NEAR), F.col("outer")).otherwise(F.col("least"))) / (100 + SIMILAR))
+    # what has `o` of these too has a `w` of `SIMILAR * o` at least
+    need = F.greatest(need, F.ceil(over / 100)).cast("int")
+    far = far.withColumn("need", F.greatest(need, F.lit(1))).filter("d >= need")
     tokens = far.select("grp", "component", "cid", "d", "w", "l", "need", "score", F.explode("delta").alias("token"))
     shared = tokens.groupBy("grp", "token").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("grp", "token", "f")
     own = tokens.drop("component").join(stored(shared, "minhash-shared"), ["grp", "token"])
