@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tidebook.llm import licenses as L
@@ -75,3 +76,35 @@ def test_blocks_of_templates(spark, docs, odd, monkeypatch):
     want = sorted(map(str, L.scanned(both, some).collect()))
     monkeypatch.setattr(L, "BLOCK_TEMPLATES", 2)
     assert sorted(map(str, L.scanned(both, some).collect())) == want
+
+
+def test_work_of_classes(monkeypatch):
+    """Between short texts a class walks over its own window, not over that of the largest, with 32 bits a shingle."""
+    seen, real = {}, L.Class.retrieve
+    monkeypatch.setattr(L.Class, "retrieve", lambda self, row: seen.setdefault(self.window, (len(row), row.dtype)) and real(self, row))
+    L.Scanner(T.TEMPLATES).scan([L.words(b"one two three four five six")] * 50)
+    assert len(seen) > 5 and seen == {w: (50 * (2 + w + 1), np.dtype(np.uint32)) for w in seen}
+
+
+def test_pieces_and_neighbours(monkeypatch):
+    """Cut at any place and beside any texts, every occurrence is found, and by brute force no other window is."""
+    rng = random.Random(5)
+    bodies = {n: T.TEMPLATES[n] for n in ("MIT", "BSD", "Apache-2.0", "ISC-text", "GPL-3.0-notice")}
+    texts = [" ".join(f"n{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 400))) + " " + " . ".join(rng.choices(list(bodies.values()), k=rng.randint(0, 3))) for _ in range(40)]
+    scanner = L.Scanner(bodies)
+    want = scanner.scan([L.words(t.encode()) for t in texts])
+    assert [{name for _, _, name in x} for x in want] == [{n for n, b in bodies.items() if contained(t, b)} for t in texts]
+    monkeypatch.setattr(L, "PIECE", 7)
+    assert scanner.scan([L.words(t.encode()) for t in texts]) == want
+
+
+def test_band_keys_meet_as_often_as_they_should():
+    """Sets of a class's least similarity share a band's key with the probability that its number of bands is made for."""
+    rng, c = np.random.default_rng(3), L.Class(128)
+    meets, trials, size, common = 0, 400, 160, 52
+    for _ in range(trials):
+        every = rng.integers(0, 1 << 32, 2 * size - common, dtype=np.uint32)
+        one, other = every[:size], every[size - common :]
+        meets += sum(int(a[0] == b[0]) for a, b in zip(c.keys(one[:, None], 1), c.keys(other[:, None], 1), strict=True))
+    want = (common / (2 * size - common)) ** c.rows
+    assert abs(meets / trials / c.bands - want) < 0.1 * want

@@ -34,6 +34,9 @@ CONTAINED = 0.8
 MISS = 1e-6
 BLOCK_TEMPLATES = 20_000
 MOST_BANDS = 40
+G32 = np.uint32(0x9E3779B1)
+#: Shingles whose minima are taken at once: few enough for their products to stay in a core's cache.
+PIECE = 1 << 15
 
 SEPARATES = np.ones(256, dtype=bool)
 SEPARATES[48:58] = SEPARATES[65:91] = SEPARATES[97:123] = SEPARATES[128:] = False
@@ -75,45 +78,47 @@ class Class:
         need = math.ceil(CONTAINED * least - 1e-9)
         # a window holds at least `need` of the template's shingles; the union has the rest of both
         self.rows, self.bands = settings(min(1.0, need / (self.window + least - need)))
+        self.factors = [[mix(np.array([band * 8 + row + most * 4096], dtype=np.uint64)).astype(np.uint32)[0] | np.uint32(1) for row in range(self.rows)] for band in range(self.bands)]
         self.tables: list[dict[int, list[str]]] = [defaultdict(list) for _ in range(self.bands)]
         self.maybe = [np.zeros(1 << 16, dtype=bool) for _ in range(self.bands)]
 
-    def keys(self, shingles: np.ndarray, windowed: bool) -> Iterator[np.ndarray]:
-        """The band keys of all windows at the stride, or of the shingles as one set.
+    def keys(self, shingles: np.ndarray, blocks: int) -> Iterator[np.ndarray]:
+        """The band keys of all runs of `blocks` neighbouring columns.
 
-        Shingles are hashes already, so an odd factor permutes them well enough. A window is some blocks of one
-        stride each, and its minimum that of theirs.
+        Shingles are hashes already, so an odd factor permutes their low 32 bits well enough.
         """
-        if windowed:
-            shingles = np.concatenate([shingles, np.full(-len(shingles) % self.stride, shingles[-1])])
-        for band in range(self.bands):
-            key = np.full(1, band, dtype=np.uint64)
-            for row in range(self.rows):
-                factor = mix(np.array([band * 8 + row + self.most * 4096], dtype=np.uint64)) | np.uint64(1)
-                values = shingles * factor
-                if windowed:
-                    least = values.reshape(-1, self.stride).min(axis=1)
-                    n = len(least) - self.blocks + 1
-                    values = least[:n].copy()
-                    for k in range(1, self.blocks):
-                        np.minimum(values, least[k : k + n], out=values)
-                else:
-                    values = values.min(keepdims=True)
-                key = mix(key * G + values)
+        for factors in self.factors:
+            key = np.zeros(shingles.shape[1] - blocks + 1, dtype=np.uint32)
+            for factor in factors:
+                least, span = (shingles * factor).min(axis=0), 1
+                while span < blocks:
+                    step = min(span, blocks - span)
+                    least = np.minimum(least[:-step], least[step:])
+                    span += step
+                key += least
+                key *= G32
             yield key
 
     def add(self, name: str, shingles: np.ndarray) -> None:
-        for band, key in enumerate(self.keys(shingles, False)):
+        for band, key in enumerate(self.keys(shingles.astype(np.uint32)[:, None], 1)):
             self.tables[band][int(key[0])].append(name)
-            self.maybe[band][int(key[0]) >> 48] = True
+            self.maybe[band][int(key[0]) >> 16] = True
 
     def retrieve(self, shingles: np.ndarray) -> set[tuple[int, str]]:
-        """Window starts with the templates that share a band with them."""
+        """Window starts with the templates that share a band with them, of 32-bit shingles of whole windows.
+
+        A window is some blocks of one stride each, and its minimum that of theirs; a block is a column, so that
+        minima run along memory.
+        """
         found = set()
-        for band, key in enumerate(self.keys(shingles, True)):
-            for at in np.flatnonzero(self.maybe[band][(key >> np.uint64(48)).astype(np.int64)]):
-                for name in self.tables[band].get(int(key[at]), ()):
-                    found.add((int(at) * self.stride, name))
+        lines = np.concatenate([shingles, np.full(-len(shingles) % self.stride, shingles[-1])]).reshape(-1, self.stride)
+        size = max(1, PIECE // self.stride)
+        for first in range(0, len(lines) - self.blocks + 1, size):
+            columns = np.ascontiguousarray(lines[first : first + size + self.blocks - 1].T)
+            for band, key in enumerate(self.keys(columns, self.blocks)):
+                for at in np.flatnonzero(self.maybe[band][key >> np.uint32(16)]).tolist():
+                    for name in self.tables[band].get(int(key[at]), ()):
+                        found.add(((first + at) * self.stride, name))
         return found
 
 
@@ -133,11 +138,12 @@ class Scanner:
         """For each text (its word hashes), the first and last word of every verified match with the template."""
         found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         each = [runs(w) for w in texts]
-        # texts are put together, apart by more than any window, with shingles that no template has
-        gap = np.full(max([c.window for c in self.classes.values()], default=0) + 1, np.iinfo(np.uint64).max)
-        starts = np.cumsum([0] + [len(x) + len(gap) for x in each])
-        row = np.concatenate([part for x in each for part in (x, gap)]) if each else gap
+        low = [x.astype(np.uint32) for x in each]
         for c in self.classes.values():
+            # texts are put together, apart by more than a window of the class, with shingles that no template has
+            gap = np.full(c.window + 1, np.iinfo(np.uint32).max, dtype=np.uint32)
+            starts = np.cumsum([0] + [len(x) + len(gap) for x in low])
+            row = np.concatenate([part for x in low for part in (x, gap)]) if low else gap
             for at, name in c.retrieve(row):
                 owner = int(np.searchsorted(starts, at, "right")) - 1
                 own = each[owner]
